@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import exact_dedup, sharding
+from siftline.llm import byte_bpe, exact_dedup, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_sharding": sharding.op4_sharding,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     }
 
 
