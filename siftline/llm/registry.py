@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import byte_bpe, exact_dedup, sharding
+from siftline.llm import byte_bpe, exact_dedup, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_sharding": sharding.op4_sharding,
+        "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     }
@@ -19,5 +20,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_quality_rules": quality_rules.ORACLE,
         "op7_exact_dedup": exact_dedup.ORACLE,
     }
