@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import byte_bpe, exact_dedup, quality_rules, sharding
+from siftline.llm import byte_bpe, exact_dedup, quality_rules, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": simhash.op1_simhash,
         "op4_sharding": sharding.op4_sharding,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
