@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import byte_bpe, exact_dedup, quality_rules, sharding, simhash
+from siftline.llm import byte_bpe, exact_dedup, mixing, quality_rules, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sharding": sharding.op4_sharding,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_mixing": mixing.op8_mixing,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     }
 
