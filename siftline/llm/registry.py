@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import byte_bpe, exact_dedup, mixing, quality_rules, sharding, simhash
+from siftline.llm import byte_bpe, exact_dedup, mixing, quality_rules, sharding, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_toxicity": toxicity.op2_toxicity,
         "op4_sharding": sharding.op4_sharding,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
