@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import byte_bpe, exact_dedup, mixing, quality_rules, sharding, simhash, toxicity
+from siftline.llm import byte_bpe, exact_dedup, mixing, pu_quality, quality_rules, sharding, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": simhash.op1_simhash,
         "op2_toxicity": toxicity.op2_toxicity,
         "op4_sharding": sharding.op4_sharding,
+        "op5_quality_classifier": pu_quality.op5_quality_classifier,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_mixing": mixing.op8_mixing,
