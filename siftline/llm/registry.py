@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import byte_bpe, exact_dedup, mixing, pu_quality, quality_rules, sharding, simhash, toxicity
+from siftline.llm import byte_bpe, exact_dedup, mixing, pu_quality, quality_rules, sharding, simhash, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_url_filter": url_filter.op3_url_filter,
         "op4_sharding": sharding.op4_sharding,
         "op5_quality_classifier": pu_quality.op5_quality_classifier,
         "op6_quality_rules": quality_rules.op6_quality_rules,
