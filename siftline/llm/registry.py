@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import byte_bpe, exact_dedup, mixing, pu_quality, quality_rules, sharding, simhash, toxicity, url_filter
+from siftline.llm import byte_bpe, exact_dedup, mixing, pu_quality, quality_rules, secret_scan, sharding, simhash, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_mixing": mixing.op8_mixing,
+        "op9_secret_scan": secret_scan.op9_secret_scan,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     }
 
