@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.plans import retrieval
+from siftline.plans import relational, retrieval
 
 FLAGSHIP = "hybrid_search"
-_PARTS = (retrieval.query,)
+_PARTS = (retrieval.query, relational.query)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
