@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.plans import relational, retrieval
+from siftline.plans import content, relational, retrieval, streams
 
 FLAGSHIP = "hybrid_search"
-_PARTS = (retrieval.query, relational.query)
+_PARTS = (retrieval.query, relational.query, content.query, streams.query)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -100,11 +100,12 @@ def hard_split(text: Column, size: int) -> Column:
 def char_ngrams(token: Column) -> Column:
     """Character 3- to 5-grams of ^token$; none for tokens under four characters."""
     padded = F.concat(F.lit("^"), token, F.lit("$"))
-    grams = None
-    for n in (3, 4, 5):
+
+    def of_size(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.length(padded) - n + 1)
-        part = F.transform(starts, lambda i, n=n: F.substring(padded, i, F.lit(n)))
-        grams = part if grams is None else F.concat(grams, part)
+        return F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))
+
+    grams = F.concat(of_size(3), of_size(4), of_size(5))
     return F.when(F.length(token) >= 4, grams).otherwise(F.array().cast("array<string>"))
 
 

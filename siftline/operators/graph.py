@@ -11,7 +11,7 @@ MAX_DEPTH, MAX_PATHS = 8, 25
 def census(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(key, n): nodes by label, edges by type, and the totals."""
     count = F.count("*").alias("n")
-    labels = nodes.select(F.concat(F.lit("label:"), F.explode("labels")).alias("key")).groupBy("key").agg(count)
+    labels = nodes.select(F.explode("labels").alias("label")).groupBy(F.concat(F.lit("label:"), "label").alias("key")).agg(count)
     types = edges.select(F.concat(F.lit("edge:"), F.col("type")).alias("key")).groupBy("key").agg(count)
     totals = nodes.agg(count).select(F.lit("nodes").alias("key"), "n").unionByName(edges.agg(count).select(F.lit("edges").alias("key"), "n"))
     return labels.unionByName(types).unionByName(totals)
