@@ -59,3 +59,13 @@ def in_blocks(values, size: int):
     """Slices of at most ``size`` items."""
     for at in range(0, len(values), size):
         yield values[at : at + size]
+
+
+def packed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Each row as one struct ``row``, with the given columns beside it, so that no name of ``df`` can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def in_row(name: str) -> Column:
+    """A column of ``df`` inside its packed row."""
+    return F.col(f"row.`{name}`")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftline.llm.common import ascii_lower, staged, table
+from siftline.llm.common import ascii_lower, in_row, packed, staged, table
 
 BITS_PER_ROW, HASHES, MAX_BITS = 16, 2, 1 << 29
 BLOCK_BITS = 32_768  # fixed by bitmap_construct_agg
@@ -92,16 +92,16 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Only possibly repeated rows shuffle, dealt by text and id together, so copies of one text spread out.
     """
-    cheap = F.xxhash64(F.lower(F.coalesce(F.col(text_col), F.lit(""))))  # equal for texts that differ in case alone
-    keys = staged(docs.select(cheap.alias("key")), "keys")
+    cheap = lambda text: F.xxhash64(F.lower(F.coalesce(text, F.lit(""))))  # noqa: E731  equal for texts that differ in case alone
+    keys = staged(docs.select(cheap(F.col(text_col)).alias("key")), "keys")
     blocks = filter_blocks(keys.count())
-    marked = mark_possible(docs, cheap, staged(repeated_bits(keys, "key", blocks), "bitmaps"), blocks)
-    alone = marked.where("not _possible").select(*docs.columns)
-    some = marked.where("_possible").withColumn("_sha", text_hash(F.col(text_col)))
-    some = some.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
+    bitmaps = staged(repeated_bits(keys, "key", blocks), "bitmaps")
+    marked = mark_possible(packed(docs), cheap(in_row(text_col)), bitmaps, blocks)
+    some = marked.where("_possible").withColumn("_sha", text_hash(in_row(text_col)))
+    some = some.withColumn("_id", F.coalesce(in_row(id_col).cast("long"), F.lit(NO_ID)))
     last = some.groupBy("_sha").agg(F.max("_id").alias("_id"))
     some = some.join(last, ["_sha", "_id"]).dropDuplicates(["_sha", "_id"])
-    return alone.unionByName(some.select(*docs.columns))
+    return marked.where("not _possible").select("row.*").unionByName(some.select("row.*"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

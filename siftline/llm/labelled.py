@@ -24,5 +24,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, held_out: C
         side = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = side if picked is None else picked.unionByName(side)
     picked = picked.withColumnRenamed("doc_id", "_id")
-    rows = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
     return rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftline.llm.common import staged, table
+from siftline.llm.common import in_row, packed, staged, table
 
 WEIGHTS, CAP, BINS, CANDIDATES, STEPS, SMALL = (5, 2, 1), 3, 8, 16, 200, 50_000
 _PRIOR = np.array([1.0, 1.0, 0.5, 1 / 6])  # Poisson of mean 1, for 0 to CAP copies
@@ -180,9 +180,9 @@ def taken_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     """
     copies, _ = plan(staged(sized(docs, id_col, source_col, text_col), "sizes"))
     copies = copies.where("copies > 0").distinct().select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_source")) & (word_count(F.col(text_col)) == F.col("_size"))
-    mixed = docs.join(staged(copies, "copies"), same)
-    return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    same = in_row(id_col).cast("long").eqNullSafe(F.col("_id")) & in_row(source_col).eqNullSafe(F.col("_source")) & (word_count(in_row(text_col)) == F.col("_size"))
+    mixed = packed(docs).join(staged(copies, "copies"), same)
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

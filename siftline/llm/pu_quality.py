@@ -17,7 +17,8 @@ is an estimate of the chance that a text is good.
 
 Labels, language, source and id never enter a score. Scoring is one Arrow pass over whole texts; nothing shuffles.
 Defined cases. A null text counts as empty. Null labels, and labels other than 1, teach nothing. Without trusted rows or
-without unlabelled rows every text scores the prior 0.5. Repeated rows are scored each. Other columns stay.
+without unlabelled rows every text scores the prior 0.5. Repeated rows are scored each. Empty tables give empty results. Other columns stay; a
+column named like the score is replaced by ``scored``.
 """
 
 from __future__ import annotations
@@ -148,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     bare = docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").where("doc_id IS NOT NULL").distinct()
     bare = bare.orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED).withColumn("good", F.lit(0))
     picked = good.unionByName(bare).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))  # POSITIVES + UNLABELLED ids at most
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))  # POSITIVES + UNLABELLED ids at most
     x = measured(rows.select(F.struct("doc_id", "good").alias("doc_id"), "text"))
     got = x.select("doc_id.doc_id", "doc_id.good", "x").orderBy("doc_id", "x").toPandas()
     trusted, other = (np.array(got.x[got.good == g].tolist(), np.float64).reshape(-1, len(FEATURES)) for g in (1, 0))

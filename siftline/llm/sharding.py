@@ -18,7 +18,8 @@ the only thing that meets in one task or is broadcast.
 
 Defined cases. A null text has size 1 and the CRC-32 of the empty text. Rows that repeat all key columns get places of
 their own, in no particular order among themselves, which makes them interchangeable. Null ids are ordinary keys.
-An empty table gives an empty result. Other columns are carried along by ``sharded``; its own columns must be new.
+An empty table gives an empty result. Other columns are carried along by ``sharded``, but for its own shard and slot,
+which it replaces.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftline.llm.common import staged, table
+from siftline.llm.common import packed, staged, table
 
 SHARDS, SEED, ROUNDS, BUCKETS, WALK = 16, 20_240_229, 6, 4096, 64
 
@@ -96,10 +97,12 @@ def numbered(df: DataFrame, keys: list[str], number: str = "row_number") -> tupl
 
 def sharded(df: DataFrame, keys: list[str], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Adds shard and slot. ``keys`` should tell rows apart; all other columns are carried along."""
-    rows, n = numbered(df, keys, "_number")
-    slot, shard = _split(F.col("_position"), shards)
-    rows = rows.withColumn("_position", permuted(F.col("_number"), max(1, n), seed))
-    return rows.withColumns({"shard": shard.cast("int"), "slot": slot}).drop("_number", "_position")
+    names = [f"k{i}" for i in range(len(keys))]
+    rows = packed(df.drop("shard", "slot"), **{n: F.col(k) for n, k in zip(names, keys)})
+    rows, n = numbered(rows, names, "number")
+    slot, shard = _split(F.col("position"), shards)
+    rows = rows.withColumn("position", permuted(F.col("number"), max(1, n), seed))
+    return rows.select("row.*", shard.cast("int").alias("shard"), slot.alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str) -> None:

@@ -16,7 +16,8 @@ Arrow pass over whole texts with the model (TERMS numbers) in the closure; nothi
 
 Labels, language, source and id never enter a score. Defined cases. A null text counts as empty; it gets the score of
 a text without any term. Labels that are null or neither 0 nor 1 are ignored. Without labelled rows of both kinds
-every text gets the smoothed share of toxic labels. Repeated rows are scored each. Other columns stay.
+every text gets the smoothed share of toxic labels. Repeated rows are scored each. Empty tables give empty results.
+Other columns stay; a column named like the score is replaced by ``scored``.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import staged, table
+from siftline.llm.common import packed, staged, table
 from siftline.llm.labelled import fold, labelled_sample
 
 PER_CLASS, VOTERS, TERMS, MIN_TEXTS, LIFT, ANCHOR, THRESHOLD = 8_000, 256, 4_096, 3, 30.0, 20.0, 0.3
@@ -201,4 +202,5 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept_rows(docs: DataFrame, labelled_docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, all columns kept."""
-    return scored(docs, fit(labelled_docs, labels), column="_score").where(F.col("_score") < THRESHOLD).select(*docs.columns)
+    rows = packed(docs, text=F.col("text"))
+    return scored(rows, fit(labelled_docs, labels)).where(F.col("score") < THRESHOLD).select("row.*")
