@@ -35,7 +35,7 @@ class LexicalIndex:
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None) -> LexicalIndex:
-        tf = postings(docs, id_col, text_col, title_col)
+        tf = postings(docs, id_col, text_col, title_col).persist()  # read by all parts of the index; spills to disk
         lengths = tf.groupBy("doc_id").agg(F.sum("tf").alias("length"))
         df = tf.groupBy("term").agg(F.count("*").alias("df"))
         total = lengths.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))

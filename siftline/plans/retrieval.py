@@ -238,7 +238,7 @@ def _rows_to_score(spark, sf_dir) -> DataFrame:
     The rerank window is the ``fast`` one; a document's source kind and day follow from its id and length.
     """
     docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text", "lang", "n_chars")
-    rows = R.fused(_two_rankings(spark, sf_dir)).withColumnRenamed("rrf", "score")
+    rows = R.fused(_two_rankings(spark, sf_dir)).withColumnRenamed("rrf", "score").persist()  # two pools a query at most
     window = ranked(rows, R.budget("fast")[1], "chunk_id").select("query_id", "chunk_id")
     overlap = rerank.idf_overlap(_asked(spark, sf_dir), window.join(docs, "chunk_id").select("query_id", "chunk_id", "text"))
     rows = rows.join(docs.drop("text"), "chunk_id").join(overlap.withColumnRenamed("overlap", "rerank"), ["query_id", "chunk_id"], "left")
