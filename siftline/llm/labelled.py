@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm.common import lowest_hashes, staged
+
 
 def fold(id_col: str, folds: int) -> Column:
     """CRC-32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
@@ -18,10 +20,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, held_out: C
     filtered where they are read.
     """
     known = labels.where(~held_out & F.col(column).isin(0, 1) & F.col("doc_id").isNotNull())
-    known = known.groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
+    known = staged(known.groupBy("doc_id").agg(F.max(column).cast("int").alias("label")), "labels")
     picked = None
     for value in (0, 1):
-        side = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        side = lowest_hashes(known.where(F.col("label") == value), per_class)
         picked = side if picked is None else picked.unionByName(side)
     picked = picked.withColumnRenamed("doc_id", "_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
