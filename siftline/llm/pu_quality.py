@@ -7,7 +7,7 @@ of the id, are measured on the executors; FEATURES numbers a text come back to b
 Class prior. The share of good texts among the unlabelled is estimated by comparing score distributions of a first
 classifier of trusted against unlabelled rows: in the range of scores where only good texts live, the unlabelled share
 over the trusted share is the prior, so the prior is the smallest such ratio over upper tails, on rows that the first
-classifier was not fitted to. Its lower confidence bound is used, since with too large a prior nothing bad is left.
+classifier was not fitted to. A little is taken off (PRIOR_SLACK), since with too large a prior nothing bad is left.
 
 Risk. With prior p, the risk of a classifier is p R+(trusted) + max(0, R-(unlabelled) - p R-(trusted)): bad texts are
 what is left of the unlabelled when p times the good is taken away, and that rest can't have a negative loss. Where a
@@ -31,11 +31,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import table
+from siftline.llm.common import lowest_hashes, staged, table
 from siftline.llm.labelled import fold
 
 POSITIVES, UNLABELLED, THRESHOLD, FOLDS, HELD_OUT = 8_000, 16_000, 0.3, 5, 0
-QUANTILES = (0.02, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.93, 0.96, 0.98, 0.99)
+QUANTILES, PRIOR_SLACK = (0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.98), 0.985
 FEATURES = ("words", "word_length", "symbols", "bars", "exclamations", "upper", "digits", "punctuation", "other_ascii", "distinct_words", "repeated_next", "lines", "duplicate_lines", "filled_lines", "longest_word", "lone_characters")
 
 _KINDS = {"symbol": b"#*$%&<>", "bar": b"|", "exclamation": b"!", "upper": bytes(range(65, 91)), "lower": bytes(range(97, 123)), "digit": b"0123456789", "stop": b".,;:?", "blank": b" \t\n\r\x0b\x0c", "later": bytes(range(128, 192)), "high": bytes(range(192, 256))}
@@ -131,23 +131,26 @@ def fit_pu(trusted: np.ndarray, unlabelled: np.ndarray, prior: float | None, edg
 
 def class_prior(trusted: np.ndarray, unlabelled: np.ndarray, edges: list[np.ndarray]) -> float:
     """Share of good texts among the unlabelled, by the smallest ratio of upper tails."""
-    first = fit_pu(trusted[::2], unlabelled[::2], None, edges, steps=200)
-    p, u = np.sort(first.scores(trusted[1::2])), np.sort(first.scores(unlabelled[1::2]))
-    cuts = np.unique(np.quantile(p, np.linspace(0, 0.8, 81))) if len(p) else np.zeros(0)
-    share_p = 1 - np.searchsorted(p, cuts, side="left") / max(1, len(p))
-    share_u = 1 - np.searchsorted(u, cuts, side="left") / max(1, len(u))
-    error = 0.5 * (1 / np.sqrt(max(1, len(u))) + 1 / np.sqrt(max(1, len(p)))) / np.maximum(share_p, 1e-9)
-    ratio = share_u / np.maximum(share_p, 1e-9)
-    best = int(np.argmin(ratio + error)) if len(ratio) else -1
-    return float(np.clip(ratio[best] - error[best], 0.05, 0.98)) if best >= 0 else 0.5
+    p, u = [], []
+    for half in (0, 1):  # each half is scored by a classifier of the other
+        first = fit_pu(trusted[half::2], unlabelled[half::2], None, edges, steps=200, l2=1e-3)
+        p.append(first.scores(trusted[1 - half :: 2]))
+        u.append(first.scores(unlabelled[1 - half :: 2]))
+    p, u = np.sort(np.concatenate(p)), np.sort(np.concatenate(u))
+    cuts = np.unique(np.quantile(p, np.linspace(0, 0.8, 41)))
+    share_p = 1 - np.searchsorted(p, cuts, side="left") / len(p)
+    share_u = 1 - np.searchsorted(u, cuts, side="left") / len(u)
+    error = 0.5 * (1 / np.sqrt(len(u)) + 1 / np.sqrt(len(p))) / share_p  # keeps thin tails from winning by chance
+    best = int(np.argmin(share_u / share_p + error))
+    return float(np.clip(PRIOR_SLACK * share_u[best] / share_p[best], 0.05, 0.98))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on trusted rows that are not held out and on rows without any label."""
     good = labels.where((F.col("quality") == 1) & (fold("doc_id", FOLDS) != HELD_OUT)).select("doc_id").distinct()
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVES).withColumn("good", F.lit(1))
+    good = lowest_hashes(good, POSITIVES).withColumn("good", F.lit(1))
     bare = docs.select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").where("doc_id IS NOT NULL").distinct()
-    bare = bare.orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED).withColumn("good", F.lit(0))
+    bare = lowest_hashes(staged(bare, "unlabelled"), UNLABELLED).withColumn("good", F.lit(0))
     picked = good.unionByName(bare).withColumnRenamed("doc_id", "_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))  # POSITIVES + UNLABELLED ids at most
     x = measured(rows.select(F.struct("doc_id", "good").alias("doc_id"), "text"))
