@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import byte_bpe, exact_dedup, mixing, simhash
+from siftline.llm import byte_bpe, exact_dedup, mixing, near_copies
 from siftline.llm import toxicity as toxic
 from siftline.llm.common import staged, table
 
@@ -20,8 +20,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.kept_rows(docs)
+    """One document of each group of near copies stays: five-word shingles, Jaccard similarity 0.8 or more."""
+    return near_copies.kept_rows(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
