@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 EPSILON = 1e-12
-MAX_QUERIES = 20_000  # in one batch; the matrix of a batch goes to every task
+MAX_QUERIES = 20_000  # in one block; the matrix of a block goes to every task
 
 
 def norm(v: Column) -> Column:
@@ -29,16 +31,33 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
 
 
+def _query_blocks(queries: DataFrame) -> Iterator[pd.DataFrame]:
+    """The queries in order of their ids, MAX_QUERIES at a time."""
+    ordered = queries.select("query_id", "embedding").orderBy("query_id")
+    batch = ordered.limit(MAX_QUERIES + 1).toPandas()
+    if len(batch) <= MAX_QUERIES:
+        yield batch
+        return
+    rows = ordered.toLocalIterator()
+    while block := list(itertools.islice(rows, MAX_QUERIES)):
+        yield pd.DataFrame(block, columns=["query_id", "embedding"])
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None) -> DataFrame:
     """(query_id, vec_id, score, rank): cosine of every query with every vector, the best ``k`` a query.
 
-    vectors: (vec_id, embedding); queries: (query_id, embedding), at most MAX_QUERIES, checked before they are sent to
-    the tasks. Each task multiplies blocks of vectors with the query matrix and hands on its best k a query; scores are
-    rounded to 6 places before ranking and ties go to the smaller id.
+    vectors: (vec_id, embedding); queries: (query_id, embedding), of any number: each block of MAX_QUERIES makes a pass
+    over the vectors. Each task multiplies blocks of vectors with the query matrix and hands on its best k a query;
+    scores are rounded to 6 places before ranking and ties go to the smaller id.
     """
-    batch = queries.select("query_id", "embedding").orderBy("query_id").limit(MAX_QUERIES + 1).toPandas()
-    if len(batch) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in one batch")
+    parts = [_nearest(vectors, batch, k, least) for batch in _query_blocks(queries)]
+    best = functools.reduce(DataFrame.unionByName, parts)
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
+def _nearest(vectors: DataFrame, batch: pd.DataFrame, k: int, least: float | None) -> DataFrame:
+    """(query_id, vec_id, score): of each block of vectors the best ``k`` for each query of ``batch``."""
     ids = batch.query_id.to_numpy()
     matrix = np.array([np.asarray(v, np.float64) for v in batch.embedding]).reshape(len(batch), -1)
 
@@ -63,6 +82,4 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = No
                     order = order[row[order] >= least]
                 yield pd.DataFrame({"query_id": ids[q], "vec_id": own[order], "score": row[order]})
 
-    best = vectors.select("vec_id", "embedding").mapInPandas(nearest, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    return vectors.select("vec_id", "embedding").mapInPandas(nearest, "query_id long, vec_id long, score double")

@@ -93,3 +93,12 @@ def test_overlap_by_hand(spark):
     got = {r.chunk_id: r.overlap for r in rerank.idf_overlap(asked, rows).collect()}
     idf = math.log(1 + 2 / 2)
     assert got == {1: round(min(1.0, 2 * idf / (2 * idf + 1.0) + 0.35), 6), 2: 0.0}
+
+
+def test_more_queries_than_a_block_holds(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i)]) for i in range(23)], "vec_id long, embedding array<double>")
+    asked = rows.withColumnRenamed("vec_id", "query_id").repartition(3)
+    found = lambda: sorted(map(tuple, vectors.knn(rows, asked, 4).collect()))
+    want = found()
+    monkeypatch.setattr(vectors, "MAX_QUERIES", 5)
+    assert found() == want and len(want) == 23 * 4
