@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -105,12 +106,25 @@ def entity_semi_join(spark, sf_dir):
 
 @query("SELECT v.vec_id AS chunk_id, row_number() OVER (ORDER BY v.vec_id DESC) AS rank, d.source, d.doc_id IS NULL AS missing FROM (SELECT vec_id FROM embeddings) v LEFT JOIN documents d ON d.doc_id = v.vec_id AND d.lang = 'en'")
 def hydrate_left_join(spark, sf_dir):
-    """Candidates keep their rank, found or not. The rank is the count of larger ids, which vec_id gives without a sort."""
+    """Candidates keep their rank, found or not."""
     ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"))
-    top = ids.agg(F.max("chunk_id").alias("top"))  # ids are dense from 0
     docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("chunk_id"), "source", F.lit(False).alias("found"))
-    rows = ids.crossJoin(F.broadcast(top)).join(docs, "chunk_id", "left")
-    return rows.select("chunk_id", (F.col("top") - F.col("chunk_id") + 1).alias("rank"), "source", F.col("found").isNull().alias("missing"))
+    rows = ids.join(docs, "chunk_id", "left").select("chunk_id", "source", F.col("found").isNull().alias("missing"))
+    return ranked_down(rows, ids, "chunk_id", "rank").select("chunk_id", "rank", "source", "missing")
+
+
+def ranked_down(rows: DataFrame, ids: DataFrame, column: str, rank: str, ranges: int = 256) -> DataFrame:
+    """Numbers ``rows`` by ``column`` descending, nulls last, without one task for all: rows are counted by range of the
+    column, each range starts after those of larger values, and rows are numbered inside. ``ids`` gives the bounds."""
+    shares = [i / ranges for i in range(1, ranges)]
+    bounds = sorted(set(ids.agg(F.percentile_approx(column, shares)).first()[0] or []))
+    above = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b >= F.col(column))) if bounds else F.lit(0)
+    rows = rows.withColumn("_range", F.when(F.col(column).isNull(), len(bounds) + 1).otherwise(above))
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))  # ranges + 1 rows at most
+    counts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(F.desc(column)))
+    return rows.join(F.broadcast(counts), "_range").withColumn(rank, F.col("_before") + inside).drop("_range", "_before")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

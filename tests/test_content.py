@@ -96,3 +96,14 @@ def test_sql_guard(spark):
     with pytest.raises(Rejected):
         guard.query("SELECT 1", role="viewer")
     assert guard.audit().where("not ok").count() == 9
+
+
+def test_ranks_with_gaps_and_repeats(spark, tmp_path):
+    from siftline.plans import relational
+
+    ids = [1, 5, 5, 9, 1_000, 1_000_000, -3]
+    spark.createDataFrame([(i,) for i in ids], "vec_id long").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(5, "a", "en"), (1_000, "b", "de"), (9, "c", "en")], "doc_id long, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["rank"], r.chunk_id, r.source, r.missing) for r in relational.hydrate_left_join(spark, str(tmp_path)).collect())
+    source = {5: "a", 9: "c"}
+    assert got == [(n, i, source.get(i), i not in source) for n, i in enumerate(sorted(ids, reverse=True), 1)]
