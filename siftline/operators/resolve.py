@@ -54,11 +54,21 @@ def resolved(mentions: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def merged(entities: DataFrame) -> DataFrame:
-    """One row an entity_id: distinct aliases and sources in order of first sight, best confidence, counts, span."""
-    ordered = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seen_at", F.col(c).alias("v")))), lambda s: s["v"]))
-    return entities.groupBy("entity_id").agg(
-        ordered("alias").alias("aliases"), ordered("source_id").alias("sources"), F.max("confidence").alias("confidence"),
-        F.count("*").alias("mentions"), F.min("seen_at").alias("first_seen"), F.max("seen_at").alias("last_seen"),
+    """One row an entity_id: distinct aliases and sources in order of first sight, best confidence, counts, span.
+
+    Mentions are summed to one row for each alias and one for each source of an entity before anything is collected.
+    """
+    seen = F.explode(F.array(F.lit("alias"), F.lit("source"))).alias("kind")
+    rows = entities.select("entity_id", "alias", "source_id", "confidence", "seen_at", seen)
+    rows = rows.withColumns({"alias": F.when(F.col("kind") == "alias", F.col("alias")), "source_id": F.when(F.col("kind") == "source", F.col("source_id"))})
+    rows = rows.groupBy("entity_id", "kind", "alias", "source_id").agg(
+        F.min(F.struct("seen_at")).alias("at"), F.max("confidence").alias("confidence"),
+        F.count("*").alias("n"), F.min("seen_at").alias("first"), F.max("seen_at").alias("last"),
+    )
+    ordered = lambda kind, c: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("at", F.col(c).alias("v"))))), lambda s: s["v"])
+    return rows.groupBy("entity_id").agg(
+        ordered("alias", "alias").alias("aliases"), ordered("source", "source_id").alias("sources"), F.max("confidence").alias("confidence"),
+        F.sum(F.when(F.col("kind") == "alias", F.col("n"))).alias("mentions"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen"),
     )
 
 

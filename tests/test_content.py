@@ -107,3 +107,24 @@ def test_ranks_with_gaps_and_repeats(spark, tmp_path):
     got = sorted((r["rank"], r.chunk_id, r.source, r.missing) for r in relational.hydrate_left_join(spark, str(tmp_path)).collect())
     source = {5: "a", 9: "c"}
     assert got == [(n, i, source.get(i), i not in source) for n, i in enumerate(sorted(ids, reverse=True), 1)]
+
+
+def test_groups_are_not_taken_whole(spark):
+    rows = spark.createDataFrame([(c, t, "user", "w " * 100) for c in (1, 2) for t in range(300)], "conv_id long, turn long, role string, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        merged = chunking.merged_transcripts(rows)
+        got = sorted((r.conv_id, r.ordinal, r.first_turn, r.last_turn, r.segments) for r in merged.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(c, n, 3 * n, 3 * n + 2, 3) for c in (1, 2) for n in range(100)]
+    assert "FlatMapGroupsInPandas" not in merged._jdf.queryExecution().toString()
+
+
+def test_merging_sums_mentions_before_it_collects(spark):
+    rows = spark.createDataFrame([(1, 3, "b", "x", 0.5), (1, 1, "a", "y", 0.2), (1, 2, "b", "y", 0.9), (1, 9, None, "x", 0.1), (2, 4, "c", "z", None)], "entity_id long, seen_at long, alias string, source_id string, confidence double")
+    merged = resolve.merged(rows)
+    got = {r.entity_id: (r.aliases, r.sources, r.confidence, r.mentions, r.first_seen, r.last_seen) for r in merged.collect()}
+    assert got == {1: (["a", "b", None], ["y", "x"], 0.9, 4, 1, 9), 2: (["c"], ["z"], None, 1, 4, 4)}
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2
