@@ -198,9 +198,9 @@ def snippets(spark, sf_dir):
 def hash_embed(spark, sf_dir):
     @F.pandas_udf("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
-        return pd.Series([E.embed(t, 64) for t in texts])
+        return pd.Series([E.embed(t) for t in texts])
 
-    return table(spark, sf_dir, "benchmark").select("item_id", embed("text").alias("embedding"))
+    return table(spark, sf_dir, "documents").select("doc_id", embed("text").alias("embedding"))
 
 
 @query()

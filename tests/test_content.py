@@ -128,3 +128,12 @@ def test_merging_sums_mentions_before_it_collects(spark):
     assert got == {1: (["a", "b", None], ["y", "x"], 0.9, 4, 1, 9), 2: (["c"], ["z"], None, 1, 4, 4)}
     plan = merged._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 2
+
+
+def test_embedding_covers_documents_whole(spark, sf):
+    from siftline.plans import content
+
+    rows = content.hash_embed(spark, sf).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r.doc_id for r in rows} == set(texts) and all(len(r.embedding) == 512 for r in rows)
+    assert all(r.embedding == embed.embed(texts[r.doc_id]) for r in rows[:5])
