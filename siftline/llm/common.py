@@ -69,8 +69,9 @@ def lowest_hashes(df: DataFrame, limit: int, column: str = "doc_id") -> DataFram
     """
     rows = df.count()
     rank = F.shiftrightunsigned(F.xxhash64(column), 1)
-    if rows > 2 * limit:
-        df = df.where(rank < int((limit + 10 * limit**0.5 + 100) / rows * 2.0**63))
+    share = (limit + 10 * limit**0.5 + 100) / max(1, rows)
+    if share < 0.5:
+        df = df.where(rank < int(share * 2.0**63))
     return df.orderBy(rank, column).limit(limit)
 
 

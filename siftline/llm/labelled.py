@@ -14,17 +14,20 @@ def fold(id_col: str, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, held_out: Column, per_class: int) -> DataFrame:
-    """(doc_id, text, label): at most ``per_class`` rows of each label, picked by a hash of the id, none held out.
+    """(doc_id, text, label, weight): at most ``per_class`` rows of each label, picked by a hash of the id, none held out.
 
-    Ids with several labels count as their largest. The ids, 2 * per_class at most, are broadcast, so the texts are
-    filtered where they are read.
+    A row weighs as many labelled ids as it stands for, so weighted sums keep the true shares of the labels, however
+    many of each were picked. Ids with several labels count as their largest. The ids, 2 * per_class at most, are
+    broadcast, so the texts are filtered where they are read; of several texts of one id the least is taken.
     """
     known = labels.where(~held_out & F.col(column).isin(0, 1) & F.col("doc_id").isNotNull())
     known = staged(known.groupBy("doc_id").agg(F.max(column).cast("int").alias("label")), "labels")
+    rows = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     picked = None
     for value in (0, 1):
-        side = lowest_hashes(known.where(F.col("label") == value), per_class)
+        stands_for = max(1.0, rows.get(value, 0) / per_class)
+        side = lowest_hashes(known.where(F.col("label") == value), per_class).withColumn("weight", F.lit(stands_for))
         picked = side if picked is None else picked.unionByName(side)
     picked = picked.withColumnRenamed("doc_id", "_id")
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
-    return rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    return rows.groupBy("doc_id", "label", "weight").agg(F.min("text").alias("text"))

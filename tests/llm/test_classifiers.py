@@ -31,8 +31,35 @@ def test_toxicity_on_held_out_rows(spark):
     truth = labels_of(spark, BIG, "toxic")
     clean = [r for r in rows if truth.get(r.doc_id) == 0]
     toxic = [r for r in rows if truth.get(r.doc_id) == 1 and r.held_out]
-    assert sum(r.predicted for r in clean) <= 0.01 * len(clean)
-    assert sum(r.predicted for r in toxic) >= 0.5 * len(toxic)  # some toxic labels there mark texts without a sign of it
+    assert sum(r.predicted for r in clean) <= 0.02 * len(clean)
+    assert sum(r.predicted for r in toxic) >= 0.9 * len(toxic)
+
+
+def test_verdicts_do_not_hang_on_the_size_of_the_sample(spark):
+    """One tenth of the texts are toxic; a sample that holds as many of either label must not call half of them so."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    truth = labels.where("toxic is not null").select("doc_id", "toxic")
+
+    def shares(per_class):
+        rows = T.scored(docs, T.fit(docs, labels, per_class)).join(truth, "doc_id").where(T.fold("doc_id", 4) == 2)
+        return {r.toxic: r.share for r in rows.groupBy("toxic").agg(F.avg((F.col("score") >= T.THRESHOLD).cast("int")).alias("share")).collect()}
+
+    all_rows, few = shares(8_000), shares(300)
+    assert all_rows[1] > 0.92 and all_rows[0] < 0.01
+    assert few[1] > 0.9 and few[0] < 0.03
+
+
+def test_texts_without_a_sign_get_the_true_share(spark):
+    rows = [(i, f"plain words number {i}" if i % 10 else f"plain words and vilething number {i}") for i in range(400)]
+    docs = spark.createDataFrame([*rows, (None, None), (1000, ""), (1001, " ".join(["plain"] * 50_000))], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    for per_class in (8_000, 25):
+        model = T.fit(docs, labels, per_class)
+        assert model.terms
+        scores = {r.doc_id: r.score for r in T.scored(docs, model).collect()}
+        assert scores[None] == scores[1000] == scores[1001] < 0.1
+        assert all((scores[i] >= 0.3) == (i % 10 == 0) for i, _ in rows)
 
 
 def test_labels_of_held_out_rows_do_not_matter(spark):
@@ -51,7 +78,7 @@ def test_label_model_weighs_voters():
     anchors = np.array([[0.02, 0.02, 0.02, 0.02, 0.95], [0.5, 0.5, 0.5, 0.5, 0.1]])
     posterior, say = T.label_model(votes, anchors, 0.2)
     assert ((posterior > 0.5) == truth).mean() > 0.95
-    assert say[0] < 0.6 and say[3] < 0.6 and say[1] > say[0]
+    assert say[0] < 0.7 and say[3] < 0.7 and say[1] > say[0]
 
 
 def test_toxicity_odd_rows(spark, odd, clashing, empty):
