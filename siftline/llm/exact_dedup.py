@@ -49,12 +49,18 @@ def _bits(key: Column) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(i)), F.lit(BLOCK_BITS)).cast("int") for i in range(HASHES)]
 
 
-def repeated_bits(keys: DataFrame, key: str, blocks: int) -> DataFrame:
-    """Pass 1: (block, bitmap) of the bits that two rows or more hit."""
+def bitmaps_of(keys: DataFrame, key: str, blocks: int, least: int = 1) -> DataFrame:
+    """(block, bitmap) of the bits that ``least`` rows or more hit."""
     hit = keys.select(_block(F.col(key), blocks).alias("block"), F.array_distinct(F.array(*_bits(F.col(key)))).alias("bits"))
     hit = hit.select("block", F.explode("bits").alias("bit"))
-    twice = hit.groupBy("block", "bit").agg(F.count("*").alias("hits")).where("hits > 1")
-    return twice.groupBy("block").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap"))
+    if least > 1:
+        hit = hit.groupBy("block", "bit").agg(F.count("*").alias("hits")).where(F.col("hits") >= least)
+    return hit.groupBy("block").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap"))
+
+
+def repeated_bits(keys: DataFrame, key: str, blocks: int) -> DataFrame:
+    """Pass 1: (block, bitmap) of the bits that two rows or more hit."""
+    return bitmaps_of(keys, key, blocks, 2)
 
 
 def _is_set(bitmap: Column, bit: Column) -> Column:

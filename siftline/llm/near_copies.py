@@ -1,37 +1,47 @@
-"""Near copies by exact Jaccard similarity of word shingles: a set-similarity join that misses no pair.
+"""Near copies by verified similarity: SimHash links, MinHash bands for what they can't see, exact Jaccard on word shingles.
 
-Sets. A text is the set of its SHINGLE-word shingles, lower-cased (A-Z), as 64-bit hashes; two texts link when the
-Jaccard similarity of their sets is SIMILAR or more. Texts of one set are one node from the start.
+Sets. A text is the set of its SHINGLE-word shingles, lower-cased (A-Z), as 64-bit hashes; two texts are near copies if
+the Jaccard similarity of their sets is SIMILAR or more. Texts of one set are one node from the start.
 
-Candidates. All shingles stand in one order, those that many documents of a bounded sample hold last, then by hash.
-Two sets of similarity SIMILAR share a shingle among the first n - ceil(SIMILAR * n) + 1 of each, and the first that they
-share stands so early that enough others may follow. So each node posts these shingles alone, with their places, and
-pairs that share one are compared if their sizes and places allow the similarity. The sample changes the cost alone;
-any order finds every pair.
+Candidates. One Arrow pass gives each text a SimHash of its shingles, the keys of its bands and a sketch (its SKETCH least
+hashes). ``simhash.links`` joins fingerprints by generalised pigeonhole, which finds close copies cheaply. At a similarity
+of 0.8 fingerprints of 64 bits differ in some ten bits, beyond what a pigeonhole can search, so bands carry the rest: ROWS
+minima each, as many that a pair of similarity SIMILAR shares none with a chance under MISS. Long passages or lines in
+common don't bring unlike texts together: a band needs ROWS shingles to be shared at once.
 
-Links. Every candidate is verified on the whole sets, which are made again for candidates only. First each posted
-shingle pairs the least of its nodes with the others, which joins most of a large group of copies. Then, for shingles
-whose nodes are still in several components, all pairs across components follow, dealt in blocks of BLOCK nodes.
-Components are found by ``simhash.labelled``. A shingle that many unlike texts post costs the square of their number.
+Verification. A pair goes if its sizes or its sketches rule the similarity out (a sketch errs with a chance under 1e-10);
+sets that fit in their sketches are compared there, others are made again from the texts. Texts move only for that: a
+bitmap of their hashes, bounded and broadcast, lets all other rows stay where they were read.
+
+Links. Keys are worked through in rounds: each key pairs one hub with its other nodes, first the least node of the key,
+then one picked by hash for each key; most of a large group of copies is then one component. Last, for keys whose nodes still are in several
+components, all pairs across components follow, dealt in blocks of BLOCK nodes. Components come from
+``simhash.labelled``. What remains quadratic is a family of texts that share bands and yet are not similar.
 
 Defined cases. A null text counts as empty; texts without words are near copies of each other and of nothing else.
 Texts of fewer than SHINGLE words hash their whole sequence. A row without an id is smaller than any other. Rows that
-repeat id and text stay once. Empty tables give empty results. All columns are carried along.
+repeat id and text stay once; rows that repeat an id with another text are rows of their own. Empty tables give empty
+results. All columns are carried along.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm import simhash
 from siftline.llm.common import in_row, lower_bytes, lowest_hashes, packed, staged
-from siftline.llm.simhash import NO_ID, labelled
+from siftline.llm.exact_dedup import bitmaps_of, filter_blocks, mark_possible
 
-SHINGLE, SAMPLE, COMMON, BLOCK = 5, 2_048, 3, 1_024
+SHINGLE, SKETCH, ROWS, MISS, BLOCK, PART = 5, 64, 4, 1e-9, 1_024, 4_096
 SIMILAR = (4, 5)  # as a fraction, so that comparisons are exact
+#: Of SKETCH least hashes of a union, two sets of similarity 0.8 share fewer than these with a chance under 1e-10.
+SHARED = 28
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,102 +60,177 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
-def posted(n: int, similar: tuple[int, int] = SIMILAR) -> int:
-    """How many shingles a set of ``n`` posts."""
-    return n - -(-n * similar[0] // similar[1]) + 1 if n else 0
-
-
-def _common(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that COMMON documents or more of the sample hold, ascending, and by how many."""
-
-    @F.pandas_udf("array<long>")
-    def some(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, size).view(np.int64) for t in texts])
+def band_count(similar: tuple[int, int] = SIMILAR) -> int:
+    """Bands that leave a pair of just this similarity without a common one with a chance under MISS."""
+    return math.ceil(math.log(MISS) / math.log(1 - (similar[0] / similar[1]) ** ROWS))
 
-    sample = lowest_hashes(rows.select("id", "text"), SAMPLE, "id")  # SAMPLE rows
-    counts = sample.select(F.explode(some("text")).alias("s")).groupBy("s").agg(F.count("*").alias("n")).where(f"n >= {COMMON}")
-    counts = counts.orderBy(F.desc("n"), "s").limit(100_000).toPandas()
-    held, n = counts.s.to_numpy(np.int64).view(np.uint64), counts.n.to_numpy(np.int64)
-    order = np.argsort(held)
-    return held[order], n[order]
 
+def band_keys(s: np.ndarray, bands: int) -> np.ndarray:
+    """A key for each band: its number and ROWS minima of the shingles under as many hash functions."""
+    if not len(s):
+        return np.zeros(0, np.int64)
+    rng = np.random.default_rng(11)
+    a, b = rng.integers(0, 1 << 63, (2, bands * ROWS), dtype=np.uint64)
+    a = a * np.uint64(2) + np.uint64(1)
+    least = np.full(bands * ROWS, np.uint64(2**64 - 1))
+    for at in range(0, len(s), PART):
+        h = s[at : at + PART, None] * a + b
+        np.minimum(least, (h ^ (h >> np.uint64(32))).min(0), out=least)
+    key = np.arange(1, bands + 1, dtype=np.uint64) * _MIX
+    for i in range(ROWS):
+        key = (key ^ least[i::ROWS]) * _MIX
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
 
-def _fits(n: Column, m: Column, i: Column, j: Column, similar: tuple[int, int]) -> Column:
-    """Whether sets of n and m can be similar if the first shingle that they share has the places i and j."""
-    most = F.least(n - i, m - j)
-    return (n * similar[1] >= m * similar[0]) & (m * similar[1] >= n * similar[0]) & (most * sum(similar) >= (n + m) * similar[0])
 
+def fingerprint(s: np.ndarray) -> np.int64:
+    """SimHash of a set of hashes: a bit is set if more than half have it."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(s), PART):
+        counts += np.unpackbits(s[at : at + PART].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * counts > len(s), bitorder="little").view(np.int64)[0]
 
-def _verified(pairs: DataFrame, rows: DataFrame, prints: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are similar, compared on the whole sets."""
 
-    @F.pandas_udf("array<long>")
-    def whole(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, size).view(np.int64) for t in texts])
+def _sketched(rows: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
+    """(id, hash, node, fp, n, bands, sketch) for each of ``rows`` (id, hash, text)."""
+    bands = band_count(similar)
 
-    pairs = staged(pairs.distinct(), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    first = prints.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "hash")).alias("f")).select("node", "f.id", "f.hash")
-    texts = rows.join(staged(first, "first"), ["id", "hash"]).dropDuplicates(["node"])
-    sets = staged(texts.select("node", whole("text").alias("set")), "sets")
-    # a node of very many pairs meets them in several blocks
-    blocks = staged(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "hubs")
-    left = sets.withColumnRenamed("node", "a").join(blocks, "a").select("a", F.col("set").alias("left"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    pairs = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"))
-    found = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("right")), "b").join(left, ["a", "block"])
-    both = F.size(F.array_intersect("left", "right"))
-    return staged(found.where(both * sum(similar) >= (F.size("left") + F.size("right")) * similar[0]).select("a", "b"), "similar")
-
-
-def _components(rows: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame:
-    """(id, hash, label) of each of ``rows`` (id, hash, text)."""
-    held, counts = _common(rows, size)
-
-    @F.pandas_udf("node long, n long, post array<long>")
+    @F.pandas_udf("node long, fp long, n long, bands array<long>, sketch array<long>")
     def describe(texts: pd.Series) -> pd.DataFrame:
         out = []
         for text in texts:
             s = shingles(text, size)
-            n = len(s)
             node = np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)
-            if len(held) and n:
-                at = np.minimum(np.searchsorted(held, s), len(held) - 1)
-                s = s[np.argsort(np.where(held[at] == s, counts[at], 0), kind="stable")]
-            out.append((node, n, s[: posted(n, similar)].view(np.int64)))
-        return pd.DataFrame(out, columns=["node", "n", "post"])
-
-    prints = staged(rows.select("id", "hash", describe("text").alias("d")).select("id", "hash", "d.*"), "prints")
-    posts = prints.select("node", "n", F.posexplode("post").alias("i", "key"))
-    shared = posts.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
-    shared = staged(shared.select("key", "hub"), "shared")
-    posts = staged(posts.join(shared, "key").select("key", "hub", "node", "n", "i").distinct(), "posts")
-    star = posts.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), "n")
-    sizes = posts.where("node = hub").select(F.col("node").alias("a"), F.col("n").alias("m")).distinct()
-    star = star.distinct().join(sizes, "a").where(_fits(F.col("n"), F.col("m"), F.lit(0), F.lit(0), similar)).select("a", "b")
-    found = _verified(star, rows, prints, size, similar)
-    ends = lambda links: links.select(F.col("a").alias("fp")).unionByName(links.select(F.col("b").alias("fp"))).distinct()
-    labels = labelled(ends(found), found).select(F.col("fp").alias("node"), "label")
-
-    posts = staged(posts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).drop("hub"), "posts")
-    largest = posts.groupBy("key", "label").agg(F.count("*").alias("k"))
-    largest = largest.groupBy("key").agg(F.max(F.struct("k", "label"))["label"].alias("largest"), F.count("*").alias("labels"), F.sum("k").alias("k"))
-    largest = staged(largest.where("labels > 1").select("key", "largest", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")), "open")
-    posts = posts.join(largest, "key")
-    right = posts.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("label").alias("other"), F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))
-    left = posts.where("label <> largest").select("key", F.col("node").alias("a"), "n", "i", "label", "largest", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"))
-    across = left.join(right, ["key", "x", "y"]).where((F.col("label") != F.col("other")) & ((F.col("other") == F.col("largest")) | (F.col("a") < F.col("b"))))
-    across = across.where(_fits(F.col("n"), F.col("m"), F.col("i"), F.col("j"), similar)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found = staged(found.unionByName(_verified(across, rows, prints, size, similar)), "links")
-    labels = labelled(ends(found), found).select(F.col("fp").alias("node"), "label")
-    return prints.select("id", "hash", "node").join(labels, "node", "left").select("id", "hash", F.coalesce("label", "node").alias("label"))
+            out.append((node, fingerprint(s), len(s), band_keys(s, bands), s[:SKETCH].view(np.int64)))
+        return pd.DataFrame(out, columns=["node", "fp", "n", "bands", "sketch"])
+
+    return rows.select("id", "hash", describe("text").alias("d")).select("id", "hash", "d.*")
+
+
+def _pairs(a: Column, b: Column) -> tuple[Column, Column]:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+class _Join:
+    """One run over (id, hash, text): nodes, their sketches, and verified links."""
+
+    def __init__(self, rows: DataFrame, size: int, similar: tuple[int, int]):
+        self.rows, self.size, self.similar = rows, size, similar
+        self.prints = staged(_sketched(rows, size, similar), "prints")
+        first = F.min(F.struct("id", "hash", "fp", "n", "bands", "sketch")).alias("f")
+        self.nodes = staged(self.prints.groupBy("node").agg(first).select("node", "f.*"), "nodes")
+        self.found, self.labels = None, None
+
+    def fingerprint_pairs(self) -> DataFrame:
+        """Nodes of one fingerprint, and of fingerprints that the pigeonhole links."""
+        by_fp = staged(self.nodes.groupBy("fp").agg(F.min("node").alias("hub")), "fps")
+        sample = lowest_hashes(by_fp.select("fp"), simhash.SAMPLE, "fp").toPandas().fp  # SAMPLE rows, for the plan alone
+        links = simhash.links(by_fp, simhash.plan(sample.to_numpy(np.int64).view(np.uint64), by_fp.count()))
+        equal = self.nodes.select("fp", "node").join(by_fp, "fp").where("node <> hub").select(*_pairs(F.col("hub"), F.col("node")))
+        names = by_fp.select(F.col("fp").alias("a"), F.col("hub").alias("x"))
+        others = by_fp.select(F.col("fp").alias("b"), F.col("hub").alias("y"))
+        return equal.unionByName(links.join(names, "a").join(others, "b").select(*_pairs(F.col("x"), F.col("y"))))
+
+    def posts(self) -> DataFrame:
+        """(key, node) of the bands that several nodes have."""
+        posts = self.nodes.select("node", F.explode("bands").alias("key"))
+        shared = posts.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+        return staged(posts.join(shared.select("key"), "key"), "posts")
+
+    def open_posts(self, posts: DataFrame) -> DataFrame:
+        """(key, node, label, largest) of keys whose nodes are in several components, with the largest component."""
+        posts = posts.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        posts = staged(posts, "posts")
+        by = posts.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key")
+        by = by.agg(F.max(F.struct("k", "label"))["label"].alias("largest"), F.count("*").alias("labels"), F.sum("k").alias("k"))
+        return staged(posts.join(by.where("labels > 1").drop("labels"), "key"), "open")
+
+    def hub_pairs(self, posts: DataFrame, by: Column) -> DataFrame:
+        """Each node with the hub of each of its keys, the node of least ``by``, unless they are together already."""
+        hubs = posts.groupBy("key").agg(F.min_by(F.struct("node", "label"), by).alias("hub"))
+        return posts.join(hubs, "key").where(F.col("label") != F.col("hub.label")).select(*_pairs(F.col("hub.node"), F.col("node")))
+
+    def across_pairs(self, posts: DataFrame) -> DataFrame:
+        """All pairs of a key across components, but for those inside its largest, in blocks."""
+        posts = posts.withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int"))
+        block, all_blocks = F.pmod(F.xxhash64("node"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        left = posts.where("label <> largest").select("key", F.col("node").alias("x"), "label", "largest", block.alias("i"), all_blocks.alias("j"))
+        right = posts.select("key", F.col("node").alias("y"), F.col("label").alias("other"), block.alias("j"), all_blocks.alias("i"))
+        met = left.join(right, ["key", "i", "j"]).where((F.col("label") != F.col("other")) & ((F.col("other") == F.col("largest")) | (F.col("x") < F.col("y"))))
+        return met.select(*_pairs(F.col("x"), F.col("y")))
+
+    def add(self, pairs: DataFrame) -> None:
+        """Verifies candidates, keeps the links, and names the components anew."""
+        pairs, (p, q) = pairs.distinct(), self.similar
+        side = lambda c, m, s: self.nodes.select(F.col("node").alias(c), F.col("n").alias(m), F.col("sketch").alias(s))
+        met = pairs.join(side("a", "m", "s"), "a").where("m > 0").join(side("b", "n", "t"), "b")
+        met = met.where((F.col("n") * q >= F.col("m") * p) & (F.col("m") * q >= F.col("n") * p))
+        both = F.array_intersect("s", "t")
+        exact = (F.col("n") <= SKETCH) & (F.col("m") <= SKETCH)
+        # SKETCH least hashes of the union; hashes sort as unsigned numbers
+        least = F.slice(F.array_sort(F.transform(F.array_union("s", "t"), lambda h: h.bitwiseXOR(F.lit(simhash.NO_ID).cast("long")))), 1, SKETCH)
+        common = F.size(F.array_intersect(least, F.transform(both, lambda h: h.bitwiseXOR(F.lit(simhash.NO_ID).cast("long")))))
+        similar = F.size(both) * (p + q) >= (F.col("n") + F.col("m")) * p
+        met = met.select("a", "b", exact.alias("exact"), F.when(exact, similar).otherwise(common >= SHARED).alias("close")).where("close")
+        met = staged(met.select("a", "b", "exact"), "close")
+        links = met.where("exact").select("a", "b").unionByName(self.compared(met.where("not exact").select("a", "b")))
+        self.found = staged(links if self.found is None else links.unionByName(self.found), "links")
+        ends = self.found.select(F.col("a").alias("fp")).unionByName(self.found.select(F.col("b").alias("fp"))).distinct()
+        self.labels = simhash.labelled(ends, self.found).select(F.col("fp").alias("node"), "label")
+
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` that are similar, compared on whole sets."""
+        size, (p, q) = self.size, self.similar
+
+        @F.pandas_udf("array<long>")
+        def whole(texts: pd.Series) -> pd.Series:
+            return pd.Series([shingles(t, size).view(np.int64) for t in texts])
+
+        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        first = staged(self.nodes.join(nodes, "node", "left_semi").select("node", "id", "hash"), "first")
+        texts = only(self.rows, F.col("hash"), first).join(first, ["id", "hash"]).dropDuplicates(["node"])
+        sets = staged(texts.select("node", whole("text").alias("set")), "sets")
+        met = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b")
+        return met.where(F.size(F.array_intersect("s", "t")) * (p + q) >= (F.size("s") + F.size("t")) * p).select("a", "b")
+
+    def run(self) -> DataFrame:
+        """(id, hash, label) of each row."""
+        posts = self.posts()
+        hubs = posts.groupBy("key").agg(F.min("node").alias("hub"))
+        first = posts.join(hubs, "key").where("node <> hub").select(*_pairs(F.col("hub"), F.col("node")))
+        self.add(self.fingerprint_pairs().unionByName(first))
+        posts = self.open_posts(posts)
+        self.add(self.hub_pairs(posts, F.xxhash64("node", "key")))
+        posts = self.open_posts(posts.select("key", "node"))
+        self.add(self.across_pairs(posts))
+        return self.prints.select("id", "hash", "node").join(self.labels, "node", "left").select("id", "hash", F.coalesce("label", "node").alias("label"))
+
+
+def only(rows: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """Rows whose key may be one of the hashes of ``wanted``, by bitmaps: all of those, and few others; nothing shuffles."""
+    return marked(rows, key, wanted).where("_possible").drop("_possible")
+
+
+def marked(rows: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    blocks = filter_blocks(wanted.count())
+    return mark_possible(rows, key, staged(bitmaps_of(wanted.select("hash"), "hash", blocks), "bitmaps"), blocks)
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """The rows of ``docs`` that stay, one for each group that links connect: that of the smallest id."""
-    number = lambda c: F.coalesce(c.cast("long"), F.lit(NO_ID))
+    """The rows of ``docs`` that stay, one for each group that links connect: that of the smallest id.
+
+    Rows alone in their group pass straight through; only members of groups shuffle.
+    """
+    number = lambda c: F.coalesce(c.cast("long"), F.lit(simhash.NO_ID))
     text = lambda c: F.coalesce(c, F.lit(""))
     rows = docs.select(number(F.col(id_col)).alias("id"), F.xxhash64(text(F.col(text_col))).alias("hash"), text(F.col(text_col)).alias("text"))
-    stay = _components(rows, size, similar).groupBy("label").agg(F.min(F.struct("id", "hash")).alias("f"))
-    stay = staged(stay.select(F.col("f.id").alias("_id"), F.col("f.hash").alias("_hash")), "stay")
-    out = packed(docs, _id=number(F.col(id_col)), _hash=F.xxhash64(text(F.col(text_col))))
-    return out.join(stay, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("row.*")
+    member = staged(_Join(rows, size, similar).run(), "members")
+    groups = member.groupBy("label").agg(F.min(F.struct("id", "hash")).alias("f"), F.count("*").alias("rows")).where("rows > 1")
+    member = staged(member.join(groups.select("label", "f"), "label").select("id", "hash", "f"), "grouped")
+    stay = member.select(F.col("f.id").alias("_id"), F.col("f.hash").alias("_hash")).distinct()
+    out = marked(packed(docs, _hash=F.xxhash64(text(F.col(text_col)))), F.col("_hash"), member)
+    some = out.where("_possible").withColumn("_id", number(in_row(id_col)))
+    grouped = member.select(F.col("id").alias("_id"), F.col("hash").alias("_hash")).distinct()
+    kept = some.join(stay, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]).select("row.*")
+    others = some.join(grouped, ["_id", "_hash"], "left_anti").select("row.*")
+    return out.where("not _possible").select("row.*").unionByName(others).unionByName(kept)
