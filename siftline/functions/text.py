@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,3 +131,22 @@ def stable_id(prefix: str, length: int, *parts: Column) -> Column:
     """``prefix`` and the first ``length`` hex digits of the SHA-256 of the parts joined by the unit separator."""
     joined = F.concat_ws("\x1f", *[p.cast("string") for p in parts])
     return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(joined, 256), 1, length))
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Accented letters that decompose to one letter and marks, and those letters; the marks come last, without a partner."""
+    accented, plain = [], []
+    for code in range(0xC0, 0x2000):
+        parts = unicodedata.normalize("NFKD", chr(code))
+        base = "".join(c for c in parts if not unicodedata.combining(c))
+        if len(base) == 1 and base != chr(code):
+            accented.append(chr(code))
+            plain.append(base)
+    marks = [chr(code) for code in range(0x300, 0x370) if unicodedata.combining(chr(code))]
+    return "".join([*accented, *marks]), "".join(plain)
+
+
+def unaccented(text: Column) -> Column:
+    """Letters without their accents, in scripts below U+2000; a letter that decomposes to several stays."""
+    accented, plain = _plain_letters()
+    return F.translate(text, accented, plain)

@@ -30,9 +30,10 @@ def compiled(conditions: dict[str, Any], array_columns: tuple[str, ...] = ()) ->
     return out
 
 
-def in_window(occurred: Column, created: Column, low: str, high: str) -> Column:
+def in_window(occurred: Column, created: Column, low: str | Column, high: str | Column) -> Column:
     """Both ends included, on the moment it occurred or else was created; unknown moments are outside."""
-    return F.coalesce(F.coalesce(occurred, created).between(F.lit(low).cast("timestamp"), F.lit(high).cast("timestamp")), F.lit(False))
+    moment = lambda v: (v if isinstance(v, Column) else F.lit(v)).cast("timestamp")
+    return F.coalesce(F.coalesce(occurred, created).cast("timestamp").between(moment(low), moment(high)), F.lit(False))
 
 
 def permitted(source: Column, source_roles: Column, chunk_roles: Column, role: str, access: tuple[str, ...] = (), denied: tuple[str, ...] = ()) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import identifiers as I
 from siftline.functions import text as T
+from siftline.operators.store import capped
 
 # Scores of the steps, the gap that the best needs over the next, the least fuzzy ratio.
 EXACT, NORMALISED, FUZZY_LEAST, MARGIN = 1.0, 0.95, 0.88, 0.05
@@ -80,3 +81,10 @@ def exact_ids(queries: DataFrame, links: DataFrame) -> DataFrame:
     asked = queries.select("query_id", F.explode(I.identifiers_in(F.col("text"))).alias("i"))
     asked = asked.groupBy("query_id", F.col("i.canonical").alias("canonical")).agg(F.max("i.confidence").alias("confidence"))
     return asked.join(links, "canonical").select("query_id", "chunk_id", "canonical", F.lit(1.0).alias("score")).distinct()
+
+
+def linked(queries: DataFrame, links: DataFrame, most: int = 200) -> DataFrame:
+    """(query_id, chunk_id, score): chunks linked to the entities of each query, the surest ``most`` of each entity; a chunk
+    with several links counts its best. queries: (query_id, entity_id); links: (entity_id, chunk_id, score)."""
+    best = capped(links, "entity_id", [F.desc("score"), F.asc("chunk_id")], most)
+    return best.join(queries.distinct(), "entity_id").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))

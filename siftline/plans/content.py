@@ -109,9 +109,12 @@ def row_serialise(spark, sf_dir):
     return rows.select("o_orderkey", readers.row_text("orders", "o_orderkey", ["o_custkey", "o_orderstatus", "o_orderpriority"]).alias("text"))
 
 
-@query("SELECT conv_id, turn, '| ' || replace(role, '|', '\\|') || ' | ' || replace(left(text, 20), '|', '\\|') || ' |' AS line FROM conversations")
+_CELL = "trim(regexp_replace(replace({c}, '|', '\\|'), '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT conv_id, turn, '| ' || {_CELL.format(c='role')} || ' | ' || {_CELL.format(c='text')} || ' |' AS line FROM conversations")
 def markdown_table(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", readers.table_line(F.array("role", F.left("text", F.lit(20)))).alias("line"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", readers.table_line(F.array("role", "text")).alias("line"))
 
 
 @query("SELECT page_id, CASE ext WHEN 'html' THEN 'document' ELSE 'other' END AS kind FROM (SELECT page_id, lower(regexp_extract(split_part(split_part(url, '#', 1), '?', 1), '\\.([A-Za-z0-9]+)$', 1)) AS ext FROM pages)")
@@ -182,18 +185,6 @@ def html_groups(spark, sf_dir):
     return chunking.with_groups(chunking.with_sections(blocks)).groupBy("doc_id", "group").agg(F.count("*").alias("blocks"), F.min("ordinal").alias("first"))
 
 
-@query()
-def snippets(spark, sf_dir):
-    """The window of each document that says most about a question."""
-    terms = ["stupid", "that", "die", "que"]
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([chunking.snippet(t, terms) for t in texts])
-
-    return table(spark, sf_dir, "documents").select("doc_id", cut("text").alias("snippet"))
-
-
 @query()
 def hash_embed(spark, sf_dir):
     @F.pandas_udf("array<double>")

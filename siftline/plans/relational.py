@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftline.operators import chunking
 from siftline.operators import filters as P
 from siftline.plans.base import Registry, table
 from siftline.plans.sql_guard import Guard
@@ -21,12 +22,15 @@ def facet_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(P.compiled({"lang": ["en", "fr"], "source": {"eq": "src3"}})).select("doc_id", "lang", "source")
 
 
-@query("SELECT event_id, event_type FROM events WHERE ts BETWEEN (SELECT min(ts) FROM events) + INTERVAL 1 DAY AND TIMESTAMP '2024-06-30 00:00:00'")
+@query("SELECT event_id, event_type FROM events WHERE coalesce(CASE WHEN event_type <> 'error' THEN ts END, ts + INTERVAL 20 DAY) BETWEEN (SELECT min(ts) FROM events) + INTERVAL 10 DAY AND (SELECT min(ts) FROM events) + INTERVAL 40 DAY")
 def time_window_filter(spark, sf_dir):
+    """The moment an event occurred counts, or else (for errors) that of its record, twenty days on."""
     events = table(spark, sf_dir, "events")
-    first = events.agg((F.min("ts") + F.expr("INTERVAL 1 DAY")).alias("low"))  # one row
+    first = events.agg(F.min("ts").alias("first"))  # one row
     rows = events.crossJoin(F.broadcast(first))
-    return rows.where(F.col("ts").between(F.col("low"), F.lit("2024-06-30 00:00:00").cast("timestamp_ntz"))).select("event_id", "event_type")
+    occurred, created = F.when(F.col("event_type") != "error", F.col("ts")), F.col("ts") + F.expr("INTERVAL 20 DAYS")
+    day = lambda n: F.col("first") + F.expr(f"INTERVAL {n} DAYS")
+    return rows.where(P.in_window(occurred, created, day(10), day(40))).select("event_id", "event_type")
 
 
 _ROLES = "CASE WHEN doc_id % 3 = 0 THEN ['admin'] WHEN doc_id % 3 = 1 THEN ['admin', 'analyst'] ELSE [] END"
@@ -132,16 +136,15 @@ def missing_anti_join(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id")
 
 
-@query("""WITH s AS (SELECT conv_id * 10 + k AS scene_id, conv_id, k * 3.0::DOUBLE AS a, k * 3.0::DOUBLE + 2.5 AS b FROM (SELECT DISTINCT conv_id FROM conversations), range(0, 4) AS r(k))
-SELECT scene_id, string_agg(text, ' ' ORDER BY turn, text) AS text, count(*) AS parts FROM conversations c JOIN s ON c.conv_id = s.conv_id AND turn + 1.0 > a AND turn < b GROUP BY scene_id""")
+@query("""WITH s AS (SELECT conv_id * 1000 + k AS scene_id, conv_id, k * 3.0::DOUBLE AS a, k * 3.0::DOUBLE + 2.5 AS b FROM (SELECT conv_id, max(turn) // 3 AS last FROM conversations GROUP BY ALL), unnest(range(0, last + 1)) AS r(k))
+SELECT scene_id, string_agg(text, ' ' ORDER BY turn, text) AS text FROM conversations c JOIN s ON c.conv_id = s.conv_id AND turn + 1.0 > a AND turn < b GROUP BY scene_id""")
 def interval_overlap_join(spark, sf_dir):
-    """Turns as spans of a second, scenes of 2.5 seconds every three: overlap within a conversation, texts in order."""
+    """Turns as spans of a second, scenes of 2.5 seconds every three up to the last turn: overlap within a conversation."""
     turns = table(spark, sf_dir, "conversations")
-    scenes = turns.select("conv_id").distinct().select("conv_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
-    scenes = scenes.select("conv_id", (F.col("conv_id") * 10 + F.col("k")).alias("scene_id"), (F.col("k") * 3.0).alias("a"), (F.col("k") * 3.0 + 2.5).alias("b"))
-    hits = turns.join(scenes, "conv_id").where((F.col("turn") + 1.0 > F.col("a")) & (F.col("turn") < F.col("b")))
-    parts = hits.groupBy("scene_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p"), F.count("*").alias("parts"))
-    return parts.select("scene_id", F.array_join("p.text", " ").alias("text"), "parts")
+    last = turns.groupBy("conv_id").agg(F.floor(F.max("turn") / 3).alias("last"))
+    scenes = last.select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("k"))
+    scenes = scenes.select("conv_id", (F.col("conv_id") * 1000 + F.col("k")).alias("scene_id"), (F.col("k") * 3.0).alias("start_s"), (F.col("k") * 3.0 + 2.5).alias("end_s"))
+    return chunking.scene_text(turns.select("conv_id", F.col("turn").cast("double").alias("start"), (F.col("turn") + 1.0).alias("stop"), "text"), scenes)
 
 
 @query("SELECT DISTINCT o_custkey, p_brand FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey")
@@ -283,17 +286,25 @@ def upsert_latest(spark, sf_dir):
 # ---- windows ---------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn) AS section FROM conversations")
+def _blocks(spark, sf_dir) -> DataFrame:
+    """Turns as blocks: those of users are headings, those of a length divisible by 7 tables."""
+    kind = F.when(F.col("role") == "user", "heading").when(F.length("text") % 7 == 0, "table").otherwise("paragraph")
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("ordinal"), kind.alias("kind"), "text")
+
+
+_BLOCKS = "SELECT conv_id AS doc_id, turn AS ordinal, text, CASE WHEN role = 'user' THEN 'heading' WHEN length(text) % 7 = 0 THEN 'table' ELSE 'paragraph' END AS kind FROM conversations"
+_SECTIONS = f"SELECT *, last_value(CASE WHEN kind = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ordinal) AS section FROM ({_BLOCKS})"
+
+
+@query(f"SELECT doc_id, ordinal, section FROM ({_SECTIONS})")
 def section_carry_forward(spark, sf_dir):
-    w = W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, 0)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("section"))
+    return chunking.with_sections(_blocks(spark, sf_dir)).select("doc_id", "ordinal", "section")
 
 
-@query("SELECT conv_id, turn, CAST(sum(b) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS grp FROM (SELECT conv_id, turn, CASE WHEN role IS DISTINCT FROM lag(role) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS b FROM conversations)")
+@query(f"""SELECT doc_id, ordinal, CAST(sum(b) OVER (PARTITION BY doc_id ORDER BY ordinal) AS BIGINT) AS "group" FROM (
+  SELECT *, CASE WHEN kind IN ('heading', 'table') OR coalesce(lag(kind) OVER w = 'table', true) OR section IS DISTINCT FROM lag(section) OVER w THEN 1 ELSE 0 END AS b FROM ({_SECTIONS}) WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal))""")
 def group_breaks(spark, sf_dir):
-    w = W.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role").eqNullSafe(F.lag("role").over(w)), 0).otherwise(1).alias("b"))
-    return rows.select("conv_id", "turn", F.sum("b").over(w).alias("grp"))
+    return chunking.with_groups(chunking.with_sections(_blocks(spark, sf_dir))).select("doc_id", "ordinal", "group")
 
 
 @query("SELECT o_custkey, CAST((r - 1) // 25 AS BIGINT) AS batch, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) GROUP BY ALL")
@@ -303,28 +314,36 @@ def row_batches(spark, sf_dir):
     return rows.groupBy("o_custkey", "batch").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
-@query("SELECT * FROM (SELECT user_id, event_id, ts AS start_at, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS end_at FROM events) WHERE end_at IS NOT NULL AND end_at - start_at >= INTERVAL 10 MINUTE")
+_CUTS = "SELECT user_id AS id, start, stop, d FROM (SELECT user_id, cut AS start, lead(cut) OVER w AS stop, max(cut) OVER (PARTITION BY user_id) AS d FROM (SELECT user_id, value AS cut FROM events UNION SELECT DISTINCT user_id, 0.0::DOUBLE FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY cut)) WHERE stop IS NOT NULL"
+
+
+@query(f"""SELECT id, ordinal, min(start) AS start, max(stop) AS stop FROM (
+  SELECT *, CAST(sum(fresh) OVER (PARTITION BY id ORDER BY start) AS BIGINT) - 1 AS ordinal FROM (
+    SELECT *, CASE WHEN stop - start >= least(1.5, greatest(d / 4, 0.25)) OR start = 0 THEN 1 ELSE 0 END AS fresh FROM ({_CUTS}))) GROUP BY ALL""")
 def scene_spans(spark, sf_dir):
-    """Spans between consecutive cuts, short ones dropped."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").alias("start_at"), F.lead("ts").over(w).alias("end_at"))
-    return rows.where(F.col("end_at") - F.col("start_at") >= F.expr("INTERVAL 10 MINUTES"))
+    """The values of each user's events as cut points: spans between them, too short ones joined to the one before."""
+    events = table(spark, sf_dir, "events")
+    cuts = events.select(F.col("user_id").alias("id"), F.col("value").alias("start")).unionByName(events.select(F.col("user_id").alias("id"), F.lit(0.0).alias("start"))).distinct()
+    w = W.partitionBy("id")
+    spans = cuts.select("id", "start", F.lead("start").over(w.orderBy("start")).alias("stop"), F.max("start").over(w).alias("d")).where("stop IS NOT NULL")
+    return chunking.merged_spans(spans, chunking.least_scene(F.col("d")))
 
 
 @query("SELECT conv_id AS id, k AS ordinal, k * 10.0::DOUBLE AS start_s, least(d, (k + 1) * 10.0)::DOUBLE AS end_s FROM (SELECT conv_id, sum(length(text)) / 15.0 AS d FROM conversations GROUP BY ALL), unnest(range(0, CAST(ceil(d / 10) AS BIGINT))) AS u(k)")
 def uniform_scenes(spark, sf_dir):
-    from siftline.operators.chunking import uniform_scenes as scenes
-
     spoken = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg((F.sum(F.length("text")) / 15.0).alias("duration"))
-    return scenes(spoken, 10)
+    return chunking.uniform_scenes(spoken, 10)
+
+
+_SPOKEN = "SELECT conv_id, turn, turn * 12.0::DOUBLE AS start, turn * 12.0::DOUBLE + length(text) / 15.0::DOUBLE AS stop FROM conversations"
 
 
-@query("SELECT conv_id, turn, 'speaker_' || (CAST(sum(g) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) % 4) AS speaker FROM (SELECT conv_id, turn, CASE WHEN length(text) % 5 = 0 AND turn > 0 THEN 1 ELSE 0 END AS g FROM conversations)")
+@query(f"SELECT conv_id, turn, 'speaker_' || (CAST(sum(g) OVER (PARTITION BY conv_id ORDER BY start, turn) AS BIGINT) % 4) AS speaker FROM (SELECT *, CASE WHEN start - lag(stop) OVER (PARTITION BY conv_id ORDER BY start, turn) >= 1.5 THEN 1 ELSE 0 END AS g FROM ({_SPOKEN}))")
 def speaker_labels(spark, sf_dir):
-    """A gap moves on to the next of four labels; here a text length divisible by 5 stands for a gap."""
-    w = W.partitionBy("conv_id").orderBy("turn")
-    gap = F.when((F.length("text") % 5 == 0) & (F.col("turn") > 0), 1).otherwise(0)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("speaker_"), (F.sum(gap).over(w) % 4).cast("string")).alias("speaker"))
+    """A turn every twelve seconds, spoken at 15 characters a second: silences move on to the next of four labels."""
+    start = F.col("turn") * 12.0
+    spoken = table(spark, sf_dir, "conversations").select("conv_id", "turn", start.alias("start"), (start + F.length("text") / 15.0).alias("stop"))
+    return chunking.speakers(spoken).select("conv_id", "turn", "speaker")
 
 
 # ---- guarded SQL -----------------------------------------------------------------------------------------------------

@@ -36,28 +36,38 @@ class Guard:
     spark: SparkSession
     tables: tuple[str, ...]
     row_cap: int = ROW_CAP
+    timeout_s: float = TIMEOUT_S
     trail: list[dict[str, Any]] = field(default_factory=list)
 
     def check(self, sql: str) -> None:
-        """Raises Rejected unless this is one SELECT over allowed tables."""
+        """Raises Rejected unless this is one SELECT over allowed tables with functions that compute and do nothing else.
+
+        Tables, names of common table expressions and functions are read from the parsed tree, never from its text.
+        """
         if re.search(r"/\*[!+]", sql):
             raise Rejected("executable comments and hints are not allowed")
         try:
             plan = self.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
         except ParseException as e:
             raise Rejected(f"not one valid statement: {str(e)[:120]}") from None
-        allowed = {t.lower() for t in self.tables}
-        names, aliases, kinds = _relations(plan)
-        commands = [k for k in kinds if re.search(r"Command|Create|Drop|Insert|Delete|Update|Merge|Alter|Truncate|SetCatalog|Describe|Show|Explain|Cache|AddJar|Analyze", k)]
+        found = _Names(self.spark)
+        found.walk(plan)
+        commands = sorted(k for k in found.kinds if COMMANDS.search(k))
         if commands:
             raise Rejected(f"only SELECT is allowed, not {commands[0]}")
-        shadowing = {a for a in aliases - allowed if self.spark.catalog.tableExists(a)}  # a CTE must not hide a closed table
-        bad = sorted((names - aliases - allowed) | shadowing)
+        if found.generators:
+            raise Rejected(f"not an allowed table function: {sorted(found.generators)[0]}")
+        allowed = {t.lower() for t in self.tables}
+        shadowing = {a for a in found.aliases - allowed if self.spark.catalog.tableExists(a)}  # a CTE must not hide a closed table
+        bad = sorted((found.relations - found.aliases - allowed) | shadowing)
         if bad:
             raise Rejected(f"not an allowed table: {', '.join(bad)}")
+        unknown = sorted(f for f in found.functions if _group(self.spark, f) not in FUNCTION_GROUPS)
+        if unknown:
+            raise Rejected(f"not an allowed function: {', '.join(unknown)}")
 
     def query(self, sql: str, args: dict[str, Any] | list[Any] | None = None, role: str = "analyst", user: str = "", limit: int | None = None) -> Result:
-        """Rows of an allowed statement, at most the cap, and whether there were more."""
+        """Rows of an allowed statement, at most the cap, and whether there were more; run once, within the deadline."""
         entry = {"sql": sql, "params": str(args or {}), "user_id": user, "ok": False, "error": None, "created_at": time.time()}
         self.trail.append(entry)
         try:
@@ -65,37 +75,94 @@ class Guard:
                 raise Rejected(f"role {role} may not run SQL")
             self.check(sql)
             cap = min(self.row_cap, limit) if limit is not None else self.row_cap
-            found = self.spark.sql(sql, args=args) if args else self.spark.sql(sql)
-            more = found.limit(cap + 1).count() > cap
+            found = coerced((self.spark.sql(sql, args=args) if args else self.spark.sql(sql)).limit(cap + 1))
+            rows = self.with_deadline(self.timeout_s, found.collect)  # the cap and one more
             entry["ok"] = True
-            return Result(coerced(found.limit(cap)), more, cap)
+            return Result(self.spark.createDataFrame(rows[:cap], found.schema), len(rows) > cap, cap)
         except Exception as e:
             entry["error"] = str(e)[:500]
             raise
 
     def with_deadline(self, seconds: float, run):
         """Runs ``run()`` and cancels its Spark jobs when the time is over."""
-        sc, group = self.spark.sparkContext, f"guard-{uuid.uuid4().hex}"
+        sc, group, late = self.spark.sparkContext, f"guard-{uuid.uuid4().hex}", threading.Event()
+
+        def cancel() -> None:
+            late.set()
+            sc.cancelJobGroup(group)
+
         sc.setJobGroup(group, "guarded query", interruptOnCancel=True)
-        timer = threading.Timer(seconds, lambda: sc.cancelJobGroup(group))
+        timer = threading.Timer(seconds, cancel)
         timer.start()
         try:
             return run()
+        except Exception:
+            if late.is_set():
+                raise TimeoutError(f"the statement took more than {seconds:g} s") from None
+            raise
         finally:
             timer.cancel()
+            for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+                sc.setLocalProperty(name, None)
 
     def audit(self) -> DataFrame:
         schema = "sql string, params string, user_id string, ok boolean, error string, created_at double"
         return self.spark.createDataFrame([tuple(t[k] for k in ("sql", "params", "user_id", "ok", "error", "created_at")) for t in self.trail], schema)
 
-
-def _relations(plan) -> tuple[set[str], set[str], list[str]]:
-    """Names of all relations in the plan, its CTE names, and the classes of its nodes; subqueries included."""
-    text = plan.toString() if hasattr(plan, "toString") else str(plan)
-    names = {m.lower() for m in re.findall(r"UnresolvedRelation \[([^\]]+)\]", text)}
-    names = {n.replace(", ", ".") for n in names}
-    aliases = {m.lower() for block in re.findall(r"CTE \[([^\]]*)\]", text) for m in block.split(", ")}
-    return names, aliases, [plan.getClass().getSimpleName(), *re.findall(r"^[\s:+-]*'?(\w+)", text, re.M)]
+    def write_audit(self, path: str) -> None:
+        """Appends the trail to a table and starts a new one."""
+        self.audit().write.mode("append").parquet(path)
+        self.trail.clear()
+
+
+COMMANDS = re.compile(r"Command|Create|Drop|Insert|Delete|Update|Merge|Alter|Truncate|Catalog|Describe|Show|Explain|Cache|AddJar|Analyze|SetVariable|Execute|Call|Overwrite|AppendData|Script")
+#: Groups of Spark's own functions that only compute. What calls into the JVM or tells about the session is in none of them.
+FUNCTION_GROUPS = frozenset(
+    f"{g}_funcs" for g in ("agg", "array", "bitwise", "collection", "conditional", "conversion", "csv", "date", "datetime", "generator", "hash", "json", "lambda", "map", "math", "predicate", "string", "struct", "url", "variant", "window")
+)
+
+
+def _group(spark: SparkSession, name: str) -> str:
+    """The group of a function of Spark's own; "" for any other, and for one in a database."""
+    jvm = spark.sparkContext._jvm.org.apache.spark.sql.catalyst
+    found = jvm.analysis.FunctionRegistry.builtin().lookupFunction(jvm.FunctionIdentifier(name))
+    return found.get().getGroup() if found.isDefined() else ""
+
+
+class _Names:
+    """What a parsed statement names: relations, common table expressions, functions, table functions, kinds of nodes."""
+
+    def __init__(self, spark: SparkSession):
+        self.relations, self.aliases, self.functions, self.generators, self.kinds = set(), set(), set(), set(), set()
+        load = spark.sparkContext._jvm.java.lang.Class.forName
+        self.plans = load("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan")
+        self.holders = load("org.apache.spark.sql.catalyst.expressions.PlanExpression")
+
+    @staticmethod
+    def _all(seq) -> list:
+        return [seq.apply(i) for i in range(seq.size())]
+
+    def walk(self, root) -> None:
+        todo = [root]
+        while todo:
+            node = todo.pop()
+            kind = node.getClass().getSimpleName()
+            if self.plans.isInstance(node):
+                self.kinds.add(kind)
+                todo += self._all(node.expressions())
+            if kind == "UnresolvedRelation":
+                self.relations.add(".".join(self._all(node.multipartIdentifier())).lower())
+            elif kind == "UnresolvedWith":
+                for pair in self._all(node.cteRelations()):
+                    self.aliases.add(pair._1().lower())
+                    todo.append(pair._2())
+            elif kind == "UnresolvedFunction":
+                self.functions.add(".".join(self._all(node.nameParts())).lower())
+            elif "TableValuedFunction" in kind or kind == "UnresolvedTVFAliases":
+                self.generators.add(kind)
+            if self.holders.isInstance(node):
+                todo.append(node.plan())
+            todo += self._all(node.children())
 
 
 def coerced(df: DataFrame) -> DataFrame:

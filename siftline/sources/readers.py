@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -53,10 +55,82 @@ def row_text(table: str, key: str, columns: list[str]) -> Column:
     return F.when(F.size(body) == 0, F.lit("")).otherwise(F.array_join(F.concat(F.array(head), body), "\n"))
 
 
+def cell(value: Column) -> Column:
+    """A value as a cell of a Markdown table: bars escaped, white space collapsed."""
+    return F.trim(F.regexp_replace(F.replace(F.coalesce(value, F.lit("")), F.lit("|"), F.lit("\\|")), r"\s+", " "))
+
+
 def table_line(cells: Column) -> Column:
-    """One line of a Markdown table; bars inside cells escaped."""
-    safe = F.transform(cells, lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")))
-    return F.concat(F.lit("| "), F.array_join(safe, " | "), F.lit(" |"))
+    """One line of a Markdown table."""
+    return F.concat(F.lit("| "), F.array_join(F.transform(cells, cell), " | "), F.lit(" |"))
+
+
+def not_blank(cells: Column) -> Column:
+    return F.exists(cells, lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")) != "")
+
+
+def markdown_table(rows: Column, header: bool = True) -> Column:
+    """Rows of cells as a Markdown table: blank rows go, short ones are filled up. Without a header, or with one row alone,
+    columns are numbered."""
+    rows = F.filter(rows, not_blank)
+    width = F.array_max(F.transform(rows, F.size))
+    rows = F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), F.greatest(width - F.size(r), F.lit(0)))))
+    numbered = F.transform(F.sequence(F.lit(1), width), lambda i: F.concat(F.lit("col_"), i.cast("string")))
+    named = (F.size(rows) > 1) & F.lit(header)
+    head = F.when(named, rows[0]).otherwise(numbered)
+    body = F.when(named, F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))).otherwise(rows)
+    lines = F.concat(F.array(table_line(head), table_line(F.array_repeat(F.lit("---"), width))), F.transform(body, table_line))
+    return F.when(F.size(rows) == 0, "").otherwise(F.array_join(lines, "\n"))
+
+
+# Media types and their readers.
+READERS = {"text/csv": "csv", "text/plain": "text", "text/markdown": "markdown", "application/json": "json", "text/html": "html"}
+
+
+def reader_for(media: Column) -> Column:
+    """The reader of a media type, whatever its case and parameters; null if there is none."""
+    plain = F.lower(F.trim(F.split_part(media, F.lit(";"), F.lit(1))))
+    return F.create_map(*[F.lit(x) for pair in READERS.items() for x in pair])[plain]
+
+
+def outside(words: DataFrame, tables: DataFrame, page: str, slack: float) -> DataFrame:
+    """Words whose box lies in no table's box on their page, give or take ``slack``. Pages meet by equality, boxes by range."""
+    w, t = words.alias("w"), tables.select(F.col(page).alias("_page"), F.col("box").alias("_box"))
+    inside = (F.col("w.box.x0") >= F.col("_box.x0") - slack) & (F.col("w.box.y0") >= F.col("_box.y0") - slack) & (F.col("w.box.x1") <= F.col("_box.x1") + slack) & (F.col("w.box.y1") <= F.col("_box.y1") + slack)
+    return w.join(t, (F.col(f"w.{page}") == F.col("_page")) & inside, "left_anti")
+
+
+def csv_cells(text: str | None) -> list[list[str]]:
+    """Rows of cells of a CSV text; the separator is guessed from the beginning."""
+    try:
+        dialect = csv.Sniffer().sniff((text or "")[:4096], delimiters=",;\t|")
+    except csv.Error:
+        dialect = csv.excel
+    return list(csv.reader(io.StringIO(text or "", newline=""), dialect))
+
+
+def csv_tables(files: DataFrame, id_col: str, text_col: str, rows_a_block: int = ROWS_A_BLOCK) -> DataFrame:
+    """(id, block, text): CSV texts as Markdown tables of ``rows_a_block`` rows under their header; blank rows go."""
+
+    @F.pandas_udf("array<array<string>>")
+    def cells(texts: pd.Series) -> pd.Series:
+        return texts.map(csv_cells)
+
+    rows = files.select(id_col, F.filter(cells(F.col(text_col)), not_blank).alias("rows")).where(F.size("rows") > 0)
+    blocks = F.greatest(F.ceil((F.size("rows") - 1) / rows_a_block), F.lit(1))
+    out = rows.select(id_col, "rows", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
+    part = F.slice("rows", F.col("block").cast("int") * rows_a_block + 2, rows_a_block)
+    return out.select(id_col, "block", markdown_table(F.concat(F.slice("rows", 1, 1), part)).alias("text"))
+
+
+def json_leaves(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, at, line): each leaf of a JSON text, nested or not."""
+
+    @F.pandas_udf("array<string>")
+    def lines(texts: pd.Series) -> pd.Series:
+        return texts.map(json_lines)
+
+    return df.select(id_col, F.posexplode(lines(text_col)).alias("at", "line"))
 
 
 class _HtmlBlocks(HTMLParser):
@@ -158,7 +232,7 @@ def markdown_blocks(text: str | None) -> list[tuple[str, str]]:
 
 
 def json_lines(text: str | None) -> list[str]:
-    """``$.path: value`` for each leaf, in order."""
+    """``$.path: value`` for each leaf, in order; a null shows nothing."""
     try:
         root = json.loads(text or "null")
     except ValueError:
@@ -172,7 +246,7 @@ def json_lines(text: str | None) -> list[str]:
         elif isinstance(value, list) and depth < MAX_DEPTH:
             todo += [(f"{path}[{i}]", v, depth + 1) for i, v in reversed(list(enumerate(value)))]
         else:
-            out.append(f"{path}: {json.dumps(value, ensure_ascii=False) if not isinstance(value, str) else value}")
+            out.append(f"{path}: {'' if value is None else value}")
     return out
 
 

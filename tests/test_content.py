@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import embed
 from siftline.functions import identifiers as I
-from siftline.operators import chunking, graph, resolve
+from siftline.operators import chunking, graph, marking, mentions, resolve
 from siftline.plans.sql_guard import Guard, Rejected
 from siftline.sources import readers
 
@@ -44,18 +44,58 @@ def test_transcripts(spark):
     assert [(r.first_turn, r.last_turn, r.tokens) for r in got] == [(0, 1, 200), (2, 2, 250)]
 
 
-def test_snippets():
-    text = "start " * 60 + "the payment failed because the payment gateway broke " + "end " * 60
-    s = chunking.snippet(text, ["payment", "gateway"])
-    assert "«payment» failed" in s and s.startswith("…") and s.endswith("…") and "«gateway»" in s
-    assert chunking.snippet("", ["x"]) == "" and chunking.snippet("short text", ["zzz"]) == "short text"
+def test_snippets(spark):
+    text = "start " * 60 + "the payment failed because the payment\n gateway broke " + "end " * 60
+    rows = spark.createDataFrame([(1, text, ["payment", "gateway"]), (2, None, ["x"]), (3, "short text", ["zzz"]), (4, "w " * 200, []), (5, "payments", ["payment"])], "id long, text string, terms array<string>")
+    got = {r.id: r.snippet for r in marking.snippets(rows, ["id"]).collect()}
+    assert "«payment» failed" in got[1] and got[1].startswith("…") and got[1].endswith("…") and "«payment» «gateway» broke" in got[1]
+    assert 240 <= len(got[1].replace("«", "").replace("»", "")) <= 260
+    assert got[2] == "" and got[3] == "short text" and got[4] == ("w " * 120 + "…") and got[5] == "«payment»s"
+    terms = spark.createDataFrame([("Why did TX82931 fail, and the payments fail?",), (None,)], "q string").select(marking.query_terms(F.col("q")).alias("t")).collect()
+    assert terms[0].t == ["payments", "tx82931", "fail"] and terms[1].t == []
+
+
+def test_highlights(spark):
+    far = "x " * 100
+    rows = spark.createDataFrame([(1, f"payments one {far}payment two payment {far}Payment {far}payment", ["payment"]), (2, "nothing", ["payment"]), (3, None, ["a"])], "id long, text string, terms array<string>")
+    got = [(r.place, r.highlight) for r in marking.highlights(rows, ["id"]).orderBy("id", "place").collect()]
+    assert [p for p, _ in got] == [1, 2, 3] and got[0][1].startswith("<em>payments</em> one x") and got[0][1].endswith("...")
+    assert "<em>payment</em> two <em>payment</em>" in got[1][1] and got[1][1].startswith("...") and "<em>Payment</em>" in got[2][1]
+
+
+def test_mentions(spark):
+    text = "Dr. Anna Roth and M. Imran saw Root Cause and customer 12345678 with 4821 near the ticket, billing-service, 11 March 2024, 1234"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "4821"), (4, "outage" + " " * 41 + "4821")], "doc_id long, text string")
+    found = mentions.mentions_in(rows).orderBy("doc_id", "start").collect()
+    assert all(text[r.start : r.stop] == r.surface for r in found)
+    assert [(r.entity_type, r.surface, r.confidence) for r in found] == [
+        ("person", "Anna Roth", 0.8), ("person", "M. Imran", 0.65), ("customer", "customer 12345678", 0.92), ("incident", "4821", 0.75),
+        ("service", "billing-service", 0.6), ("event", "11 March 2024", 0.9), ("incident", "1234", 0.75),
+    ]
+
+
+def test_accents_do_not_tell_people_apart(spark):
+    rows = spark.createDataFrame([("Jürgen Müller",), ("Jurgen Muller",), ("Ju\u0308rgen Mu\u0308ller",)], "s string")
+    assert {r.k for r in rows.select(I.person_keys(F.col("s"))["full"].alias("k")).collect()} == {"person:full:jurgen|muller"}
+
+
+def test_csv_and_tables(spark):
+    rows = spark.createDataFrame([(1, 'a;b\n1;"x;y"\n;\n2;z|z\n'), (2, ""), (3, None), (4, "alone,row")], "id long, text string")
+    got = {(r.id, r.block): r.text for r in readers.csv_tables(rows, "id", "text", 1).collect()}
+    assert got == {(1, 0): "| a | b |\n| --- | --- |\n| 1 | x;y |", (1, 1): "| a | b |\n| --- | --- |\n| 2 | z\\|z |", (4, 0): "| col_1 | col_2 |\n| --- | --- |\n| alone | row |"}
+
+
+def test_merged_spans(spark):
+    rows = spark.createDataFrame([(1, 0.0, 0.5), (1, 0.5, 3.0), (1, 3.0, 4.0), (1, 4.0, 4.5), (1, 4.5, 9.0)], "id long, start double, stop double")
+    got = [(r.start, r.stop) for r in chunking.merged_spans(rows, F.lit(1.5)).orderBy("ordinal").collect()]
+    assert got == [(0.0, 0.5), (0.5, 4.5), (4.5, 9.0)]
 
 
 def test_html_and_markdown():
     html = "<h1>T</h1><script>var x='<p>'</script><p>a <b>b</b><p>c<table><tr><th>k</th><td>v|w</td></tr></table><li>d"
     assert readers.html_blocks(html) == [("heading", "T"), ("paragraph", "a b"), ("paragraph", "c"), ("table", "| k | v\\|w |"), ("paragraph", "d")]
     assert readers.markdown_blocks("# H\ntext\nmore\n\n| a |\n```\n# no\n```\n") == [("heading", "H"), ("paragraph", "text\nmore"), ("table", "| a |"), ("code", "# no")]
-    assert readers.json_lines('{"a": [1, {"b": null}], "c": "x"}') == ["$.a[0]: 1", "$.a[1].b: null", "$.c: x"] and readers.json_lines("{") == []
+    assert readers.json_lines('{"a": [1, {"b": null}], "c": "x"}') == ["$.a[0]: 1", "$.a[1].b: ", "$.c: x"] and readers.json_lines("{") == []
 
 
 def test_embedding_and_grounding():
@@ -98,6 +138,27 @@ def test_sql_guard(spark):
     assert guard.audit().where("not ok").count() == 9
 
 
+def test_sql_guard_reads_the_tree_and_not_its_text(spark, tmp_path):
+    spark.range(3).createOrReplaceTempView("open_table")
+    guard = Guard(spark, ("open_table",))
+    for bad in ("SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "SELECT 'CTE [parquet.zz]' AS a FROM parquet.zz",
+                "SELECT 'CTE [closed_table]' AS a FROM closed_table", "SELECT * FROM range(3)", "SELECT id FROM open_table WHERE input_file_name() = ''", "SELECT id FROM open_table ORDER BY (SELECT max(reflect('a', 'b')) FROM open_table)",
+                "SELECT current_user()", "WITH x AS (SELECT * FROM parquet.`/etc`) SELECT * FROM x", "SELECT x.* FROM open_table, LATERAL (SELECT * FROM closed_table) AS x", "DESCRIBE open_table", "SET spark.sql.ansi.enabled=false"):
+        with pytest.raises(Rejected):
+            guard.query(bad)
+    fine = "WITH x AS (SELECT id, row_number() OVER (ORDER BY id) AS r, upper(concat('a', id)) AS u FROM open_table) SELECT count(*) AS n, round(sum(id) / 2, 2) AS h, max(u) AS u, array_join(collect_list(CASE WHEN r > 1 THEN 'y' END), ',') AS j FROM x WHERE EXISTS (SELECT 1 FROM open_table o WHERE o.id = x.id)"
+    assert guard.query(fine).rows.first().n == 3
+    guard.write_audit(f"file://{tmp_path}/audit")
+    assert spark.read.parquet(f"file://{tmp_path}/audit").count() == 13 and guard.trail == []
+
+
+def test_sql_guard_has_a_deadline(spark):
+    spark.range(40_000_000_000).createOrReplaceTempView("long_table")
+    with pytest.raises(TimeoutError):
+        Guard(spark, ("long_table",), timeout_s=1).query("SELECT sum(sqrt(id) * sin(id)) AS s FROM long_table")
+    assert spark.range(5).count() == 5
+
+
 def test_ranks_with_gaps_and_repeats(spark, tmp_path):
     from siftline.plans import relational
 
