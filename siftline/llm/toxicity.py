@@ -51,7 +51,7 @@ TOP = 2 + len(LEVELS)
 RIDGE = 0.2
 #: Chances that the given label says toxic, and says clean, on a clean and on a toxic text.
 LABELS = ((0.0003, 0.99), (0.9997, 0.01))
-CACHE = 500_000
+CACHE, PART = 100_000, 512
 FOLDS, HELD_OUT = 4, 2
 
 
@@ -113,7 +113,7 @@ def sign_counts(rows: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = TermReader()
-        for batch in batches:
+        for batch in (b[at : at + PART] for b in batches for at in range(0, len(b), PART)):  # counts of few texts at a time
             by = (Counter(), Counter())
             for text, label in zip(batch.text, batch.label):
                 by[label].update(read(text).items())
