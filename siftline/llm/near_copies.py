@@ -175,8 +175,7 @@ class _Join:
         met = staged(met.select("a", "b", "exact"), "close")
         links = met.where("exact").select("a", "b").unionByName(self.compared(met.where("not exact").select("a", "b")))
         self.found = staged(links if self.found is None else links.unionByName(self.found), "links")
-        ends = self.found.select(F.col("a").alias("fp")).unionByName(self.found.select(F.col("b").alias("fp"))).distinct()
-        self.labels = simhash.labelled(ends, self.found).select(F.col("fp").alias("node"), "label")
+        self.labels = simhash.labelled(simhash.ends(self.found), self.found).select(F.col("fp").alias("node"), "label")
 
     def compared(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` that are similar, compared on whole sets."""

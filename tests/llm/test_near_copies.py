@@ -64,3 +64,22 @@ def test_odd_rows(clashing, empty):
         (False, 0, ""), (False, 0, "a text"), (True, 1, "The sa"), (True, 5, "word0 "), (True, 7, "É é ß "),
     ]
     assert N.kept_rows(empty).collect() == []
+
+
+def test_texts_that_share_an_id_or_have_none_stay(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(40)) for x in "abcdef"]
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (5, texts[4]), (5, texts[4]), (6, texts[4] + " more"), (4, texts[5])]
+    kept = N.kept_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted((i or 0, t) for i, t in [*rows[:5], rows[7]])
+
+
+def test_bands_and_sketches_miss_nothing_at_the_bound():
+    bands, rng = N.band_count(), random.Random(2)
+    assert (1 - 0.8**N.ROWS) ** bands <= N.MISS
+    for _ in range(200):
+        both = [f"x{rng.random()}" for _ in range(400)]
+        a, b = N.shingles(" ".join(both), 1), N.shingles(" ".join([*both[:356], *(f"y{rng.random()}" for _ in range(44))]), 1)
+        assert len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist())) >= 0.8
+        assert (N.band_keys(a, bands) == N.band_keys(b, bands)).any()
+        least = sorted(set(a[: N.SKETCH].tolist()) | set(b[: N.SKETCH].tolist()))[: N.SKETCH]
+        assert len(set(least) & set(a.tolist()) & set(b.tolist())) >= N.SHARED
