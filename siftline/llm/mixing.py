@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftline.llm.common import in_row, packed, staged, table
+from siftline.llm.common import packed, staged, table
 
 WEIGHTS, CAP, BINS, CANDIDATES, STEPS, SMALL = (5, 2, 1), 3, 8, 16, 200, 50_000
 _PRIOR = np.array([1.0, 1.0, 0.5, 1 / 6])  # Poisson of mean 1, for 0 to CAP copies
@@ -127,7 +127,7 @@ def draw(id_col: str, size_col: str, salt: int) -> Column:
 
 
 def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast up to SMALL rows; beyond that Spark shuffles, and splits the keys that many rows share."""
+    """Broadcast up to SMALL rows; beyond that (several hundred sources) Spark shuffles, and splits the keys that many rows share."""
     return F.broadcast(df) if rows <= SMALL else df
 
 
@@ -143,30 +143,39 @@ def _corrections(pool: pd.DataFrame) -> pd.DataFrame:
     return pool[pool.change != 0][["source", "id", "size", "change"]]
 
 
-def plan(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For (id, source, size): the same rows with their copies, and the table of targets. ``sized`` is read thrice."""
-    rows = sized.withColumn("bin", size_bin(F.col("size")))
-    bins = staged(rows.groupBy("source", "bin").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "bins")
-    goals = staged(targets(bins), "targets")
-    by_bin = staged(rates(bins, goals), "rates")
-    side = small_side(by_bin.select(F.col("source").alias("_source"), F.col("bin").alias("_bin"), "rate", "n"), by_bin.count())
-    rows = rows.join(side, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bin") == F.col("_bin")), "left").drop("_source", "_bin")
-    rate = F.coalesce("rate", F.lit(0.0))
-    whole = F.floor(rate)
-    copies = whole + F.when(draw("id", "size", 1) < rate - whole, 1).otherwise(0)
-    rows = rows.withColumn("copies", F.least(copies, F.lit(CAP)).cast("long"))
-    taken = rows.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
-    missing = goals.join(taken, goals.source.eqNullSafe(taken.source)).select(goals.source.alias("_source"), (F.col("target") - F.col("taken")).alias("missing"))
-    missing = staged(missing, "missing")
-    pool = rows.where((F.col("size") > 0) & (draw("id", "size", 2) * F.col("n") < CANDIDATES))
-    pool = pool.groupBy("source", "id", "size", "copies").agg(F.count("*").alias("rows"))
-    pool = pool.join(missing, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    changes = pool.groupBy("source").applyInPandas(_corrections, "source string, id long, size long, change long")
-    changes = staged(changes, "changes")
-    side = small_side(changes.select(F.col("source").alias("_source"), F.col("id").alias("_id"), F.col("size").alias("_size"), "change"), changes.count())
-    same = F.col("source").eqNullSafe(F.col("_source")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size"))
-    rows = rows.join(side, same, "left")
-    return rows.select(*sized.columns, (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies")), goals
+class Plan:
+    """What the mix needs to give a row its copies: rates by source and size bin, corrections of some rows, targets."""
+
+    def __init__(self, sized: DataFrame):
+        """sized: (id, source, size); it is read three times."""
+        rows = sized.withColumn("bin", size_bin(F.col("size")))
+        bins = staged(rows.groupBy("source", "bin").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "bins")
+        self.targets = staged(targets(bins), "targets")
+        by_bin = staged(rates(bins, self.targets), "rates")
+        self.rates = small_side(by_bin.select(F.col("source").alias("_source"), F.col("bin").alias("_bin"), "rate", "n"), by_bin.count())
+        self.changes = None
+        drawn = self.copies(sized)
+        taken = drawn.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
+        missing = self.targets.join(taken, self.targets.source.eqNullSafe(taken.source)).select(self.targets.source.alias("_source"), (F.col("target") - F.col("taken")).alias("missing"))
+        pool = drawn.where((F.col("size") > 0) & (draw("id", "size", 2) * F.col("n") < CANDIDATES))
+        pool = pool.groupBy("source", "id", "size", "copies").agg(F.count("*").alias("rows"))
+        pool = pool.join(staged(missing, "missing"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+        changes = staged(pool.groupBy("source").applyInPandas(_corrections, "source string, id long, size long, change long"), "changes")
+        self.changes = small_side(changes.select(F.col("source").alias("_source"), F.col("id").alias("_id"), F.col("size").alias("_size"), "change"), changes.count())
+
+    def copies(self, rows: DataFrame) -> DataFrame:
+        """Adds ``copies`` and ``n``, the rows of the bin, to rows with id, source and size. No row moves for it: rates and
+        corrections are a few hundred rows a source, and what a row draws follows from the row itself."""
+        bin_ = size_bin(F.col("size"))
+        rows = rows.join(self.rates, F.col("source").eqNullSafe(F.col("_source")) & (bin_ == F.col("_bin")), "left").drop("_source", "_bin")
+        rate = F.coalesce("rate", F.lit(0.0))
+        drawn = F.floor(rate) + F.when(draw("id", "size", 1) < rate - F.floor(rate), 1).otherwise(0)
+        rows = rows.withColumn("copies", F.least(drawn, F.lit(CAP)).cast("long")).drop("rate")
+        if self.changes is None:
+            return rows
+        same = F.col("source").eqNullSafe(F.col("_source")) & F.col("id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size"))
+        rows = rows.join(self.changes, same, "left").drop("_source", "_id", "_size")
+        return rows.withColumn("copies", F.col("copies") + F.coalesce("change", F.lit(0))).drop("change")
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -174,20 +183,16 @@ def sized(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
 
 
 def taken_rows(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The mix: every row of ``docs`` as often as it is taken, all columns kept.
-
-    The copies go back to the texts by id, source and size, since a text must not shuffle to be counted.
-    """
-    copies, _ = plan(staged(sized(docs, id_col, source_col, text_col), "sizes"))
-    copies = copies.where("copies > 0").distinct().select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies")
-    same = in_row(id_col).cast("long").eqNullSafe(F.col("_id")) & in_row(source_col).eqNullSafe(F.col("_source")) & (word_count(in_row(text_col)) == F.col("_size"))
-    mixed = packed(docs).join(staged(copies, "copies"), same)
+    """The mix: every row of ``docs`` as often as it is taken, all columns kept. Texts stay where they are read."""
+    plan = Plan(staged(sized(docs, id_col, source_col, text_col), "sizes"))
+    rows = packed(docs, id=F.col(id_col).cast("long"), source=F.col(source_col), size=word_count(F.col(text_col)))
+    mixed = plan.copies(rows).where("copies > 0")
     return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = staged(sized(table(spark, sf_dir, "documents")), "sizes")
-    copies, goals = plan(rows)
-    goals = goals.withColumnRenamed("source", "_source")
-    out = copies.join(small_side(goals, goals.count()), F.col("source").eqNullSafe(F.col("_source")))
+    plan = Plan(rows)
+    goals = plan.targets.withColumnRenamed("source", "_source")
+    out = plan.copies(rows).join(small_side(goals, goals.count()), F.col("source").eqNullSafe(F.col("_source")))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -44,8 +44,8 @@ def test_documents(spark, sf, docs):
 def test_full_sources(spark):
     rows = [(i, "w " * 10, s) for i, s in enumerate(["a"] * 2 + ["b"] * 100 + ["c"] * 100 + [None] * 50)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    copies, goals = M.plan(M.sized(frame))
-    goals = {r.source: r.target for r in goals.collect()}
+    plan = M.Plan(M.sized(frame))
+    copies, goals = plan.copies(M.sized(frame)), {r.source: r.target for r in plan.targets.collect()}
     expected = slow_targets({"a": 20, "b": 1000, "c": 1000, None: 500})
     assert goals["a"] == 60 and all(abs(goals[s] - expected[s]) < 1e-9 for s in expected)
     assert {r.copies for r in copies.where("source = 'a'").collect()} == {3}
@@ -61,9 +61,13 @@ def test_the_dual_meets_its_constraint():
 
 
 def test_odd_rows(odd, clashing, empty):
-    copies, _ = M.plan(M.sized(odd))
-    rows = copies.collect()
+    rows = M.Plan(M.sized(odd)).copies(M.sized(odd)).collect()
     assert len(rows) == odd.count() and all(0 <= r.copies <= 3 and (r.size or not r.copies) for r in rows)
     mixed = M.taken_rows(clashing)
     assert mixed.columns == clashing.columns and mixed.count() == sum(r.copies for r in rows)
     assert M.taken_rows(empty).collect() == []
+
+
+def test_texts_stay_where_they_are_read(clashing):
+    plan = M.taken_rows(clashing)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
