@@ -4,34 +4,34 @@ Rules are exact (``judged``): the longest rule whose host is the url's host or a
 begins the url's path, decides. A url that a rule decides is a labelled url, and the rest are judged by what the labels
 say about urls of the same shape.
 
-Tree. A path's segments are read level by level down to DEPTH. At each node a segment stays itself if at least SUPPORT
-urls and SHARE of the node's urls have it; all others become the wildcard of their kind (``<n>`` for digits, ``<n>.html``
-for digits with an ending, ``*``), so page numbers and slugs fall together. A node keeps 1 / SHARE literal branches at
-most. Sibling templates are then merged, host by host, if a two-proportion test can't tell their labels apart; siblings
-without labels stay alone. Each template is judged by its purity, the share of blocked urls among its labelled ones,
-smoothed towards the purity of its host (and that towards the purity of all urls) by PSEUDO urls: at REJECT or more the
-template is rejected and its urls are blocked.
-
-Scale. Each level is one aggregation by (host, template, segment) with partial sums, and one join that hands the
-surviving literals back; the literals are staged, so Spark broadcasts or splits the join by their real size. Groups in
-Python are the templates of one parent, some 1 / SHARE of them.
+Tree. A path's segments are read level by level, to the last. At each node a segment stays itself if at least SUPPORT
+urls have it and they are SHARE of the node's urls or their labels differ from the node's others (a two-proportion test),
+so a blocked section stays apart however large its host is. All others become the wildcard of their kind (digits, digits
+with an ending, anything), so page numbers and slugs fall together. Wildcards start with "?", which no path holds. Below
+a node of fewer than SUPPORT urls nothing can stay itself, so the rest of such paths is generalised at once.
+
+Merging. The labelled templates under one parent are pooled by tenths of their share of blocked urls; one that the
+test can't tell from the others of its pool is merged with them. Templates without labels stay alone and part nobody.
+Each template is judged by its purity, the share of blocked urls among its labelled ones, smoothed towards the purity of
+its host (and that towards the purity of all urls) by PSEUDO urls: at REJECT or more it is rejected and its urls blocked.
+
+Scale. Each level is one aggregation by (host, template, segment) with partial sums, and two joins with the surviving
+literals and the nodes that go on; those are staged, so Spark broadcasts or splits the joins by their real size. A level
+reads the urls alone that go on. There are as many levels as the deepest path that SUPPORT urls share up to wildcards.
 
 Defined cases. A null url, or one without "://", has empty host and path, fits no rule, and is judged by the template
-of empty hosts. Repeated rows are judged each. Null ids stay. Empty tables give empty results. Other columns stay.
+of empty hosts. Repeated rows are judged each. Null ids stay. Empty tables give empty results. Other columns are not read.
 """
 
 from __future__ import annotations
 
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm.common import LOWER, UPPER, staged, table
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-DEPTH, SUPPORT, SHARE, PSEUDO, SIGNIFICANT, REJECT = 4, 8, 0.02, 5.0, 2.58, 0.5
+SUPPORT, SHARE, PSEUDO, SIGNIFICANT, REJECT, POOLS = 8, 0.02, 5.0, 2.58, 0.5, 10
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -53,56 +53,61 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
 
 def wildcard(segment: Column) -> Column:
     """What a segment that is not kept becomes."""
-    return F.when(segment == "", F.lit("")).when(segment.rlike(r"^[0-9]+$"), F.lit("<n>")).when(segment.rlike(r"^[0-9]+\.[a-zA-Z0-9]{1,5}$"), F.concat(F.lit("<n>."), F.regexp_extract(segment, r"\.([a-zA-Z0-9]+)$", 1))).otherwise(F.lit("*"))
+    return F.when(segment == "", "").when(segment.rlike(r"^[0-9]+$"), "?n").when(segment.rlike(r"^[0-9]+\.[a-zA-Z0-9]{1,5}$"), "?n.e").otherwise("?")
+
+
+def differ(k: Column, n: Column, others_k: Column, others_n: Column) -> Column:
+    """Whether k of n and others_k of others_n are shares that a two-proportion test tells apart; false without rows."""
+    pooled = (k + others_k) / (n + others_n)
+    spread = F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-12)) * (1 / n + 1 / others_n))
+    return F.when((n > 0) & (others_n > 0), F.abs(k / n - others_k / others_n) > SIGNIFICANT * spread).otherwise(False)
+
+
+def _sums() -> list[Column]:
+    return [F.sum(c).alias(f"all_{c}") for c in ("n", "labelled", "blocked")]
 
 
 def templates_of(rows: DataFrame) -> DataFrame:
-    """Adds ``template`` to rows with host, path and label, level by level."""
-    out = rows.withColumns({"_segments": F.split(F.col("path"), "/", -1), "template": F.lit("")})
-    for level in range(1, DEPTH + 1):
-        segment = F.try_element_at(F.col("_segments"), F.lit(level + 1))  # the part before the first slash is empty
-        out = out.withColumn("_segment", segment)
-        some = out.where(F.col("_segment").isNotNull())
-        counts = staged(some.groupBy("host", "template", "_segment").agg(F.count("*").alias("n")), "segments")
-        nodes = counts.groupBy("host", "template").agg(F.sum("n").alias("all"))
-        literal = counts.join(nodes, ["host", "template"]).where((F.col("n") >= SUPPORT) & (F.col("n") >= SHARE * F.col("all")))
-        literal = staged(literal.select("host", "template", "_segment", F.lit(True).alias("_literal")), "literals")
-        out = out.join(literal, ["host", "template", "_segment"], "left")
-        step = F.when(F.col("_literal"), F.col("_segment")).otherwise(wildcard(F.col("_segment")))
-        out = out.withColumn("template", F.when(F.col("_segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step)))
-        out = staged(out.drop("_segment", "_literal"), "level")
-    deeper = F.size("_segments") > DEPTH + 1
-    return out.withColumn("template", F.when(deeper, F.concat("template", F.lit("/..."))).otherwise(F.col("template"))).drop("_segments")
-
-
-def _merged(siblings: pd.DataFrame) -> pd.DataFrame:
-    """Joins the templates under one parent whose labels a two-proportion test can't tell apart."""
-    rows = siblings.assign(purity=siblings.blocked / siblings.labelled.clip(lower=1)).sort_values(["purity", "template"])
-    group, groups, n, k = -1, [], 0, 0
-    for labelled, blocked in zip(rows.labelled, rows.blocked):
-        if labelled and group >= 0 and n:
-            pooled = (k + blocked) / (n + labelled)
-            spread = np.sqrt(max(pooled * (1 - pooled), 1e-12) * (1 / n + 1 / labelled))
-            alike = abs(blocked / labelled - k / n) <= SIGNIFICANT * spread
-        else:
-            alike = False
-        if alike:
-            n, k = n + labelled, k + blocked
-        else:
-            group, n, k = group + 1, labelled, blocked
-        groups.append(group)
-    rows["branch"] = groups
-    names = rows.groupby("branch").template.transform(lambda t: t.iloc[0] if len(t) == 1 else "{" + "|".join(sorted(t)) + "}")
-    return pd.DataFrame({"host": rows.host, "template": rows.template, "merged": names, "labelled": rows.labelled, "blocked": rows.blocked})
+    """Adds ``template`` to rows with host, path and verdict, level by level."""
+    columns = rows.columns
+    parts = F.split(F.col("path"), "/", -1)  # the part before the first slash is empty
+    active = rows.withColumns({"template": F.lit(""), "rest": F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))})
+    generalised = F.array_join(F.concat(F.array("template"), F.transform("rest", wildcard)), "/")
+    done = [active.where("size(rest) = 0").select(*columns, "template")]
+    active = staged(active.where("size(rest) > 0"), "level")
+    while not active.isEmpty():
+        node, segment = ["host", "template"], F.col("rest")[0]
+        counts = active.groupBy(*node, segment.alias("segment")).agg(F.count("*").alias("n"), F.count("verdict").alias("labelled"), F.count(F.when(F.col("verdict") == "block", 1)).alias("blocked"))
+        counts = staged(counts, "segments")
+        nodes = staged(counts.groupBy(*node).agg(*_sums()).where(F.col("all_n") >= SUPPORT), "nodes")
+        apart = differ(F.col("blocked"), F.col("labelled"), F.col("all_blocked") - F.col("blocked"), F.col("all_labelled") - F.col("labelled"))
+        literal = counts.where(F.col("n") >= SUPPORT).join(nodes, node).where((F.col("n") >= SHARE * F.col("all_n")) | apart)
+        literal = staged(literal.select(*node, "segment", F.lit(True).alias("literal")), "literals")
+        active = active.withColumn("segment", segment).join(nodes.select(*node, F.lit(True).alias("open")), node, "left").join(literal, [*node, "segment"], "left")
+        done.append(staged(active.where("open IS NULL").select(*columns, generalised.alias("template")), "closed"))
+        step = F.concat("template", F.lit("/"), F.when(F.col("literal"), F.col("segment")).otherwise(wildcard(F.col("segment"))))
+        active = active.where("open").select(*columns, step.alias("template"), F.slice("rest", 2, F.size("rest")).alias("rest"))
+        active = staged(active, "level")
+        done.append(active.where("size(rest) = 0").select(*columns, "template"))
+        active = active.where("size(rest) > 0")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def tree(rows: DataFrame) -> DataFrame:
     """(host, template, merged, labelled, blocked, purity, rejected) from rows with host, template and verdict."""
-    label = lambda v: F.count(F.when(F.col("verdict") == v, 1))
-    leaves = rows.groupBy("host", "template").agg(F.count("verdict").alias("labelled"), label("block").alias("blocked"))
-    leaves = staged(leaves.withColumn("parent", F.regexp_replace("template", "/[^/]*$", "")), "leaves")
-    merged = leaves.groupBy("host", "parent").applyInPandas(_merged, "host string, template string, merged string, labelled long, blocked long")
-    merged = staged(merged, "merged")
+    leaves = rows.groupBy("host", "template").agg(F.count("verdict").alias("labelled"), F.count(F.when(F.col("verdict") == "block", 1)).alias("blocked"))
+    parent = F.regexp_replace("template", "/[^/]*$", "")
+    pool = F.when(F.col("labelled") > 0, F.floor(F.col("blocked") * POOLS / F.col("labelled") + 0.5).cast("int"))
+    leaves = staged(leaves.withColumns({"parent": parent, "pool": pool}), "leaves")
+    key = ["host", "parent", "pool"]
+    pools = leaves.where("labelled > 0").withColumn("n", F.lit(1)).groupBy(*key).agg(*_sums(), F.min("template").alias("name"))
+    pooled = leaves.join(pools, key, "left")
+    apart = differ(F.col("blocked"), F.col("labelled"), F.col("all_blocked") - F.col("blocked"), F.col("all_labelled") - F.col("labelled"))
+    merged = F.when((F.col("all_n") > 1) & ~apart, F.concat("name", F.lit("?+"), (F.col("all_n") - 1).cast("string"))).otherwise(F.col("template"))
+    merged = staged(pooled.select("host", "template", merged.alias("merged"), "labelled", "blocked"), "merged")
     by = merged.groupBy("host", "merged").agg(F.sum("labelled").alias("m_labelled"), F.sum("blocked").alias("m_blocked"))
     hosts = merged.groupBy("host").agg(F.sum("labelled").alias("h_labelled"), F.sum("blocked").alias("h_blocked"))
     total = merged.agg(F.sum("labelled"), F.sum("blocked")).first()

@@ -30,10 +30,30 @@ def test_templates_and_purity(spark):
     rows = [(i, f"https://a.com/de/{i}") for i in range(40)] + [(100 + i, f"https://a.com/fr/{i}.html") for i in range(40)]
     rows += [(200 + i, f"https://b.net/x/{i}/{'abc'[i % 3] * i}") for i in range(1, 30)]
     found = {r.page_id: r for r in U.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}
-    assert found[3].template == "/de/<n>" and found[103].template == "/fr/<n>.html" and found[205].template == "/x/<n>/*"
+    assert found[3].template == "/de/?n" and found[103].template == "/fr/?n.e" and found[205].template == "/x/?n/?"
     assert found[3].purity > 0.8 > 0.2 > found[103].purity and found[205].verdict in ("allow", "block")
 
 
+def test_deep_paths_and_small_sections_stay_apart(spark):
+    deep = "https://d.net/a/b/c/d/e/f/g"
+    rows = [(i, f"{deep}/{'bad' if i % 2 else 'good'}/{i}") for i in range(40)]
+    rows += [(1000 + i, f"https://big.net/s{i % 400}/{i}") for i in range(4000)]  # 10 urls a section: 0.25 % of the host
+    rules = (("d.net/a/b/c/d/e/f/g/bad/", "block"), ("d.net/a/b/c/d/e/f/g/good/", "allow"), ("big.net/s7/", "block"), ("big.net/s8", "allow"))
+    found = {r.page_id: r for r in U.judged(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).collect()}
+    assert found[1].template == "/a/b/c/d/e/f/g/bad/?n" and found[2].template == "/a/b/c/d/e/f/g/good/?n"
+    assert found[1].purity > 0.7 > 0.3 > found[2].purity
+    assert found[1007].template == "/s7/?n" and found[1009].template == "/?/?n" and found[1009].verdict == "allow"
+
+
+def test_siblings_without_labels_part_nobody(spark):
+    rows = [(100 * k + i, f"https://m.net/s/{x}") for k, x in enumerate("abcd") for i in range(10)]
+    rows += [(900 + i, "https://m.net/s/*") for i in range(10)]
+    rules = (("m.net/s/a", "allow"), ("m.net/s/c", "allow"), ("m.net/s/d", "block"))
+    found = {r.page_id: r for r in U.judged(spark.createDataFrame(rows, "page_id long, url string"), rules=rules).collect()}
+    assert found[0].template == found[200].template == "/s/a?+1" and found[100].template == "/s/b" and found[300].template == "/s/d"
+    assert found[900].template == "/s/*"  # a literal, and no wildcard
+
+
 def test_odd_urls(spark):
     odd = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.ORG", "http://EXAMPLE.org/es/x?y#z", "ftp://é.Com/de/", "x://a://b/c", "https://org/", "http://myorg/", "https://h.org?q=/es/", "http://a.com/" + "d/" * 50, "http://a.com/\n/x"]
     rows = spark.createDataFrame([(i, u) for i, u in enumerate(odd)], "page_id long, url string")
