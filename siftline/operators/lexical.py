@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftline.functions import text as T
+from siftline.sources import folders
 
 K1, B = 1.5, 0.75
 BODY, TITLE = 1, 2  # what a token counts
+BUCKETS, POSTINGS = 16, "doc_id long, term string, tf long, length long, bucket int"
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str, title_col: str | None = None) -> DataFrame:
@@ -32,6 +39,7 @@ class LexicalIndex:
     postings: DataFrame
     df: DataFrame
     corpus: DataFrame
+    buckets: int | None = None  # of stored postings
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None) -> LexicalIndex:
@@ -43,23 +51,44 @@ class LexicalIndex:
         corpus = corpus.select("n", F.greatest(F.try_divide(F.col("tokens"), F.col("n")), F.lit(1.0)).alias("avg_len"))
         return cls(tf.join(lengths, "doc_id"), df, corpus)
 
-    def write(self, path: str, buckets: int = 64) -> None:
+    @classmethod
+    def stored(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None) -> LexicalIndex:
+        """The index of a table of files, made at the first call and read from the store afterwards, also by other queries.
+
+        It is known by the table's files with their sizes and times, so a changed table gets a new one. The corpus
+        totals are written last: an index without them was not finished and is made again.
+        """
+        path = f"{folders.shared(docs.sparkSession)}/lexical-{folders.identity(docs, id_col, text_col, title_col or '')}"
+        try:
+            return cls.read(docs.sparkSession, path)
+        except AnalysisException:
+            index = cls.build(docs, id_col, text_col, title_col)
+            index.write(path)
+            docs.sparkSession.catalog.clearCache()
+            return cls.read(docs.sparkSession, path)
+
+    def write(self, path: str, buckets: int = BUCKETS) -> None:
         """Postings by hash of the term, so that a query reads the files of its terms alone."""
-        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-        self.postings.withColumn("bucket", bucket).repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        postings = self.postings.withColumn("bucket", bucket_of(F.col("term"), buckets))
+        postings.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         self.df.write.mode("overwrite").parquet(f"{path}/df")
-        self.corpus.write.mode("overwrite").parquet(f"{path}/corpus")
+        self.corpus.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/corpus")
 
     @classmethod
     def read(cls, spark, path: str) -> LexicalIndex:
-        return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "df", "corpus")))
+        corpus = spark.read.parquet(f"{path}/corpus")
+        buckets = corpus.first().buckets
+        return cls(spark.read.schema(POSTINGS).parquet(f"{path}/postings"), spark.read.parquet(f"{path}/df"), corpus.drop("buckets"), buckets)
 
     def scores(self, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
         """(query_id, doc_id, score) of all documents that share a term with a query. queries: (query_id, text)."""
         terms = queries.select("query_id", F.explode(F.array_distinct(T.analysed(F.col("text")))).alias("term"))
         terms = terms.join(self.df, "term").crossJoin(F.broadcast(self.corpus))  # the corpus is one row
         hits = self.postings if allowed is None else self.postings.join(allowed, "doc_id", "left_semi")
-        scored = hits.join(terms, "term")
+        on = ["term"]
+        if self.buckets:  # stored postings: only the buckets of the terms asked for are read
+            terms, on = terms.withColumn("bucket", bucket_of(F.col("term"), self.buckets)), ["bucket", "term"]
+        scored = hits.join(terms, on)
         return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(bm25()), 6).alias("score"))
 
 

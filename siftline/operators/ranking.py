@@ -75,7 +75,8 @@ def scored(rows: DataFrame, rerank: bool = True) -> DataFrame:
     total = F.lit(0.0)
     for name, weight in weights.items():
         total = total + F.coalesce(F.col(f"{name}_norm"), F.lit(0.0)) * F.lit(weight)
-    out = out.withColumn("final", F.round(total + F.when(F.col("is_exact"), EXACT_BONUS).otherwise(0.0), 6))
+    total = (total + F.when(F.col("is_exact"), EXACT_BONUS).otherwise(0.0)).cast("decimal(18,9)")  # halves round as written
+    out = out.withColumn("final", F.round(total, 6).cast("double"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("final"), "chunk_id"))
     return out.withColumn("place", place.cast("long"))
 
@@ -106,3 +107,12 @@ def metadata_match(facets: list[Column]) -> Column:
         return F.lit(0.5)
     hits = sum((F.when(F.coalesce(f, F.lit(False)), 1.0).otherwise(0.0) for f in facets), F.lit(0.0))
     return hits / F.lit(float(len(facets)))
+
+
+def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
+    """(stage, rows_out) of each stage."""
+    out = None
+    for name, rows in stages.items():
+        one = rows.agg(F.count("*").alias("rows_out")).select(F.lit(name).alias("stage"), "rows_out")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.functions import identifiers as I
 from siftline.functions import text as T
 from siftline.operators import ranking as R
-from siftline.operators import rerank, vectors
+from siftline.operators import rerank, resolve, vectors
 from siftline.operators.lexical import LexicalIndex, postings, ranked
 from siftline.plans.base import Registry, table
 
@@ -98,12 +99,12 @@ def term_frequency(spark, sf_dir):
 
 @query(f"WITH {_INDEX} SELECT term, df FROM df")
 def document_frequency(spark, sf_dir):
-    return LexicalIndex.build(_docs(spark, sf_dir)).df
+    return LexicalIndex.stored(_docs(spark, sf_dir)).df
 
 
 @query(f"WITH {_INDEX} SELECT n, round(avg_len, 6) AS avg_len FROM corpus")
 def corpus_stats(spark, sf_dir):
-    return LexicalIndex.build(_docs(spark, sf_dir)).corpus.select("n", F.round("avg_len", 6).alias("avg_len"))
+    return LexicalIndex.stored(_docs(spark, sf_dir)).corpus.select("n", F.round("avg_len", 6).alias("avg_len"))
 
 
 @query(f"""SELECT p_partkey AS doc_id, term, CAST(sum(w) AS BIGINT) AS tf FROM (
@@ -115,12 +116,12 @@ def title_weighted_tf(spark, sf_dir):
 
 @query(f"WITH {_bm25_sql(_ONE)} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM lex) WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
-    return ranked(LexicalIndex.build(_docs(spark, sf_dir)).scores(_literal_queries(spark)), 10)
+    return ranked(LexicalIndex.stored(_docs(spark, sf_dir)).scores(_literal_queries(spark)), 10)
 
 
 @query(f"WITH {_bm25_sql(_ASKED)} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM lex) WHERE rank <= 20")
 def bm25_batch(spark, sf_dir):
-    return ranked(LexicalIndex.build(_docs(spark, sf_dir)).scores(_asked(spark, sf_dir)), 20)
+    return ranked(LexicalIndex.stored(_docs(spark, sf_dir)).scores(_asked(spark, sf_dir)), 20)
 
 
 _SOME = "lang IN ('en', 'de') AND source <> 'src0'"
@@ -181,7 +182,7 @@ def knn_semantic_threshold(spark, sf_dir):
 
 def _two_rankings(spark, sf_dir) -> DataFrame:
     """Candidates of a lexical and a dense retriever for the benchmark questions; a question's vector has its id."""
-    lexical = ranked(LexicalIndex.build(_docs(spark, sf_dir)).scores(_asked(spark, sf_dir)), 60)
+    lexical = ranked(LexicalIndex.stored(_docs(spark, sf_dir)).scores(_asked(spark, sf_dir)), 60)
     lexical = lexical.select("query_id", F.lit("lexical").alias("retriever"), F.col("doc_id").alias("chunk_id"), "rank", "score")
     emb = table(spark, sf_dir, "embeddings")
     asked = emb.join(F.broadcast(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))), "vec_id", "left_semi")
@@ -190,17 +191,20 @@ def _two_rankings(spark, sf_dir) -> DataFrame:
     return lexical.unionByName(dense)
 
 
+_FUSED = """fused AS (
+  SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS rrf, list_sort(list(DISTINCT retriever)) AS retrievers,
+         greatest(0.0::DOUBLE, coalesce(max(score) FILTER (retriever = 'lexical'), 0.0)) AS lexical,
+         greatest(0.0::DOUBLE, coalesce(max(score) FILTER (retriever = 'dense'), 0.0)) AS semantic,
+         greatest(0.0::DOUBLE, coalesce(max(score) FILTER (retriever IN ('exact_id', 'entity')), 0.0)) AS entity_match,
+         bool_or(retriever IN ('exact_id', 'entity')) AS is_exact
+  FROM cand GROUP BY query_id, chunk_id)"""
 _TWO = f"""{_bm25_sql(_ASKED)}, {_UNIT},
 dn AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_dot_product(q.u, v.u), 6) AS score FROM unit q CROSS JOIN unit v WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
 cand AS (
   SELECT * FROM (SELECT query_id, 'lexical' AS retriever, doc_id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, score FROM lex) WHERE rank <= 60
   UNION ALL
   SELECT * FROM (SELECT query_id, 'dense' AS retriever, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, score FROM dn) WHERE rank <= 60),
-fused AS (
-  SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS rrf, list_sort(list(DISTINCT retriever)) AS retrievers,
-         greatest(0.0::DOUBLE, coalesce(max(score) FILTER (retriever = 'lexical'), 0.0)) AS lexical,
-         greatest(0.0::DOUBLE, coalesce(max(score) FILTER (retriever = 'dense'), 0.0)) AS semantic
-  FROM cand GROUP BY query_id, chunk_id)"""
+{_FUSED}"""
 
 
 @query(f"WITH {_TWO} SELECT query_id, chunk_id, rrf, retrievers, lexical, semantic FROM fused")
@@ -237,10 +241,14 @@ def _rows_to_score(spark, sf_dir) -> DataFrame:
 
     The rerank window is the ``fast`` one; a document's source kind and day follow from its id and length.
     """
-    docs = _docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "text", "lang", "n_chars")
-    rows = R.fused(_two_rankings(spark, sf_dir)).withColumnRenamed("rrf", "score").persist()  # two pools a query at most
+    return _to_score(_docs(spark, sf_dir), _asked(spark, sf_dir), _two_rankings(spark, sf_dir))
+
+
+def _to_score(docs: DataFrame, asked: DataFrame, candidates: DataFrame) -> DataFrame:
+    docs = docs.select(F.col("doc_id").alias("chunk_id"), "text", "lang", "n_chars")
+    rows = R.fused(candidates).withColumnRenamed("rrf", "score").persist()  # a few pools a query at most
     window = ranked(rows, R.budget("fast")[1], "chunk_id").select("query_id", "chunk_id")
-    overlap = rerank.idf_overlap(_asked(spark, sf_dir), window.join(docs, "chunk_id").select("query_id", "chunk_id", "text"))
+    overlap = rerank.idf_overlap(asked, window.join(docs, "chunk_id").select("query_id", "chunk_id", "text"))
     rows = rows.join(docs.drop("text"), "chunk_id").join(overlap.withColumnRenamed("overlap", "rerank"), ["query_id", "chunk_id"], "left")
     kinds = F.array(*map(F.lit, ("postgres", "s3", "upload", "other")))
     kind = F.element_at(kinds, (F.pmod("chunk_id", F.lit(4)) + 1).cast("int"))
@@ -251,30 +259,31 @@ def _rows_to_score(spark, sf_dir) -> DataFrame:
     })
 
 
-_SCORE_ROWS = f"""{_TWO},
+_WINDOW = """
 win AS (SELECT query_id, chunk_id, text FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, chunk_id) AS r FROM fused) JOIN documents ON chunk_id = doc_id WHERE r <= 12),
 have AS (SELECT DISTINCT query_id, chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM win),
-ask AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM ({_ASKED})),
+ask AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM (SELECT item_id AS query_id, text FROM benchmark)),
 idf AS (SELECT query_id, token, ln(1 + n / (1 + df)) AS idf FROM (SELECT query_id, token, count(*) AS df FROM have GROUP BY ALL) JOIN (SELECT query_id, count(*) AS n FROM win GROUP BY ALL) USING (query_id)),
 wq AS (SELECT query_id, sum(coalesce(idf, 1.0)) AS q FROM ask LEFT JOIN idf USING (query_id, token) GROUP BY ALL),
 ov AS (SELECT query_id, chunk_id, sum(idf) AS d, coalesce(sum(idf) FILTER (asked), 0) AS both_, count(*) FILTER (asked AND regexp_matches(token, '[a-z]') AND regexp_matches(token, '[0-9]') AND length(token) >= 4) AS ids
        FROM (SELECT h.*, i.idf, a.token IS NOT NULL AS asked FROM have h JOIN idf i USING (query_id, token) LEFT JOIN ask a USING (query_id, token)) GROUP BY ALL),
 rr AS (SELECT query_id, chunk_id, round(least(1.0, both_ / (q + d - both_) + 0.35 * ids), 6) AS rerank FROM ov JOIN wq USING (query_id)),
 rows_ AS (
-  SELECT f.query_id, f.chunk_id, f.lexical, f.semantic, 0.0::DOUBLE AS entity_match, rerank,
+  SELECT f.query_id, f.chunk_id, f.lexical, f.semantic, f.entity_match, f.is_exact, rerank,
          ((lang = 'en')::INT + (n_chars > 500)::INT) / 2.0::DOUBLE AS metadata_match,
          CASE chunk_id % 4 WHEN 0 THEN 0.95 WHEN 1 THEN 0.75 WHEN 2 THEN 0.60 ELSE 0.70 END::DOUBLE AS source_reliability,
          round(pow(0.5::DOUBLE, (n_chars % 1000) / 180.0::DOUBLE), 6) AS freshness
   FROM fused f JOIN documents ON chunk_id = doc_id LEFT JOIN rr USING (query_id, chunk_id)),
-gate AS (SELECT * FROM rows_ WHERE lexical > 0 OR coalesce(rerank, 0) >= 0.35)"""
+gate AS (SELECT * FROM rows_ WHERE is_exact OR entity_match > 0 OR lexical > 0 OR coalesce(rerank, 0) >= 0.35)"""
+_SCORE_ROWS = f"{_TWO},{_WINDOW}"
 _SIGNALS = ("lexical", "semantic", "rerank", "entity_match", "metadata_match", "source_reliability", "freshness")
 _NORMS = ", ".join(f"CASE WHEN {s} IS NULL THEN NULL WHEN max({s}) OVER w - min({s}) OVER w <= 1e-12 THEN CASE WHEN {s} > 0 THEN 1.0 ELSE 0.0 END ELSE round(({s} - min({s}) OVER w) / (max({s}) OVER w - min({s}) OVER w), 6) END::DOUBLE AS {s}_norm" for s in _SIGNALS)
 
 
-def _final_sql(weights: dict[str, float]) -> str:
+def _final_sql(weights: dict[str, float], rows: str = _SCORE_ROWS) -> str:
     total = " + ".join(f"coalesce({s}_norm, 0) * {w!r}::DOUBLE" for s, w in weights.items())
-    return f"""{_SCORE_ROWS}, normed AS (SELECT *, {_NORMS} FROM gate WINDOW w AS (PARTITION BY query_id)),
-final AS (SELECT *, round({total}, 6) AS final FROM normed),
+    return f"""{rows}, normed AS (SELECT *, {_NORMS} FROM gate WINDOW w AS (PARTITION BY query_id)),
+final AS (SELECT *, round(CAST({total} + CASE WHEN is_exact THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS DECIMAL(18, 9)), 6)::DOUBLE AS final FROM normed),
 placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, chunk_id) AS place FROM final)"""
 
 
@@ -332,10 +341,81 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(meta, "chunk_id").select("query_id", "chunk_id", "place", "final", "lexical", "semantic", "rerank", "retrievers", "source", "lang")
 
 
+# ---- questions that name identifiers ---------------------------------------------------------------------------------
+
+_RECORD = "'Order TX' || (o_orderkey + 100000) || ' of customer C' || (o_custkey + 10000) || ' has the status ' || o_orderstatus || ' and the priority ' || o_orderpriority"
+_QUESTION = "'Why did txn ' || (o_orderkey + 100000) || ' of client #' || (o_custkey + 10000) || ' with priority ' || o_orderpriority || ' fail?'"
+
+
+def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as documents that name their identifiers, and a stated query set: a question about each whose key 50 divides."""
+    orders = table(spark, sf_dir, "orders")
+    docs = orders.select(F.col("o_orderkey").alias("doc_id"), F.expr(_RECORD).alias("text"), F.lit("en").alias("lang"), F.length(F.expr(_RECORD)).alias("n_chars"))
+    return docs, orders.where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("query_id"), F.expr(_QUESTION).alias("text"))
+
+
+def _three_rankings(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Candidates by words, by the identifiers that a question names, and by links of the customer it names.
+
+    An identifier finds the chunks that are linked to it with score 1, or with that of its own BM25 if it is better.
+    """
+    index = LexicalIndex.build(docs)
+    lexical = ranked(index.scores(asked), 60).select("query_id", F.lit("lexical").alias("retriever"), F.col("doc_id").alias("chunk_id"), "rank", "score")
+    named = docs.select(F.col("doc_id").alias("chunk_id"), F.explode(I.identifiers_in(F.col("text"))).alias("i"))
+    links = named.select(F.col("i.canonical").alias("canonical"), "chunk_id").distinct()
+    linked = resolve.exact_ids(asked, links)
+    ids = asked.select("query_id", F.explode(I.identifiers_in(F.col("text"))["canonical"]).alias("canonical")).distinct()
+    own = index.scores(ids.select(F.struct("query_id", "canonical").alias("query_id"), F.col("canonical").alias("text")))
+    exact = linked.select("query_id", "chunk_id", "score").unionByName(own.select("query_id.query_id", F.col("doc_id").alias("chunk_id"), "score"))
+    exact = ranked(exact.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")), 60, "chunk_id")
+    entities = ids.where(F.col("canonical").rlike("^C[0-9]")).withColumnRenamed("canonical", "entity_id")
+    of_entity = links.select(F.col("canonical").alias("entity_id"), "chunk_id", F.lit(0.99).alias("score"))
+    entity = ranked(resolve.linked(entities, of_entity), 60, "chunk_id")
+    out = lexical
+    for name, found in (("exact_id", exact), ("entity", entity)):
+        out = out.unionByName(found.select("query_id", F.lit(name).alias("retriever"), "chunk_id", "rank", "score"))
+    return out
+
+
+_THREE = f"""documents AS (SELECT o_orderkey AS doc_id, {_RECORD} AS text, 'en' AS lang, length({_RECORD}) AS n_chars FROM orders),
+benchmark AS (SELECT o_orderkey AS item_id, {_QUESTION} AS text FROM orders WHERE o_orderkey % 50 = 0), {_bm25_sql(_ASKED)},
+named AS (SELECT o_orderkey AS query_id, unnest(['TX' || (o_orderkey + 100000), 'C' || (o_custkey + 10000)]) AS canonical FROM orders WHERE o_orderkey % 50 = 0),
+held AS (SELECT o_orderkey AS chunk_id, unnest(['TX' || (o_orderkey + 100000), 'C' || (o_custkey + 10000)]) AS canonical FROM orders),
+own AS (SELECT query_id, doc_id AS chunk_id, round({_BM25}, 6) AS score FROM (SELECT query_id, lower(canonical) AS term FROM named) JOIN df USING (term) JOIN tf USING (term) JOIN len USING (doc_id) CROSS JOIN corpus),
+exact AS (SELECT query_id, chunk_id, max(score) AS score FROM (SELECT query_id, chunk_id, 1.0::DOUBLE AS score FROM named JOIN held USING (canonical) UNION ALL SELECT * FROM own) GROUP BY ALL),
+entity AS (SELECT query_id, chunk_id, 0.99::DOUBLE AS score FROM named JOIN (SELECT canonical, chunk_id, row_number() OVER (PARTITION BY canonical ORDER BY chunk_id) AS r FROM held) USING (canonical) WHERE canonical LIKE 'C%' AND r <= 200),
+cand AS (
+  SELECT * FROM (SELECT query_id, 'lexical' AS retriever, doc_id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, score FROM lex) WHERE rank <= 60
+  UNION ALL SELECT * FROM (SELECT query_id, 'exact_id', chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, score FROM exact) WHERE rank <= 60
+  UNION ALL SELECT * FROM (SELECT query_id, 'entity', chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, score FROM entity) WHERE rank <= 60),
+{_FUSED}, {_WINDOW}"""
+
+
+@query(f"WITH {_final_sql(R.WEIGHTS, _THREE)} SELECT query_id, chunk_id, place, final, lexical, entity_match, is_exact, rerank, retrievers FROM placed JOIN (SELECT query_id, chunk_id, retrievers FROM fused) USING (query_id, chunk_id) WHERE place <= 10")
+def hybrid_search_ids(spark, sf_dir):
+    """Questions that name a transaction and a customer: exact and entity retrievers join in, exact hits come first."""
+    docs, asked = _records(spark, sf_dir)
+    rows = R.scored(_to_score(docs, asked, _three_rankings(docs, asked))).where("place <= 10")
+    return rows.select("query_id", "chunk_id", "place", "final", "lexical", "entity_match", "is_exact", "rerank", "retrievers")
+
+
+@query(f"""WITH {_final_sql(R.WEIGHTS, _THREE)} SELECT * FROM (
+  SELECT 'candidates' AS stage, count(*) AS rows_out FROM cand UNION ALL SELECT 'fused', count(*) FROM fused UNION ALL SELECT 'reranked', count(*) FROM rr UNION ALL SELECT 'admitted', count(*) FROM gate UNION ALL SELECT 'returned', count(*) FROM placed WHERE place <= 10)""")
+def stage_stats(spark, sf_dir):
+    """How many rows each stage of a search hands on."""
+    docs, asked = _records(spark, sf_dir)
+    candidates = _three_rankings(docs, asked)
+    rows = _to_score(docs, asked, candidates)
+    return R.stage_counts({
+        "candidates": candidates, "fused": rows, "reranked": rows.where("rerank IS NOT NULL"), "admitted": rows.where(R.has_evidence()),
+        "returned": R.scored(rows).where("place <= 10"),
+    })
+
+
 @query()
 def extractive_topk(spark, sf_dir):
     """The five sentences that fit each question best, out of its ten best documents."""
     asked = _asked(spark, sf_dir)
-    hits = ranked(LexicalIndex.build(_docs(spark, sf_dir)).scores(asked), 10)
+    hits = ranked(LexicalIndex.stored(_docs(spark, sf_dir)).scores(asked), 10)
     docs = hits.join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id").select("query_id", F.col("doc_id").alias("chunk_id"), "text")
     return rerank.extractive(asked, docs)

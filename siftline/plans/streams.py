@@ -2,27 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from siftline.plans.base import Registry, table
+from siftline.sources import folders
 from siftline.streaming import ingest
 
 query = Registry()
-_own: dict[str, str] = {}
 
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that the whole cluster shares."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-"))
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{folders.shared(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(spark, sf_dir: str, name: str):
@@ -35,21 +29,45 @@ def _stream(spark, sf_dir: str, name: str):
 @query("SELECT sha256(text) AS content_hash FROM documents GROUP BY 1")
 def stream_ingest_dedupe(spark, sf_dir):
     folder = _folder(spark)
-    stream = _stream(spark, sf_dir, "documents").withColumn("ingested_at", F.current_timestamp())
-    out = ingest.deduplicated(stream).select("content_hash")
-    out.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(path=f"{folder}/out", format="parquet").awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    ingest.run_available(_stream(spark, sf_dir, "documents"), f"{folder}/checkpoint", ingest.deduplicated_into(f"{folder}/out"))
+    return spark.read.parquet(f"{folder}/out").select("content_hash")
 
 
 @query("SELECT user_id AS job_id, arg_max(event_type, (ts, event_id)) AS status, list_sort(list(DISTINCT event_type)) AS stages_completed, max(ts) AS updated_at FROM events GROUP BY ALL")
 def stream_job_state(spark, sf_dir):
+    """Each batch writes a version of its own, so that a batch that fails leaves the one before."""
     folder = _folder(spark)
     changes = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), F.col("ts").alias("updated_at"), "event_id")
-    states = ingest.job_states(changes)
-    last = f"{folder}/states"
-    write = lambda batch, _: batch.write.mode("overwrite").parquet(last)  # noqa: E731  complete mode: the whole table
-    states.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(last)
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/states/v{n}")  # noqa: E731  complete mode: the whole table
+    ingest.job_states(changes).writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return ingest.latest(spark, f"{folder}/states")
+
+
+@query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL")
+def stream_upsert(spark, sf_dir):
+    """The last event of each user, kept in versions of a table."""
+    folder = _folder(spark)
+    rows = _stream(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.struct("ts", "event_id").alias("moment"))
+    ingest.run_available(rows, f"{folder}/checkpoint", ingest.upsert_parquet(f"{folder}/out", "user_id", "moment"))
+    return ingest.latest(spark, f"{folder}/out").select("user_id", "event_type", "event_id")
+
+
+@query("SELECT event_id, event_type FROM events")
+def stream_row_load(spark, sf_dir):
+    """Rows of a table in batches: the first replaces, others append."""
+    folder = _folder(spark)
+    spark.range(3).write.parquet(f"{folder}/out")
+    ingest.run_available(_stream(spark, sf_dir, "events").select("event_id", "event_type"), f"{folder}/checkpoint", ingest.replaced_then_appended(f"{folder}/out"))
+    return spark.read.parquet(f"{folder}/out").select("event_id", "event_type")
+
+
+@query("SELECT user_id, count(*) AS searches, max(ts) AS last_at FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY ALL")
+def search_history(spark, sf_dir):
+    """Searches appended to a log in the background, and what it says of each user."""
+    log, events = f"{_folder(spark)}/log", table(spark, sf_dir, "events").select("user_id", "event_type", "ts")
+    for kind in ("view", "click", "purchase"):
+        ingest.appended(events.where(F.col("event_type") == kind), log)
+    return spark.read.parquet(log).groupBy("user_id").agg(F.count("*").alias("searches"), F.max("ts").alias("last_at"))
 
 
 @query("SELECT user_id, min(ts) AS start_at, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, s")

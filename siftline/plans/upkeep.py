@@ -26,13 +26,13 @@ _GONE = "source = 'src3'"
 @query(f"WITH {_INDEX} SELECT term, count(*) AS df FROM tf WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE {_GONE}) GROUP BY ALL")
 def lexical_retract(spark, sf_dir):
     """One source leaves the index: frequencies are lowered by what its documents held."""
-    index = LexicalIndex.build(_docs(spark, sf_dir))
+    index = LexicalIndex.stored(_docs(spark, sf_dir))
     return store.retracted(index.postings, index.df, _docs(spark, sf_dir).where(_GONE))[1]
 
 
 @query(f"WITH {_INDEX} SELECT doc_id, count(*) AS postings FROM tf WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE {_GONE}) GROUP BY ALL")
 def lexical_delete(spark, sf_dir):
-    index = LexicalIndex.build(_docs(spark, sf_dir))
+    index = LexicalIndex.stored(_docs(spark, sf_dir))
     return store.retracted(index.postings, index.df, _docs(spark, sf_dir).where(_GONE))[0].groupBy("doc_id").agg(F.count("*").alias("postings"))
 
 
@@ -323,7 +323,7 @@ def query_terms(spark, sf_dir):
 
 def _results(spark, sf_dir) -> DataFrame:
     """(query_id, doc_id, text): the three best documents of each benchmark question."""
-    best = ranked(LexicalIndex.build(_docs(spark, sf_dir)).scores(_asked(spark, sf_dir)), 3)
+    best = ranked(LexicalIndex.stored(_docs(spark, sf_dir)).scores(_asked(spark, sf_dir)), 3)
     return best.select("query_id", "doc_id").join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
 
 

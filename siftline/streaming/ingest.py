@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +18,46 @@ def arriving(spark: SparkSession, folder: str, like: DataFrame, files_per_batch:
     return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def deduplicated(stream: DataFrame, text_col: str = "text", moment_col: str = "ingested_at", delay: str = "1 hour") -> DataFrame:
-    """The first row of each content, forgetting contents that the watermark left behind."""
-    hashed = stream.withColumn("content_hash", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    return hashed.withWatermark(moment_col, delay).dropDuplicatesWithinWatermark(["content_hash"])
+def hashed(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    return rows.withColumn("content_hash", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+
+
+def deduplicated_into(target: str, text_col: str = "text") -> Callable[[DataFrame, int], None]:
+    """A handler that appends each content once, for good: what any earlier batch wrote is met by a join, so no state is
+    kept and no content is forgotten. A batch has a folder of its own, so a repeated batch writes the same rows again."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        new = hashed(batch, text_col).dropDuplicates(["content_hash"])
+        for earlier in _batches(batch.sparkSession, target, batch_id):
+            new = new.join(earlier.select("content_hash"), "content_hash", "left_anti")
+        new.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return handle
+
+
+def _batches(spark: SparkSession, target: str, before: int) -> list[DataFrame]:
+    """The rows of all batches before one, as one table, if there are any."""
+    return [spark.read.option("basePath", target).parquet(target).where(F.col("batch") < before)] if before > 0 else []
+
+
+def replaced_then_appended(target: str) -> Callable[[DataFrame, int], None]:
+    """A handler whose first batch replaces what is there and whose later ones append; a repeated batch writes itself again."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        if batch_id == 0:
+            batch.limit(0).write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+    return handle
+
+
+def appended(rows: DataFrame, target: str) -> bool:
+    """Appends to a log that may lose rows but never fails a search: says whether it worked."""
+    try:
+        rows.write.mode("append").parquet(target)
+        return True
+    except Exception:  # noqa: BLE001  a search must not fail for its log
+        return False
 
 
 def run_available(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:
@@ -46,9 +83,8 @@ def upsert_parquet(target: str, key: str, order: str) -> Callable[[DataFrame, in
 
 def latest(spark: SparkSession, target: str) -> DataFrame:
     """The newest version that ``upsert_parquet`` wrote; found through Spark's file source, in any store."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "_SUCCESS").load(target)
-    newest = found.agg(F.max(F.regexp_extract("path", r"/v(\d+)/_SUCCESS$", 1).cast("int"))).first()[0]
-    return spark.read.parquet(f"{target}/v{newest}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(target).inputFiles()
+    return spark.read.parquet(f"{target}/v{max(int(m[1]) for f in files if (m := re.search(r'/v([0-9]+)/[^/]*$', f)))}")
 
 
 def job_states(changes: DataFrame) -> DataFrame:

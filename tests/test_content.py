@@ -198,3 +198,19 @@ def test_embedding_covers_documents_whole(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert {r.doc_id for r in rows} == set(texts) and all(len(r.embedding) == 512 for r in rows)
     assert all(r.embedding == embed.embed(texts[r.doc_id]) for r in rows[:5])
+
+
+def test_a_restarted_stream_goes_on_where_it_was(spark, tmp_path):
+    from siftline.streaming import ingest
+
+    source, target, checkpoint = f"{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint"
+    schema = "doc_id long, text string"
+    first = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None)], schema)
+    first.coalesce(1).write.mode("append").parquet(source)
+    run = lambda: ingest.run_available(ingest.arriving(spark, source, first), checkpoint, ingest.deduplicated_into(target))
+    run()
+    spark.createDataFrame([(5, "b"), (6, "c"), (7, "")], schema).coalesce(1).write.mode("append").parquet(source)
+    run()
+    run()
+    rows = spark.read.parquet(target).collect()
+    assert sorted(r.text or "" for r in rows) == ["", "a", "b", "c"] and {r.batch for r in rows} == {0, 1}
