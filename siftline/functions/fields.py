@@ -91,6 +91,39 @@ def locator(modality: Column, asset: Column, source: Column, chunk: Column, ordi
     )
 
 
+def byte_range(header: Column, total: Column) -> Column:
+    """struct(status, first, last) of a ``bytes=a-b`` header, both ends included: 200 without one, 206 with the end clamped to
+    the object, 416 outside of it, 400 for anything else."""
+    shape = r"^\s*bytes=(\d*)-(\d*)\s*$"
+    said = lambda i: F.nullif(F.regexp_extract(header, shape, i), F.lit("")).cast("long")
+    first, last = F.coalesce(said(1), F.lit(0).cast("long")), F.coalesce(said(2), total - 1)
+    outside = (first >= total) | (first > last)
+    status = F.when(header.isNull(), 200).when(~header.rlike(shape), 400).when(outside, 416).otherwise(206)
+    inside = status == 206
+    return F.struct(status.alias("status"), F.when(inside, first).alias("first"), F.when(inside, F.least(last, total - 1)).alias("last"))
+
+
+def confined(path: Column, root: str) -> Column:
+    """The path below ``root`` that a relative or absolute path leads to, or null if it leaves the root."""
+    parts = F.split(F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path)), "/", -1)
+    parts = F.filter(parts, lambda p: ~p.isin("", "."))
+    up = lambda at, p: F.when(p == "..", F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0)))).otherwise(F.concat(at, F.array(p)))
+    whole = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), up), "/"))
+    return F.when((whole == root.rstrip("/")) | whole.startswith(root.rstrip("/") + "/"), whole)
+
+
+def safe_name(name: Column) -> Column:
+    """The last part of a path in plain characters, 180 at most."""
+    last = F.replace(F.regexp_replace(name, r"^.*[/\\]", ""), F.lit(".."), F.lit("_"))
+    return F.left(F.regexp_replace(last, "[^A-Za-z0-9._-]+", "_"), F.lit(180))
+
+
+def upload_reason(name: Column, size: Column, kinds: tuple[str, ...], largest: int) -> Column:
+    """Why an upload is refused: empty, too large, or of another type; ok if it is not."""
+    kind = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+    return F.when(size <= 0, "empty").when(size > largest, "size").when(~kind.isin(*kinds), "type").otherwise("ok")
+
+
 _KINDS = {"string": "^STRING$", "integer": "^(TINYINT|SMALLINT|INT|BIGINT)$", "number": "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL.*)$", "boolean": "^BOOLEAN$", "object": "^OBJECT", "array": "^ARRAY"}
 
 

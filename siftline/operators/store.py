@@ -77,3 +77,15 @@ def capped(links: DataFrame, entity: str, order: list[Column], most: int = 200)
 def described(tables: dict[str, DataFrame]) -> list[tuple[str, str, str, int]]:
     """(table, column, type, ordinal) of the schemas: no data is read."""
     return [(t, f.name, f.dataType.simpleString(), i) for t, df in sorted(tables.items()) for i, f in enumerate(df.schema.fields, 1)]
+
+
+def orphans(tables: dict[str, DataFrame], foreign_keys: list[tuple[str, str, str, str]]) -> DataFrame:
+    """(child, column, parent, rows, orphans) for each declared foreign key: rows with a key, and those that no parent has."""
+    out = None
+    for child, column, parent, key in foreign_keys:
+        keys = tables[parent].select(F.col(key).alias("_key")).distinct().withColumn("_there", F.lit(True))
+        rows = tables[child].where(F.col(column).isNotNull()).join(keys, F.col(column) == F.col("_key"), "left")
+        one = rows.agg(F.count("*").alias("rows"), F.count_if(F.col("_there").isNull()).alias("orphans"))
+        one = one.select(F.lit(child).alias("child"), F.lit(column).alias("column"), F.lit(parent).alias("parent"), "rows", "orphans")
+        out = one if out is None else out.unionByName(one)
+    return out

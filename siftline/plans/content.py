@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import embed as E
+from siftline.functions import fields
 from siftline.functions import identifiers as I
 from siftline.functions import text as T
 from siftline.operators import chunking, graph, resolve
@@ -47,15 +48,23 @@ def char_ngrams(spark, sf_dir):
 _PART_TOKENS = "SELECT p_partkey, regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+') AS t FROM part"
 
 
+_GRAMS = "SELECT p_partkey, substr(x, i, n) AS gram FROM (SELECT p_partkey, '^' || unnest(t) || '$' AS x FROM ({_PART_TOKENS})), unnest([3, 4, 5]) AS s(n), unnest(range(1, length(x) - n + 2)) AS u(i) WHERE length(x) >= 6".replace("{_PART_TOKENS}", _PART_TOKENS)
+
+
 @query(f"""SELECT p_partkey, feature, round(w * (1 + ln(count(*))), 6) AS weight FROM (
   SELECT p_partkey, 'w:' || unnest(t) AS feature, 1.0::DOUBLE AS w FROM ({_PART_TOKENS}) UNION ALL
-  SELECT p_partkey, 'b:' || t[i] || '_' || t[i + 1], 0.5 FROM ({_PART_TOKENS}), unnest(range(1, len(t))) AS u(i)) GROUP BY p_partkey, feature, w""")
+  SELECT p_partkey, 'b:' || t[i] || '_' || t[i + 1], 0.5 FROM ({_PART_TOKENS}), unnest(range(1, len(t))) AS u(i) UNION ALL
+  SELECT p_partkey, 'c:' || gram, 0.35 FROM ({_GRAMS})) GROUP BY p_partkey, feature, w""")
 def feature_weights(spark, sf_dir):
-    t = T.ascii_tokens(F.concat_ws(" ", "p_name", "p_type"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", t.alias("t"))
+    """Words, pairs of words and character n-grams, as the hashed embedding weighs them."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", T.ascii_tokens(F.concat_ws(" ", "p_name", "p_type")).alias("t"))
     pairs = F.zip_with(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", 2, F.greatest(F.size("t"), F.lit(0))), lambda a, b: F.concat(F.lit("b:"), a, F.lit("_"), b))
     words = F.transform("t", lambda x: F.concat(F.lit("w:"), x))
-    flat = rows.select("p_partkey", F.explode(words).alias("feature"), F.lit(1.0).alias("w")).unionByName(rows.select("p_partkey", F.explode(pairs).alias("feature"), F.lit(0.5).alias("w")))
+    grams = F.transform(F.flatten(F.transform("t", T.char_ngrams)), lambda g: F.concat(F.lit("c:"), g))
+    flat = None
+    for found, weight in ((words, E.WORD), (pairs, E.PAIR), (grams, E.GRAM)):
+        part = rows.select("p_partkey", F.explode(found).alias("feature"), F.lit(weight).alias("w"))
+        flat = part if flat is None else flat.unionByName(part)
     return flat.groupBy("p_partkey", "feature", "w").agg(F.count("*").alias("n")).select("p_partkey", "feature", F.round(F.col("w") * (1 + F.log("n")), 6).alias("weight"))
 
 
@@ -128,17 +137,29 @@ def type_by_content(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", readers.media_by_content(heads).alias("media"))
 
 
-@query("SELECT page_id, lower(hex(encode(substr(url, 5 + 1, 10)))) AS part, CASE WHEN length(url) <= 5 THEN 416 ELSE 206 END AS status FROM pages")
+@query("""SELECT page_id, status, CASE WHEN status = 206 THEN lower(substr(hex(encode(html)), 2 * a + 1, 2 * (least(b, n - 1) - a + 1))) END AS part FROM (
+  SELECT *, CASE WHEN page_id % 5 = 0 THEN 200 WHEN page_id % 5 = 1 THEN 400 WHEN a >= n OR a > b THEN 416 ELSE 206 END AS status FROM (
+    SELECT page_id, html, octet_length(encode(html)) AS n, CASE page_id % 5 WHEN 3 THEN 200 ELSE 5 END AS a, CASE page_id % 5 WHEN 4 THEN octet_length(encode(html)) - 1 WHEN 3 THEN 1000000 ELSE 14 END AS b FROM pages))""")
 def byte_range(spark, sf_dir):
-    """Bytes 5 to 14 of each object, both included; outside of it the status says so."""
-    return table(spark, sf_dir, "pages").select("page_id", F.lower(F.hex(F.substring(F.encode("url", "UTF-8"), 6, 10))).alias("part"), F.when(F.length("url") <= 5, 416).otherwise(206).alias("status"))
+    """Parts of pages by range headers of every form."""
+    headers = F.array(F.lit(None).cast("string"), F.lit("bits=1-2"), F.lit("bytes=5-14"), F.lit("bytes=200-1000000"), F.lit(" bytes=5- "))
+    rows = table(spark, sf_dir, "pages").withColumn("r", fields.byte_range(F.element_at(headers, (F.pmod("page_id", F.lit(5)) + 1).cast("int")), F.octet_length("html").cast("long")))
+    part = F.substring(F.encode("html", "UTF-8"), (F.col("r.first") + 1).cast("int"), (F.col("r.last") - F.col("r.first") + 1).cast("int"))
+    return rows.select("page_id", "r.status", F.when(F.col("r.status") == 206, F.lower(F.hex(part))).alias("part"))
 
 
-@query("SELECT event_id, left(regexp_replace(regexp_replace(name, '^.*/', ''), '[^A-Za-z0-9._-]+', '_', 'g'), 180) AS safe, CASE WHEN value < 5 THEN 'empty' WHEN event_type = 'error' THEN 'type' ELSE 'ok' END AS reason FROM (SELECT *, '../up/' || event_type || ' (' || user_id || ').txt' AS name FROM events)")
+@query("SELECT event_id, left(regexp_replace(replace(regexp_replace(name, '^.*/', ''), '..', '_'), '[^A-Za-z0-9._-]+', '_', 'g'), 180) AS safe, CASE WHEN value < 5 THEN 'empty' WHEN value > 90 THEN 'size' WHEN event_type = 'error' THEN 'type' ELSE 'ok' END AS reason FROM (SELECT *, '../up/' || event_type || '.. (' || user_id || ')' || CASE WHEN event_type = 'error' THEN '.exe' ELSE '.TXT' END AS name FROM events)")
 def upload_rules(spark, sf_dir):
-    name = F.concat(F.lit("../up/"), "event_type", F.lit(" ("), F.col("user_id").cast("string"), F.lit(").txt"))
-    safe = F.left(F.regexp_replace(F.regexp_replace(name, "^.*/", ""), "[^A-Za-z0-9._-]+", "_"), F.lit(180))
-    return table(spark, sf_dir, "events").select("event_id", safe.alias("safe"), F.when(F.col("value") < 5, "empty").when(F.col("event_type") == "error", "type").otherwise("ok").alias("reason"))
+    name = F.concat(F.lit("../up/"), "event_type", F.lit(".. ("), F.col("user_id").cast("string"), F.lit(")"), F.when(F.col("event_type") == "error", ".exe").otherwise(".TXT"))
+    size = F.when(F.col("value") < 5, 0).otherwise(F.col("value"))
+    return table(spark, sf_dir, "events").select("event_id", fields.safe_name(name).alias("safe"), fields.upload_reason(name, size, ("txt", "md"), 90).alias("reason"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN '/data/in/' || event_type || '/x.txt' WHEN 1 THEN '/data/in/y' WHEN 4 THEN '/data/in' END AS at FROM events")
+def path_confinement(spark, sf_dir):
+    """Where paths lead below a folder; those that leave it lead nowhere."""
+    forms = F.array(F.concat("event_type", F.lit("/./x.txt")), F.lit("a/b/../..//y"), F.lit("../in2/z"), F.lit("/etc/passwd"), F.lit("a/.."))
+    return table(spark, sf_dir, "events").select("event_id", fields.confined(F.element_at(forms, (F.col("event_id") % 5 + 1).cast("int")), "/data/in").alias("at"))
 
 
 # ---- blocks, chunks, transcripts -------------------------------------------------------------------------------------

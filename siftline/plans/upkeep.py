@@ -142,6 +142,16 @@ def schema_describe(spark, sf_dir):
     return spark.createDataFrame(rows, "name string, field string, type string, ordinal int").select("name", "field", "ordinal")
 
 
+_KEYS = [("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("labels", "doc_id", "documents", "doc_id"), ("events", "user_id", "customer", "c_custkey")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS child, '{f}' AS \"column\", '{p}' AS parent, count({f}) AS rows, count({f}) FILTER ({f} NOT IN (SELECT {k} FROM {p})) AS orphans FROM {c}" for c, f, p, k in _KEYS))
+def catalog_keys(spark, sf_dir):
+    """The declared relationships of the tables, and whether they hold."""
+    names = {t for c, _, p, _ in _KEYS for t in (c, p)}
+    return store.orphans({t: table(spark, sf_dir, t) for t in names}, _KEYS)
+
+
 @query("SELECT (place - 1) // 500 AS batch, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC) AS place FROM orders) GROUP BY ALL")
 def table_stream(spark, sf_dir):
     """A table read by key in batches of 500; places are counted by range of the key, not in one task."""
