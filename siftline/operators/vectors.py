@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 EPSILON = 1e-12
-MAX_QUERIES = 20_000  # in one block; the matrix of a block goes to every task
+MAX_QUERIES, SLICE = 20_000, 512  # in one block, whose matrix goes to every task; at a time in a task
 
 
 def norm(v: Column) -> Column:
@@ -75,11 +75,16 @@ def _nearest(vectors: DataFrame, batch: pd.DataFrame, k: int, least: float | Non
             if found.shape[1] != wanted.shape[1]:
                 raise ValueError(f"dimension {found.shape[1]} where queries have {wanted.shape[1]}")
             own = block.vec_id.to_numpy()
-            scores = np.round(wanted @ found.T, 6)
-            for q, row in enumerate(scores):
-                order = np.lexsort((own, -row))[:k]
-                if least is not None:
-                    order = order[row[order] >= least]
-                yield pd.DataFrame({"query_id": ids[q], "vec_id": own[order], "score": row[order]})
+            for at in range(0, len(wanted), SLICE):  # scores of SLICE queries at a time, whatever their number
+                scores = np.round(wanted[at : at + SLICE] @ found.T, 6)
+                floor = np.partition(scores, -k, axis=1)[:, -k] if k < len(own) else np.full(len(scores), -np.inf)
+                floor = floor if least is None else np.maximum(floor, least)
+                q, v = np.nonzero(scores >= floor[:, None])  # the best k and what ties with the last of them
+                best = scores[q, v]
+                order = np.lexsort((own[v], -best, q))
+                q, v, best = q[order], v[order], best[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                some = place < k
+                yield pd.DataFrame({"query_id": ids[at + q[some]], "vec_id": own[v[some]], "score": best[some]})
 
     return vectors.select("vec_id", "embedding").mapInPandas(nearest, "query_id long, vec_id long, score double")
