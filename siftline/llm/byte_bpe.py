@@ -31,9 +31,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftline.llm.common import staged, table
+from siftline.llm.common import arrow_batches, staged, table
+from siftline.llm.memory import give_back
 
-CHUNK, OVERLAP, CACHE = 32_768, 1_024, 400_000
+CHUNK, OVERLAP, CACHE = 32_768, 1_024, 150_000
 #: Beyond these characters, \w, \d and \s of re and the classes of the pattern may differ.
 _NOT_PLAIN = re.compile("[^\t\n\r -~\xa1\xa7\xab\xb0\xb4\xb7\xbb\xbf-\u02af\u2013\u2014\u2018-\u201e\u2026]")
 
@@ -200,6 +201,7 @@ def _pieces_encoded(chunks: DataFrame, stitches: DataFrame, vocabulary: tuple[st
             for at, text, begin, end in zip(batch["at"], batch.text, batch.begin, batch.end):
                 ids.append(c.encode(text[int(begin) - at * CHUNK : None if pd.isna(end) else int(end) - at * CHUNK]))
             yield pd.DataFrame({"key": batch.key, "at": batch["at"], "ids": ids})
+            give_back()
 
     def encode_rest(rest: pd.DataFrame) -> pd.DataFrame:
         rest = rest.sort_values("at")
@@ -222,18 +224,21 @@ def digests(docs: DataFrame, vocabulary: tuple[str, str] | None = None, id_col:
         for batch in batches:
             n, ids, data = zip(*[_digest(c.encode(t), c) for t in batch.text]) if len(batch) else ((), (), ())
             yield pd.DataFrame({"id": batch.id, "n_tokens": n, "ids_sha256": ids, "decoded_sha256": data})
+            give_back()
 
     def gathered(pieces: pd.DataFrame) -> pd.DataFrame:
         c = codec(*vocabulary)
         ids = [i for piece in pieces.sort_values("at").ids for i in piece]
         n, a, b = _digest(ids, c)
+        give_back()
         return pd.DataFrame({"key": [pieces.key.iloc[0]], "n_tokens": [n], "ids_sha256": [a], "decoded_sha256": [b]})
 
     short = rows.where(F.length("text") <= CHUNK).mapInPandas(whole, f"id {kind}, {DIGEST}")
     long = rows.where(F.length("text") > CHUNK).withColumn("key", F.sha2("text", 256))
     chunks = staged(_long_chunks(long), "chunks")
     pieces = _pieces_encoded(chunks, staged(_stitches(chunks, vocabulary), "stitches"), vocabulary)
-    found = staged(pieces.groupBy("key").applyInPandas(gathered, f"key string, {DIGEST}"), "long-digests")
+    with arrow_batches(docs.sparkSession, 64):  # pieces of CHUNK characters and their ids
+        found = staged(pieces.groupBy("key").applyInPandas(gathered, f"key string, {DIGEST}"), "long-digests")
     long = long.select("id", "key").join(found, "key").select("id", "n_tokens", "ids_sha256", "decoded_sha256")
     return short.unionByName(long).withColumnRenamed("id", id_col)
 

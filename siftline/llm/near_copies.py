@@ -35,10 +35,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm import simhash
-from siftline.llm.common import in_row, lower_bytes, lowest_hashes, packed, staged
+from siftline.llm.common import arrow_batches, in_row, lower_bytes, lowest_hashes, packed, staged
 from siftline.llm.exact_dedup import bitmaps_of, filter_blocks, mark_possible
+from siftline.llm.memory import give_back
 
-SHINGLE, SKETCH, ROWS, MISS, BLOCK, PART = 5, 64, 4, 1e-9, 1_024, 4_096
+SHINGLE, SKETCH, ROWS, MISS, BLOCK, PART, BATCH = 5, 64, 4, 1e-9, 1_024, 4_096, 512
 SIMILAR = (4, 5)  # as a fraction, so that comparisons are exact
 #: Of SKETCH least hashes of a union, two sets of similarity 0.8 share fewer than these with a chance under 1e-10.
 SHARED = 28
@@ -102,6 +103,7 @@ def _sketched(rows: DataFrame, size: int, similar: tuple[int, int]) -> DataFrame
             s = shingles(text, size)
             node = np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)
             out.append((node, fingerprint(s), len(s), band_keys(s, bands), s[:SKETCH].view(np.int64)))
+        give_back()
         return pd.DataFrame(out, columns=["node", "fp", "n", "bands", "sketch"])
 
     return rows.select("id", "hash", describe("text").alias("d")).select("id", "hash", "d.*")
@@ -116,7 +118,8 @@ class _Join:
 
     def __init__(self, rows: DataFrame, size: int, similar: tuple[int, int]):
         self.rows, self.size, self.similar = rows, size, similar
-        self.prints = staged(_sketched(rows, size, similar), "prints")
+        with arrow_batches(rows.sparkSession, BATCH):
+            self.prints = staged(_sketched(rows, size, similar), "prints")
         first = F.min(F.struct("id", "hash", "fp", "n", "bands", "sketch")).alias("f")
         self.nodes = staged(self.prints.groupBy("node").agg(first).select("node", "f.*"), "nodes")
         self.found, self.labels = None, None
@@ -183,12 +186,14 @@ class _Join:
 
         @F.pandas_udf("array<long>")
         def whole(texts: pd.Series) -> pd.Series:
+            give_back()
             return pd.Series([shingles(t, size).view(np.int64) for t in texts])
 
         nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         first = staged(self.nodes.join(nodes, "node", "left_semi").select("node", "id", "hash"), "first")
         texts = only(self.rows, F.col("hash"), first).join(first, ["id", "hash"]).dropDuplicates(["node"])
-        sets = staged(texts.select("node", whole("text").alias("set")), "sets")
+        with arrow_batches(pairs.sparkSession, BATCH):
+            sets = staged(texts.select("node", whole("text").alias("set")), "sets")
         met = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b")
         return met.where(F.size(F.array_intersect("s", "t")) * (p + q) >= (F.size("s") + F.size("t")) * p).select("a", "b")
 

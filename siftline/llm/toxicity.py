@@ -36,8 +36,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import packed, staged, table
+from siftline.llm.common import arrow_batches, packed, staged, table
 from siftline.llm.labelled import fold, labelled_sample
+from siftline.llm.memory import give_back
 
 PER_CLASS, VOTERS, TERMS, MIN_TEXTS, ANCHOR, THRESHOLD = 8_000, 256, 4_096, 3, 20.0, 0.3
 #: A sign's lift is over these bounds with confidence (1.64 standard errors) if it may vote (and over the odds against
@@ -119,6 +120,7 @@ def sign_counts(rows: DataFrame) -> DataFrame:
                 by[label].update(read(text).items())
             signs = list(by[0].keys() | by[1].keys())
             yield pd.DataFrame({"term": [s[0] for s in signs], "level": [s[1] for s in signs], "toxic": [by[1][s] for s in signs], "clean": [by[0][s] for s in signs]})
+            give_back()
 
     counts = rows.select("text", "label").mapInPandas(count, "term string, level int, toxic long, clean long")
     reached = [F.struct(F.lit(k).alias("level"), *[F.sum(F.when(F.col("level") >= k, F.col(c)).otherwise(0)).alias(c) for c in ("toxic", "clean")]) for k in range(1, TOP + 1)]
@@ -200,7 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     empty = Model({}, np.zeros((0, TOP + 1)), float(np.log(share / (1 - share))))
     if not n1 or not n0:
         return empty
-    best = best_signs(rows, n1, n0)
+    with arrow_batches(docs.sparkSession, 2 * PART):
+        best = best_signs(rows, n1, n0)
     if not len(best):
         return empty
     terms = {t: i for i, t in enumerate(dict.fromkeys(best.term))}
@@ -241,6 +244,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", column: str =
         read = TermReader(model.terms)
         for batch in batches:
             yield pd.Series(model.scores(batch.tolist(), read), dtype="float64")
+            give_back()
 
     return docs.withColumn(column, score(F.col(text_col)))
 
