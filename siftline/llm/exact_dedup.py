@@ -8,9 +8,10 @@ of the filter costs a little traffic and never a wrong answer.
 
 Scale. A position row of pass 1 is a number, summed on the map side. The bitmaps are broadcast; MAX_BITS bounds
 them to 64 MB at any input size. Beyond about MAX_BITS / BITS_PER_ROW rows the filter grows denser and lets more
-rows through to the grouping, which is exact by itself. Groups are summed before the shuffle, so a text that makes
-up a third of the corpus arrives as one row per task; the join that hands a group's result back to its rows is a
-plain equi-join of two staged tables, which adaptive execution splits where one group is large.
+rows through to the grouping, which is exact by itself. Rows are summed by text and id before the shuffle and groups
+again, so a text that makes up a third of the corpus arrives as one row per task and id, and rows that repeat both as
+one number; the join that hands a group's result back is a plain equi-join of two staged tables, which adaptive
+execution splits where one group is large.
 
 Defined cases. A null text counts as empty, and empty texts equal each other. Null ids are smaller than any other
 id; a group of null ids alone has a null keep_id and one of its rows stays. Rows that repeat both id and text count
@@ -21,13 +22,12 @@ Other columns, whatever their names, are not read by ``ledger`` and are carried
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftline.llm.common import ascii_lower, in_row, packed, staged, table
 
 BITS_PER_ROW, HASHES, MAX_BITS = 16, 2, 1 << 29
-BLOCK_BITS = 32_768  # fixed by bitmap_construct_agg
+BLOCK_BITS, PART = 32_768, 65_536  # bits of a block are fixed by bitmap_construct_agg
 NO_ID = -(1 << 63)
 
 
@@ -84,13 +84,18 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     blocks = filter_blocks(hashes.count())
     marked = mark_possible(hashes, F.col("text_sha256"), repeated_bits(hashes, "text_sha256", blocks), blocks)
     alone = marked.where("not _possible").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    some = staged(marked.where("_possible").drop("_possible"), "possible")
-    groups = staged(some.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
-    copy = F.row_number().over(W.partitionBy("text_sha256", "doc_id").orderBy("text_sha256"))
-    some = staged(some.withColumn("copy", copy), "copies")
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
-    some = some.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
-    return alone.unionByName(some)
+    # rows that agree in id and text are told apart by number alone, so they are counted and written out again
+    some = marked.where("_possible").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("rows"))
+    some = staged(some, "possible")
+    groups = staged(some.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("rows").alias("group_size")), "groups")
+    some = some.join(groups, "text_sha256").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    columns = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    once = some.where("rows = 1").select(*columns)
+    many = some.where("rows > 1").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("rows") - 1) / PART))))
+    many = many.repartition("text_sha256", "doc_id", "part")  # PART copies of a row are a task's at a time
+    copy = F.explode(F.sequence(F.col("part") * PART, F.least((F.col("part") + 1) * PART, F.col("rows")) - 1))
+    many = many.withColumn("copy", copy).withColumn("kept", F.col("kept") & (F.col("copy") == 0)).select(*columns)
+    return alone.unionByName(once).unionByName(many)
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -140,7 +140,8 @@ def _qualified(condition: str, measures: str) -> str:
 
 
 def ledger(docs: DataFrame, text_col: str = "text", version: str = "r1") -> DataFrame:
-    """``docs`` without its text, with measures, failures (one bit for each rule) and rules_version."""
+    """``docs`` without its text, with measures, failures (one bit for each rule) and rules_version; columns of these names
+    are replaced."""
     rows = measured(docs, text_col).drop(text_col)
     return rows.withColumns({"failures": failure_bits(), "rules_version": F.lit(version)})
 

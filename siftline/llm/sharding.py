@@ -14,7 +14,8 @@ that did not end would raise an error rather than give a wrong place.
 Row numbers come from the rows themselves, not from the layout of partitions: a row belongs to one of BUCKETS hash
 buckets of its key columns, and its number is the count of rows in earlier buckets plus its rank inside. So reruns,
 retries after a lost executor and other cluster sizes give the same places. The counts of buckets (BUCKETS rows) are
-the only thing that meets in one task or is broadcast.
+the only thing that meets in one task or is broadcast. Keys that more than CROWD rows repeat are dealt over SPREAD
+buckets, so no bucket holds a hot key whole; which of its rows gets which of its places is all that is left to chance.
 
 Defined cases. A null text has size 1 and the CRC-32 of the empty text. Rows that repeat all key columns get places of
 their own, in no particular order among themselves, which makes them interchangeable. Null ids are ordinary keys.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm.common import packed, staged, table
 
-SHARDS, SEED, ROUNDS, BUCKETS, WALK = 16, 20_240_229, 6, 4096, 64
+SHARDS, SEED, ROUNDS, BUCKETS, WALK, CROWD, SPREAD = 16, 20_240_229, 6, 4096, 64, 10_000, 256
 
 
 def grid(n: int) -> tuple[int, int]:
@@ -82,17 +83,30 @@ def unpermuted(position: Column, n: int, seed: int = SEED) -> Column:
     return _walked(position.cast("long"), n, seed, True)
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``_salt``: zero, but for rows of keys that more than CROWD rows repeat a number below SPREAD. Written and read
+    again, so that it stays what it is when a task runs twice."""
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_rows")).where(F.col("_rows") > CROWD).drop("_rows")
+    hot = staged(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_hot")), "hot")
+    if hot.isEmpty():
+        return df.withColumn("_salt", F.lit(0).cast("long"))
+    same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
+    salt = F.when(F.col("_hot"), F.floor(F.rand(SEED) * SPREAD)).otherwise(0).cast("long")
+    return staged(df.join(hot, same, "left").withColumn("_salt", salt).select(*df.columns, "_salt"), "spread")
+
+
 def numbered(df: DataFrame, keys: list[str], number: str = "row_number") -> tuple[DataFrame, int]:
     """Adds global row numbers from 0, which depend on the rows alone, and returns how many there are."""
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    df = spread(df, keys)
+    bucket = F.pmod(F.xxhash64(*keys, "_salt"), F.lit(BUCKETS)).cast("int")
     counts = df.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_rows"))
     before = F.sum("_rows").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
     counts = staged(counts.select("_bucket", "_rows", F.coalesce(before, F.lit(0)).alias("_before")), "buckets")
     n = counts.agg(F.sum("_rows")).first()[0] or 0
     out = df.withColumn("_bucket", bucket).join(F.broadcast(counts), "_bucket")  # BUCKETS rows at most
-    rank = F.row_number().over(W.partitionBy("_bucket").orderBy(*[F.asc_nulls_first(k) for k in keys]))
+    rank = F.row_number().over(W.partitionBy("_bucket").orderBy(*[F.asc_nulls_first(k) for k in keys], "_salt"))
     out = out.withColumn(number, (F.col("_before") + rank - 1).cast("long"))
-    return out.drop("_bucket", "_rows", "_before"), n
+    return out.drop("_bucket", "_rows", "_before", "_salt"), n
 
 
 def sharded(df: DataFrame, keys: list[str], shards: int = SHARDS, seed: int = SEED) -> DataFrame:

@@ -52,3 +52,11 @@ def test_a_full_filter_is_still_exact(odd, monkeypatch):
     monkeypatch.setattr(D, "MAX_BITS", D.BLOCK_BITS)
     monkeypatch.setattr(D, "BITS_PER_ROW", 1)
     check(D.ledger(odd).collect(), [tuple(r) for r in odd.collect()])
+
+
+def test_rows_that_repeat_everything_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(D, "PART", 7)
+    rows = [(None, "")] * 100 + [(3, "x")] * 15 + [(2, "X")] * 8 + [(1, "alone")]
+    ledger = D.ledger(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    check(ledger.collect(), rows)
+    assert "Window" not in ledger._jdf.queryExecution().executedPlan().toString()

@@ -45,5 +45,6 @@ def test_policies_and_ablation(spark, sf):
 
 def test_odd_rows(odd, clashing, empty):
     assert Q.ledger(odd).count() == odd.count()
-    assert Q.ledger(clashing).count() == clashing.count()
+    both = Q.ledger(clashing)
+    assert both.count() == clashing.count() and dict(both.dtypes)["measures"].startswith("struct") and both.columns == [c for c in clashing.columns if c != "text"] + ["failures", "rules_version"]
     assert Q.ledger(empty).collect() == [] and all(r.fails == 0 and r.kept_with == 0 for r in Q.ablation(Q.ledger(empty)).collect())

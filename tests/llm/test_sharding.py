@@ -44,3 +44,14 @@ def test_shards_as_folders(spark, odd, tmp_path):
     S.write_shards(S.sharded(odd, ["doc_id", "text"], shards=3), f"file://{tmp_path}/out")
     back = spark.read.parquet(f"file://{tmp_path}/out")
     assert back.count() == odd.count() and {r.shard for r in back.select("shard").distinct().collect()} == {0, 1, 2}
+
+
+def test_a_hot_key_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(S, "CROWD", 20)
+    rows = spark.createDataFrame([(None, "")] * 300 + [(i, "x") for i in range(50)], "doc_id long, text string").repartition(4)
+    found = S.sharded(rows, ["doc_id", "text"]).collect()
+    check(found, 350)
+    salted = S.spread(rows, ["doc_id", "text"])
+    assert salted.where("doc_id IS NULL").select("_salt").distinct().count() > 50 and salted.where("doc_id IS NOT NULL AND _salt <> 0").count() == 0
+    again = S.sharded(rows, ["doc_id", "text"]).collect()
+    assert sorted((r.doc_id or -1, r.shard, r.slot) for r in again) == sorted((r.doc_id or -1, r.shard, r.slot) for r in found)
