@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.operators.store import capped
+
 MAX_DEPTH, MAX_PATHS = 8, 25
 
 
@@ -61,9 +63,26 @@ def find_nodes(nodes: DataFrame, label: str, properties: dict[str, str]) -> Data
     return out
 
 
+def neighbourhood(starts: DataFrame, edges: DataFrame, depth: int, most: int, types: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) around each start: the ``most`` nearest nodes with ``truncated``, whether there were more, and every
+    edge that a shown node has, also to nodes that are not shown."""
+    reached = neighbours(starts, edges, depth, types)
+    sizes = reached.groupBy("start_id").agg((F.count("*") > most).alias("truncated"))
+    shown = capped(reached, "start_id", [F.asc("hops"), F.asc("node_id")], most).join(sizes, "start_id")
+    steps = both_ways(edges, types)
+    touched = shown.join(steps, shown.node_id == steps.from_id).select("start_id", "edge_id").distinct()
+    return shown, touched
+
+
 def upserted(nodes: DataFrame, edges: DataFrame, allowed: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """Nodes with the missing ends of edges added as bare nodes; edges of unknown types rejected by an error row."""
+    """Nodes with the missing ends of edges added as bare nodes, and the edges; those of unknown types are ``rejected``."""
     kept = edges.where(F.col("type").isin(*allowed)).dropDuplicates(["edge_id"])
     ends = kept.select(F.explode(F.array("start_id", "end_id")).alias("node_id")).distinct()
     bare = ends.join(nodes, "node_id", "left_anti").select("node_id", F.array().cast("array<string>").alias("labels"), F.lit("{}").alias("properties"))
     return nodes.unionByName(bare), kept
+
+
+def rejected(edges: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
+    """The edges that ``upserted`` leaves out, with the reason."""
+    known = F.coalesce(F.col("type").isin(*allowed), F.lit(False))
+    return edges.where(~known).withColumn("reason", F.concat(F.lit("unknown type "), F.coalesce("type", F.lit("(none)"))))

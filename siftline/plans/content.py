@@ -326,6 +326,38 @@ def graph_neighbours(spark, sf_dir):
     return graph.neighbours(starts, edges, 2)
 
 
+_REACH = f"WITH RECURSIVE {_EDGES}, reach AS (SELECT 'r' || r_regionkey AS start_id, 'r' || r_regionkey AS node_id, 0 AS hops FROM region UNION SELECT start_id, b, hops + 1 FROM reach JOIN both_ ON a = node_id WHERE hops < 2), near AS (SELECT start_id, node_id, min(hops) AS hops FROM reach GROUP BY ALL), shown AS (SELECT *, count(*) OVER (PARTITION BY start_id) > 12 AS truncated FROM near QUALIFY row_number() OVER (PARTITION BY start_id ORDER BY hops, node_id) <= 12)"
+
+
+@query(f"{_REACH} SELECT start_id, node_id, hops, truncated FROM shown")
+def graph_neighbourhood(spark, sf_dir):
+    """Two hops around every region, the twelve nearest nodes, and whether there were more."""
+    _, edges = _graph(spark, sf_dir)
+    starts = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("start_id"))
+    return graph.neighbourhood(starts, edges, 2, 12)[0]
+
+
+@query(f"{_REACH} SELECT start_id, count(DISTINCT least(a, b) || '-' || greatest(a, b)) AS edges FROM shown JOIN both_ ON a = node_id GROUP BY start_id")
+def graph_neighbourhood_edges(spark, sf_dir):
+    _, edges = _graph(spark, sf_dir)
+    starts = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("start_id"))
+    return graph.neighbourhood(starts, edges, 2, 12)[1].groupBy("start_id").agg(F.count("*").alias("edges"))
+
+
+@query("""SELECT 'nodes' AS what, count(*) AS n FROM (SELECT 'n' || n_nationkey AS x FROM nation UNION SELECT 'c' || o_custkey FROM orders UNION SELECT 'o' || o_orderkey FROM orders WHERE o_orderstatus <> 'P' UNION SELECT 'c' || c_custkey FROM customer) WHERE x NOT LIKE 'c%' OR x IN (SELECT 'c' || o_custkey FROM orders WHERE o_orderstatus <> 'P')
+UNION ALL SELECT 'edges', count(*) FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 'unknown type PENDING', count(*) FROM orders WHERE o_orderstatus = 'P'""")
+def graph_upsert(spark, sf_dir):
+    """Orders become edges to their customers, whose nodes are made where they are missing; pending ones have no known type."""
+    nodes = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node_id"), F.array(F.lit("Nation")).alias("labels"), F.lit("{}").alias("properties"))
+    orders, name = table(spark, sf_dir, "orders"), lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    kind = F.when(F.col("o_orderstatus") == "P", "PENDING").otherwise("PLACED_BY")
+    edges = orders.select(name("e", "o_orderkey").alias("edge_id"), kind.alias("type"), name("o", "o_orderkey").alias("start_id"), name("c", "o_custkey").alias("end_id"))
+    nodes, kept = graph.upserted(nodes, edges, ("PLACED_BY",))
+    count = lambda df, what: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+    left_out = graph.rejected(edges, ("PLACED_BY",)).groupBy(F.col("reason").alias("what")).agg(F.count("*").alias("n"))
+    return count(nodes, "nodes").unionByName(count(kept, "edges")).unionByName(left_out)
+
+
 @query(f"WITH RECURSIVE {_EDGES}, small AS (SELECT * FROM both_ WHERE a NOT LIKE 'c%' AND b NOT LIKE 'c%'), p AS (SELECT ['n0'] AS path UNION ALL SELECT list_append(path, b) FROM p JOIN small ON a = path[len(path)] WHERE NOT list_contains(path, b) AND path[len(path)] <> 'n5' AND len(path) <= 4) SELECT array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INT) AS hops FROM p WHERE path[len(path)] = 'n5' ORDER BY hops, path LIMIT 25")
 def graph_paths(spark, sf_dir):
     """Simple paths between two nations over regions."""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.functions import embed as E
 from siftline.functions import identifiers as I
 from siftline.functions import text as T
 from siftline.operators import ranking as R
@@ -177,6 +179,18 @@ def knn_semantic_threshold(spark, sf_dir):
     return vectors.knn(table(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir), 1000, least=0.72)
 
 
+@query()
+def dense_text_search(spark, sf_dir):
+    """The documents nearest to each benchmark question, both embedded by the deterministic embedding."""
+
+    @F.pandas_udf("array<double>")
+    def embed(texts: pd.Series) -> pd.Series:
+        return texts.map(E.embed)
+
+    vectors_of = lambda df, key, name: df.select(F.col(key).alias(name), embed("text").alias("embedding"))
+    return vectors.knn(vectors_of(_docs(spark, sf_dir), "doc_id", "vec_id"), vectors_of(table(spark, sf_dir, "benchmark"), "item_id", "query_id"), 10)
+
+
 # ---- fusion and scoring ----------------------------------------------------------------------------------------------
 
 

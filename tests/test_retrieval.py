@@ -102,3 +102,19 @@ def test_more_queries_than_a_block_holds(spark, monkeypatch):
     want = found()
     monkeypatch.setattr(vectors, "MAX_QUERIES", 5)
     assert found() == want and len(want) == 23 * 4
+
+
+def test_dense_text_search_against_brute_force(spark, sf):
+    import numpy as np
+
+    from siftline.functions import embed
+    from siftline.plans import retrieval
+
+    docs = [(r.doc_id, np.array(embed.embed(r.text))) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    asked = {r.item_id: np.array(embed.embed(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    found = {}
+    for r in retrieval.dense_text_search(spark, sf).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q, v in list(asked.items())[:10]:
+        best = sorted((-round(float(v @ d), 6), i) for i, d in docs)[:10]
+        assert [i for _, i in sorted(found[q])] == [i for _, i in best]
