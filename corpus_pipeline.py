@@ -20,7 +20,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, Jaccard similarity 0.8 or more."""
+    """One document of each group of near copies stays: five-word shingles, Jaccard similarity 0.8 or more, found by SimHash
+    links and, for similarities at which fingerprints are too far apart, by bands; verified on whole texts."""
     return near_copies.kept_rows(docs)
 
 

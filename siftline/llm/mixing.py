@@ -196,3 +196,19 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     goals = plan.targets.withColumnRenamed("source", "_source")
     out = plan.copies(rows).join(small_side(goals, goals.count()), F.col("source").eqNullSafe(F.col("_source")))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source should give: source, source_size, target."""
+    rows = sized(table(spark, sf_dir, "documents")).withColumn("bin", size_bin(F.col("size")))
+    found = targets(rows.groupBy("source", "bin").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
+    return found.select("source", "source_size", F.round("target", 3).alias("target"))
+
+
+TARGETS_ORACLE = rf"""
+WITH s AS (SELECT source, CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))) AS BIGINT) AS source_size FROM documents GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight, {CAP}.0 * source_size AS room, sum(source_size) OVER ()::DOUBLE AS total FROM s),
+l AS (SELECT *, (total - coalesce(sum(room) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level FROM w
+      WINDOW b AS (ORDER BY room / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT source, source_size, round(least(room, weight * max(level) OVER ()), 3)::DOUBLE AS target FROM l
+"""

@@ -21,6 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.op8_mixing,
         "op9_secret_scan": secret_scan.op9_secret_scan,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+        # parts of operators that SQL can express
+        "url_rules": url_filter.url_rules,
+        "shard_counts": sharding.shard_counts,
+        "mix_targets": mixing.mix_targets,
     }
 
 
@@ -28,4 +32,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_quality_rules": quality_rules.ORACLE,
         "op7_exact_dedup": exact_dedup.ORACLE,
+        "url_rules": url_filter.RULES_ORACLE,
+        "shard_counts": sharding.COUNTS_ORACLE,
+        "mix_targets": mixing.TARGETS_ORACLE,
     }

@@ -130,3 +130,15 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     placed = sharded(staged(rows, "sizes"), ["doc_id", "size", "text_crc32"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def shard_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, first and last slot of each shard."""
+    places = op4_sharding(spark, sf_dir).groupBy("shard")
+    return places.agg(F.count("*").alias("rows"), F.count_distinct("slot").alias("slots"), F.min("slot").alias("first"), F.max("slot").alias("last"))
+
+
+COUNTS_ORACLE = f"""
+SELECT CAST(s AS INT) AS shard, (n + {SHARDS} - 1 - s) // {SHARDS} AS rows, (n + {SHARDS} - 1 - s) // {SHARDS} AS slots, 0 AS first, (n + {SHARDS} - 1 - s) // {SHARDS} - 1 AS last
+FROM (SELECT count(*) AS n FROM documents), range(0, {SHARDS}) AS t(s) WHERE n > s
+"""

@@ -132,3 +132,22 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules alone say: page_id, host, path, rule, ruled."""
+    host, path = split_url(F.col("url"))
+    rows = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    rule, verdict = matching_rule(F.col("host"), F.col("path"))
+    return rows.withColumns({"rule": rule, "ruled": verdict})
+
+
+_FITS = " UNION ALL ".join(f"SELECT '{r}' AS rule, '{r.split('/', 1)[0]}' AS domain, '/{r.split('/', 1)[1]}' AS begins, '{v}' AS says" for r, v in RULES)
+RULES_ORACLE = rf"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+p AS (SELECT page_id, translate(raw, '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+r AS ({_FITS})
+SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(says, length(rule)) AS ruled
+FROM p LEFT JOIN r ON (host = domain OR ends_with(host, '.' || domain)) AND starts_with(path, begins) GROUP BY page_id, host, path
+"""
