@@ -34,13 +34,24 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[app]
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where this application stages its tables."""
+    return f"{shared_folder(spark)}/siftline-{spark.sparkContext.applicationId}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Deletes what this application staged; for when its results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it again.
 
     This cuts the lineage: what follows survives lost executors without running ``df`` again, and Spark knows
     the size of the table. Used for small tables (ids, hashes, counts), not for texts.
     """
-    path = f"{shared_folder(df.sparkSession)}/siftline-{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -47,3 +47,17 @@ def test_clean_documents_stay_and_toxic_ones_go(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     clean, toxic = ([i for i, t in labels.items() if t == v] for v in (0, 1))
     assert sum(i in kept for i in clean) > 0.99 * len(clean) and sum(i in kept for i in toxic) < 0.1 * len(toxic)
+
+
+def test_staged_tables_can_be_cleared(spark):
+    from siftline.llm import common
+
+    df = common.staged(spark.range(3), "clear-me")
+    assert df.count() == 3
+    other = spark.newSession()
+    assert common.run_folder(spark) == common.run_folder(other)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(common.run_folder(spark))
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert files.exists(path)
+    common.clear_staged(spark)
+    assert not files.exists(path)
