@@ -22,14 +22,18 @@ def bucket_of(term: Column, buckets: int) -> Column:
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str, title_col: str | None = None) -> DataFrame:
-    """(doc_id, term, tf): summed on the map side; stemming runs after stop words went, as plain columns."""
-    parts = [(text_col, BODY)] + ([(title_col, TITLE)] if title_col else [])
-    out = None
-    for column, weight in parts:
-        words = docs.select(F.col(id_col).alias("doc_id"), F.explode(T.raw_tokens(F.col(column))).alias("word"))
-        words = words.where(~T.is_stopword(F.col("word"))).select("doc_id", T.stem(F.col("word")).alias("term"), F.lit(weight).alias("weight"))
+    """(doc_id, term, tf), partitioned by document.
+
+    Texts are dealt by document once; words are then counted, stemmed (each distinct word of a document once, after stop
+    words went) and summed by term where they are, and so are the lengths of documents.
+    """
+    columns = [F.col(id_col).alias("doc_id"), F.col(text_col).alias("body"), *([F.col(title_col).alias("title")] if title_col else [])]
+    dealt, out = docs.select(*columns).repartition("doc_id"), None
+    for column, weight in [("body", BODY)] + ([("title", TITLE)] if title_col else []):
+        words = dealt.select("doc_id", F.explode(T.raw_tokens(F.col(column))).alias("word")).where(~T.is_stopword(F.col("word")))
+        words = words.groupBy("doc_id", "word").agg((F.count("*") * weight).alias("n"))
         out = words if out is None else out.unionByName(words)
-    return out.groupBy("doc_id", "term").agg(F.sum("weight").alias("tf"))
+    return out.select("doc_id", T.stem(F.col("word")).alias("term"), "n").groupBy("doc_id", "term").agg(F.sum("n").alias("tf"))
 
 
 @dataclass(frozen=True)
