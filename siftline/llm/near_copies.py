@@ -9,14 +9,15 @@ of 0.8 fingerprints of 64 bits differ in some ten bits, beyond what a pigeonhole
 minima each, as many that a pair of similarity SIMILAR shares none with a chance under MISS. Long passages or lines in
 common don't bring unlike texts together: a band needs ROWS shingles to be shared at once.
 
-Verification. A pair goes if its sizes or its sketches rule the similarity out (a sketch errs with a chance under 1e-10);
+Verification. A pair goes if its sizes or its sketches rule the similarity out (which errs with a chance under MISS);
 sets that fit in their sketches are compared there, others are made again from the texts. Texts move only for that: a
 bitmap of their hashes, bounded and broadcast, lets all other rows stay where they were read.
 
-Links. Keys are worked through in rounds: each key pairs one hub with its other nodes, first the least node of the key,
-then one picked by hash for each key; most of a large group of copies is then one component. Last, for keys whose nodes still are in several
-components, all pairs across components follow, dealt in blocks of BLOCK nodes. Components come from
-``simhash.labelled``. What remains quadratic is a family of texts that share bands and yet are not similar.
+Links. Keys are worked through in rounds: each key pairs one hub with its other nodes, first its centre (the node that
+shares most keys with most others: the text that a large group was copied from), then one picked by hash for each key;
+most of a large group of copies is then one component. Last, for keys whose nodes still are in several components, the
+nodes outside the key's largest meet all of it in blocks of BLOCK by BLOCK, where whole sets are compared and a node
+hands on one link to each component it is similar to. Components come from ``simhash.labelled``. What remains quadratic is a family of texts that share bands and yet are not similar.
 
 Defined cases. A null text counts as empty; texts without words are near copies of each other and of nothing else.
 Texts of fewer than SHINGLE words hash their whole sequence. A row without an id is smaller than any other. Rows that
@@ -39,10 +40,8 @@ from siftline.llm.common import arrow_batches, in_row, lower_bytes, lowest_hashe
 from siftline.llm.exact_dedup import bitmaps_of, filter_blocks, mark_possible
 from siftline.llm.memory import give_back
 
-SHINGLE, SKETCH, ROWS, MISS, BLOCK, PART, BATCH = 5, 64, 4, 1e-9, 1_024, 4_096, 512
+SHINGLE, SKETCH, ROWS, MISS, BLOCK, PART, BATCH = 5, 64, 5, 1e-9, 1_024, 4_096, 512
 SIMILAR = (4, 5)  # as a fraction, so that comparisons are exact
-#: Of SKETCH least hashes of a union, two sets of similarity 0.8 share fewer than these with a chance under 1e-10.
-SHARED = 28
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,6 +65,14 @@ def band_count(similar: tuple[int, int] = SIMILAR) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - (similar[0] / similar[1]) ** ROWS))
 
 
+def least_common(n: int, chance: float) -> int:
+    """The most that of ``n`` trials of this chance succeed but for a chance under MISS."""
+    below, c = 0.0, 0
+    while below + (one := math.comb(n, c) * chance**c * (1 - chance) ** (n - c)) <= MISS:
+        below, c = below + one, c + 1
+    return c
+
+
 def band_keys(s: np.ndarray, bands: int) -> np.ndarray:
     """A key for each band: its number and ROWS minima of the shingles under as many hash functions."""
     if not len(s):
@@ -113,6 +120,40 @@ def _pairs(a: Column, b: Column) -> tuple[Column, Column]:
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
+def block_links(block: pd.DataFrame, similar: tuple[int, int]) -> pd.DataFrame:
+    """Links of the few nodes of a block to its others, one to each component. Only hashes that both sides have are counted."""
+    few, rest = block[block.few], block[~block.few]
+    if not len(few) or not len(rest):
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    sizes, flat, row = [], [], []
+    for side in (few, rest):
+        n = np.array([len(x) for x in side["set"]])
+        sizes.append(n)
+        flat.append(np.concatenate([*side["set"], np.zeros(0, np.int64)]).astype(np.int64))
+        row.append(np.repeat(np.arange(len(side)), n))
+    shared = np.intersect1d(flat[0], flat[1])
+    both = np.zeros((len(few), len(rest)), np.float32)
+    for at in range(0, len(shared), PART // 4):
+        part, dense = shared[at : at + PART // 4], []
+        for x, r, n in zip(flat, row, map(len, sizes)):
+            code = np.minimum(np.searchsorted(part, x), len(part) - 1)
+            hit = part[code] == x
+            m = np.zeros((n, len(part)), np.float32)
+            m[r[hit], code[hit]] = 1
+            dense.append(m)
+        both += dense[0] @ dense[1].T
+    p, q = similar
+    label, other = few.label.to_numpy(np.int64), rest.label.to_numpy(np.int64)
+    close = (both * (p + q) >= (sizes[0][:, None] + sizes[1][None, :]) * p) & (label[:, None] != other[None, :]) & (sizes[0][:, None] > 0)
+    a, b = few.node.to_numpy(np.int64), rest.node.to_numpy(np.int64)
+    out = []
+    for i in np.flatnonzero(close.any(1)):
+        js = np.flatnonzero(close[i])
+        out += [(a[i], b[js[k]]) for k in np.unique(other[js], return_index=True)[1]]
+    found = np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1)
+    return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+
 class _Join:
     """One run over (id, hash, text): nodes, their sketches, and verified links."""
 
@@ -135,10 +176,17 @@ class _Join:
         return equal.unionByName(links.join(names, "a").join(others, "b").select(*_pairs(F.col("x"), F.col("y"))))
 
     def posts(self) -> DataFrame:
-        """(key, node) of the bands that several nodes have."""
+        """(key, node, k) of the bands that several nodes have, with their number."""
         posts = self.nodes.select("node", F.explode("bands").alias("key"))
-        shared = posts.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-        return staged(posts.join(shared.select("key"), "key"), "posts")
+        shared = posts.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+        return staged(posts.join(shared, "key"), "posts")
+
+    def centre_pairs(self, posts: DataFrame) -> DataFrame:
+        """Each node with the centre of each of its keys: the node that shares most keys with most others. Copies of one
+        text are alike through it, though two of them may be too far apart."""
+        weight = posts.groupBy("node").agg(F.sum("k").alias("weight"))
+        centres = posts.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("hub"))
+        return posts.join(staged(centres, "centres"), "key").where("node <> hub").select(*_pairs(F.col("hub"), F.col("node")))
 
     def open_posts(self, posts: DataFrame) -> DataFrame:
         """(key, node, label, largest) of keys whose nodes are in several components, with the largest component."""
@@ -153,14 +201,23 @@ class _Join:
         hubs = posts.groupBy("key").agg(F.min_by(F.struct("node", "label"), by).alias("hub"))
         return posts.join(hubs, "key").where(F.col("label") != F.col("hub.label")).select(*_pairs(F.col("hub.node"), F.col("node")))
 
-    def across_pairs(self, posts: DataFrame) -> DataFrame:
-        """All pairs of a key across components, but for those inside its largest, in blocks."""
-        posts = posts.withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int"))
-        block, all_blocks = F.pmod(F.xxhash64("node"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        left = posts.where("label <> largest").select("key", F.col("node").alias("x"), "label", "largest", block.alias("i"), all_blocks.alias("j"))
-        right = posts.select("key", F.col("node").alias("y"), F.col("label").alias("other"), block.alias("j"), all_blocks.alias("i"))
-        met = left.join(right, ["key", "i", "j"]).where((F.col("label") != F.col("other")) & ((F.col("other") == F.col("largest")) | (F.col("x") < F.col("y"))))
-        return met.select(*_pairs(F.col("x"), F.col("y")))
+    def across_links(self, posts: DataFrame) -> DataFrame:
+        """Links between the components of a key, but for those inside its largest. Keys of one largest component are one
+        group; its other nodes meet all of it in blocks of BLOCK by BLOCK, compared there on whole sets."""
+        rows = staged(posts.select(F.col("largest").alias("g"), "node", "label", (F.col("label") != F.col("largest")).alias("few")).distinct(), "across")
+        blocks = rows.groupBy("g").agg(F.ceil(F.count_if("few") / BLOCK).cast("int").alias("m"), F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+        rows = rows.join(blocks, "g")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+        left = rows.where("few").select("g", "node", "label", F.lit(True).alias("few"), own(F.col("m")).alias("i"), each("k").alias("j"))
+        right = rows.select("g", "node", "label", F.lit(False).alias("few"), each("m").alias("i"), own(F.col("k")).alias("j"))
+        dealt = left.unionByName(right).join(self.sets_of(rows.select("node").distinct()), "node")
+        similar = self.similar
+
+        def compare(block: pd.DataFrame) -> pd.DataFrame:
+            return block_links(block, similar)
+
+        return dealt.groupBy("g", "i", "j").applyInPandas(compare, "a long, b long")
 
     def add(self, pairs: DataFrame) -> None:
         """Verifies candidates, keeps the links, and names the components anew."""
@@ -174,39 +231,44 @@ class _Join:
         least = F.slice(F.array_sort(F.transform(F.array_union("s", "t"), lambda h: h.bitwiseXOR(F.lit(simhash.NO_ID).cast("long")))), 1, SKETCH)
         common = F.size(F.array_intersect(least, F.transform(both, lambda h: h.bitwiseXOR(F.lit(simhash.NO_ID).cast("long")))))
         similar = F.size(both) * (p + q) >= (F.col("n") + F.col("m")) * p
-        met = met.select("a", "b", exact.alias("exact"), F.when(exact, similar).otherwise(common >= SHARED).alias("close")).where("close")
+        met = met.select("a", "b", exact.alias("exact"), F.when(exact, similar).otherwise(common >= least_common(SKETCH, p / q)).alias("close")).where("close")
         met = staged(met.select("a", "b", "exact"), "close")
-        links = met.where("exact").select("a", "b").unionByName(self.compared(met.where("not exact").select("a", "b")))
+        self.link(met.where("exact").select("a", "b").unionByName(self.compared(met.where("not exact").select("a", "b"))))
+
+    def link(self, links: DataFrame) -> None:
+        """Keeps links and names the components anew."""
         self.found = staged(links if self.found is None else links.unionByName(self.found), "links")
         self.labels = simhash.labelled(simhash.ends(self.found), self.found).select(F.col("fp").alias("node"), "label")
 
-    def compared(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs`` that are similar, compared on whole sets."""
-        size, (p, q) = self.size, self.similar
+    def sets_of(self, nodes: DataFrame) -> DataFrame:
+        """(node, set): whole sets, made again from the texts."""
+        size = self.size
 
         @F.pandas_udf("array<long>")
         def whole(texts: pd.Series) -> pd.Series:
             give_back()
             return pd.Series([shingles(t, size).view(np.int64) for t in texts])
 
-        nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         first = staged(self.nodes.join(nodes, "node", "left_semi").select("node", "id", "hash"), "first")
         texts = only(self.rows, F.col("hash"), first).join(first, ["id", "hash"]).dropDuplicates(["node"])
-        with arrow_batches(pairs.sparkSession, BATCH):
-            sets = staged(texts.select("node", whole("text").alias("set")), "sets")
+        with arrow_batches(nodes.sparkSession, BATCH):
+            return staged(texts.select("node", whole("text").alias("set")), "sets")
+
+    def compared(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` that are similar, compared on whole sets."""
+        p, q = self.similar
+        sets = self.sets_of(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
         met = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("t")), "b")
         return met.where(F.size(F.array_intersect("s", "t")) * (p + q) >= (F.size("s") + F.size("t")) * p).select("a", "b")
 
     def run(self) -> DataFrame:
         """(id, hash, label) of each row."""
         posts = self.posts()
-        hubs = posts.groupBy("key").agg(F.min("node").alias("hub"))
-        first = posts.join(hubs, "key").where("node <> hub").select(*_pairs(F.col("hub"), F.col("node")))
-        self.add(self.fingerprint_pairs().unionByName(first))
-        posts = self.open_posts(posts)
+        self.add(self.fingerprint_pairs().unionByName(self.centre_pairs(posts)))
+        posts = self.open_posts(posts.select("key", "node"))
         self.add(self.hub_pairs(posts, F.xxhash64("node", "key")))
         posts = self.open_posts(posts.select("key", "node"))
-        self.add(self.across_pairs(posts))
+        self.link(self.across_links(posts))
         return self.prints.select("id", "hash", "node").join(self.labels, "node", "left").select("id", "hash", F.coalesce("label", "node").alias("label"))
 
 

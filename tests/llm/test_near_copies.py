@@ -82,4 +82,4 @@ def test_bands_and_sketches_miss_nothing_at_the_bound():
         assert len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist())) >= 0.8
         assert (N.band_keys(a, bands) == N.band_keys(b, bands)).any()
         least = sorted(set(a[: N.SKETCH].tolist()) | set(b[: N.SKETCH].tolist()))[: N.SKETCH]
-        assert len(set(least) & set(a.tolist()) & set(b.tolist())) >= N.SHARED
+        assert len(set(least) & set(a.tolist()) & set(b.tolist())) >= N.least_common(N.SKETCH, 0.8)
