@@ -40,7 +40,7 @@ from siftline.llm.common import arrow_batches, in_row, lower_bytes, lowest_hashe
 from siftline.llm.exact_dedup import bitmaps_of, filter_blocks, mark_possible
 from siftline.llm.memory import give_back
 
-SHINGLE, SKETCH, ROWS, MISS, BLOCK, PART, BATCH = 5, 64, 5, 1e-9, 1_024, 4_096, 512
+SHINGLE, SKETCH, ROWS, MISS, BLOCK, SMALL, PART, BATCH = 5, 64, 5, 1e-9, 1_024, 4_096, 4_096, 512
 SIMILAR = (4, 5)  # as a fraction, so that comparisons are exact
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -193,7 +193,7 @@ class _Join:
         posts = posts.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         posts = staged(posts, "posts")
         by = posts.groupBy("key", "label").agg(F.count("*").alias("k")).groupBy("key")
-        by = by.agg(F.max(F.struct("k", "label"))["label"].alias("largest"), F.count("*").alias("labels"), F.sum("k").alias("k"))
+        by = by.agg(F.max(F.struct("k", "label"))["label"].alias("largest"), F.count("*").alias("labels"))
         return staged(posts.join(by.where("labels > 1").drop("labels"), "key"), "open")
 
     def hub_pairs(self, posts: DataFrame, by: Column) -> DataFrame:
@@ -203,10 +203,19 @@ class _Join:
 
     def across_links(self, posts: DataFrame) -> DataFrame:
         """Links between the components of a key, but for those inside its largest. Keys of one largest component are one
-        group; its other nodes meet all of it in blocks of BLOCK by BLOCK, compared there on whole sets."""
-        rows = staged(posts.select(F.col("largest").alias("g"), "node", "label", (F.col("label") != F.col("largest")).alias("few")).distinct(), "across")
-        blocks = rows.groupBy("g").agg(F.ceil(F.count_if("few") / BLOCK).cast("int").alias("m"), F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
-        rows = rows.join(blocks, "g")
+        group, whose other nodes meet all of it: in a group of at most SMALL meetings as pairs, which sketches thin out, in
+        a larger one in blocks of BLOCK by BLOCK, compared there on whole sets."""
+        rows = posts.select(F.col("largest").alias("g"), "node", "label", (F.col("label") != F.col("largest")).alias("few")).distinct()
+        rows = staged(rows, "across")
+        groups = staged(rows.groupBy("g").agg(F.count_if("few").alias("m"), F.count("*").alias("k")), "groups")
+        rows = rows.join(groups, "g")
+        small = rows.where(F.col("m") * F.col("k") <= SMALL)
+        others = small.select("g", F.col("node").alias("y"), F.col("label").alias("other"), F.col("few").alias("few2"))
+        met = small.where("few").join(others, "g").where((F.col("label") != F.col("other")) & (~F.col("few2") | (F.col("node") < F.col("y"))))
+        return self.verified(met.select(*_pairs(F.col("node"), F.col("y")))).unionByName(self.block_links(rows.where(F.col("m") * F.col("k") > SMALL)))
+
+    def block_links(self, rows: DataFrame) -> DataFrame:
+        rows = rows.withColumns({"m": F.ceil(F.col("m") / BLOCK).cast("int"), "k": F.ceil(F.col("k") / BLOCK).cast("int")})
         each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
         left = rows.where("few").select("g", "node", "label", F.lit(True).alias("few"), own(F.col("m")).alias("i"), each("k").alias("j"))
@@ -221,6 +230,10 @@ class _Join:
 
     def add(self, pairs: DataFrame) -> None:
         """Verifies candidates, keeps the links, and names the components anew."""
+        self.link(self.verified(pairs))
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` that are similar, by sizes, sketches and whole sets."""
         pairs, (p, q) = pairs.distinct(), self.similar
         side = lambda c, m, s: self.nodes.select(F.col("node").alias(c), F.col("n").alias(m), F.col("sketch").alias(s))
         met = pairs.join(side("a", "m", "s"), "a").where("m > 0").join(side("b", "n", "t"), "b")
@@ -233,7 +246,7 @@ class _Join:
         similar = F.size(both) * (p + q) >= (F.col("n") + F.col("m")) * p
         met = met.select("a", "b", exact.alias("exact"), F.when(exact, similar).otherwise(common >= least_common(SKETCH, p / q)).alias("close")).where("close")
         met = staged(met.select("a", "b", "exact"), "close")
-        self.link(met.where("exact").select("a", "b").unionByName(self.compared(met.where("not exact").select("a", "b"))))
+        return met.where("exact").select("a", "b").unionByName(self.compared(met.where("not exact").select("a", "b")))
 
     def link(self, links: DataFrame) -> None:
         """Keeps links and names the components anew."""

@@ -47,6 +47,7 @@ def test_every_near_copy_is_found_and_nothing_else(spark, sf, monkeypatch):
     assert len(want) < len(rows) - 50
     assert sorted(r.doc_id for r in C.near(spark, docs, sf).collect()) == want
     monkeypatch.setattr(N, "BLOCK", 3)
+    monkeypatch.setattr(N, "SMALL", 4)
     assert sorted(r.doc_id for r in N.kept_rows(docs).collect()) == want
 
 
