@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import byte_bpe, exact_dedup, fill_middle, mixing, pu_quality, quality_rules, secret_scan, sharding, simhash, toxicity, url_filter
+from siftline.llm import byte_bpe, exact_dedup, fill_middle, mixing, packing, pu_quality, quality_rules, secret_scan, sharding, simhash, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.op8_mixing,
         "op9_secret_scan": secret_scan.op9_secret_scan,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+        "op11_packing": packing.op11_packing,
         "op12_fill_middle": fill_middle.op12_fill_middle,
         # parts of operators that SQL can express
         "url_rules": url_filter.url_rules,
