@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import byte_bpe, exact_dedup, fill_middle, mixing, packing, pu_quality, quality_rules, secret_scan, sharding, simhash, toxicity, url_filter
+from siftline.llm import byte_bpe, exact_dedup, fill_middle, hard_negatives, mixing, packing, pu_quality, quality_rules, secret_scan, sharding, simhash, toxicity, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
         "op11_packing": packing.op11_packing,
         "op12_fill_middle": fill_middle.op12_fill_middle,
+        "op13_hard_negatives": hard_negatives.op13_hard_negatives,
         # parts of operators that SQL can express
         "url_rules": url_filter.url_rules,
         "shard_counts": sharding.shard_counts,
@@ -34,6 +35,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_quality_rules": quality_rules.ORACLE,
         "op7_exact_dedup": exact_dedup.ORACLE,
+        "op13_hard_negatives": hard_negatives.ORACLE,
         "url_rules": url_filter.RULES_ORACLE,
         "shard_counts": sharding.COUNTS_ORACLE,
         "mix_targets": mixing.TARGETS_ORACLE,
