@@ -14,7 +14,8 @@ voters still have in common once the hidden label is known (a word and its own b
 correlation; the inverse of that matrix gives each voter's say, so that two that repeat each other count as one. The
 posterior of the hidden label is the training label.
 
-Classifier. A logistic regression over up to TERMS signs is fitted to the posteriors. Rows weigh as many labelled ids
+Classifier. A logistic regression over up to TERMS signs is fitted to the posteriors. Signs that chance may explain, given how
+many were tried, count only together or where they are dense: a stray one by itself does not reach the threshold. Rows weigh as many labelled ids
 as they stand for, in the label model and the regression alike, so the share of toxic texts is the true one however many
 rows of each label the sample took. Scoring is one Arrow pass over whole texts with the model (TERMS numbers) in the
 closure; nothing shuffles.
@@ -33,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm.common import arrow_batches, packed, staged, table
@@ -48,6 +49,9 @@ BEGINNINGS = (3, 4, 5, 6, 7)
 #: Level 1: once; level 2: twice; above: twice and at least this share of the text's words.
 LEVELS = (1 / 250, 1 / 120, 1 / 60)
 TOP = 2 + len(LEVELS)
+#: Of the signs that are called sure, this share may be chance. Where others are not dense they weigh at most this part of
+#: what it takes from the bias to THRESHOLD, so that no single one of them carries a text over it.
+FALSE, WEAK = 0.05, 0.9
 #: Added to the diagonal of the correlations, which keeps small samples from giving voters a say by chance.
 RIDGE = 0.2
 #: Chances that the given label says toxic, and says clean, on a clean and on a toxic text.
@@ -177,14 +181,39 @@ def fit_linear(rows: list[np.ndarray], target: np.ndarray, weight: np.ndarray, w
     return w[:-1], float(w[-1])
 
 
+def surprise(toxic: Column, clean: Column, share: float) -> Column:
+    """-log of a bound (Chernoff's) on the chance that so many of a sign's texts are toxic if it has nothing to do with that."""
+    n, many = toxic + clean, toxic / (toxic + clean)
+    part = lambda k, rate: F.when(k > 0, k * F.log(k / (n * rate))).otherwise(0.0)
+    return F.when(many > share, part(toxic, share) + part(clean, 1 - share)).otherwise(0.0)
+
+
+def discoveries(signs: DataFrame) -> float:
+    """The least surprise at which at most FALSE of the signs found are expected to be chance, among all signs tested.
+
+    Benjamini and Hochberg's rule on a histogram of surprises, so only its bars reach the driver.
+    """
+    bars = signs.groupBy(F.floor(F.col("surprise") * 10).alias("bar")).agg(F.count("*").alias("n")).orderBy(F.desc("bar")).collect()
+    tested, found, least = sum(b.n for b in bars), 0, float("inf")
+    for b in bars:
+        found += b.n
+        if tested * np.exp(-b.bar / 10) <= FALSE * found:
+            least = b.bar / 10
+    return least
+
+
 def best_signs(rows: DataFrame, n1: int, n0: int) -> pd.DataFrame:
-    """(term, level, lift, gain, toxic, clean) of up to TERMS signs, those first that toxic texts show far more often and often.
+    """(term, level, lift, gain, toxic, clean, sure) of up to TERMS signs, those first that toxic texts show far more often and often.
 
-    Of a word and its beginnings that stand in as many texts of either kind, the longest speaks for all.
+    Thousands of terms are tried; a sign is sure if it stands out from what chance gives among so many. Of a word and its
+    beginnings that stand in as many texts of either kind, the longest speaks for all.
     """
     lift = F.log((F.col("toxic") + 0.5) / (n1 + 1) / ((F.col("clean") + 0.5) / (n0 + 1)))
     lift = lift - 1.64 * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    best = sign_counts(rows).where(F.col("toxic") >= MIN_TEXTS).withColumn("lift", lift).where(F.col("lift") >= float(np.log(COUNTS)))
+    share = n1 / (n1 + n0)
+    signs = sign_counts(rows).where(F.col("toxic") >= MIN_TEXTS)
+    signs = staged(signs.withColumn("surprise", surprise(F.col("toxic"), F.col("clean"), share)), "toxic-signs")
+    best = signs.withColumn("sure", F.col("surprise") >= discoveries(signs)).withColumn("lift", lift).where(F.col("lift") >= float(np.log(COUNTS)))
     best = best.withColumn("gain", F.col("toxic") * F.col("lift")).orderBy(F.desc("gain"), "term", "level").limit(4 * TERMS).toPandas()
     alike, repeats = best.assign(plain=best.term.str.rstrip("-")).sort_values(["level", "toxic", "clean", "plain"]), []
     for (i, a), (_, b) in zip(alike.iterrows(), alike.iloc[1:].iterrows()):
@@ -230,9 +259,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     anchors = np.hstack([anchors, [[0.99], [0.05]], np.transpose(LABELS)])
     posterior, _ = label_model(votes, anchors, share, weight, fixed=len(LABELS))
     weights, bias = fit_linear(held, posterior, weight, len(best))
-    reached = np.zeros((len(terms), TOP + 1))
+    reached, sure = np.zeros((len(terms), TOP + 1)), np.zeros((len(terms), TOP + 1), bool)
     for (t, k), i in sign.items():
         reached[t, k:] += weights[i]
+        sure[t, k:] |= bool(best.sure[i])
+    most = max(0.0, WEAK * (np.log(THRESHOLD / (1 - THRESHOLD)) - bias))
+    sparse = np.arange(TOP + 1) <= 2
+    reached = np.where(sure | ~sparse, reached, np.minimum(reached, most))
     return Model(terms, reached, bias)
 
 
