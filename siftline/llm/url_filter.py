@@ -12,8 +12,9 @@ a node of fewer than SUPPORT urls nothing can stay itself, so the rest of such p
 
 Merging. The labelled templates under one parent are pooled by tenths of their share of blocked urls; one that the
 test can't tell from the others of its pool is merged with them. Templates without labels stay alone and part nobody.
-Each template is judged by its purity, the share of blocked urls among its labelled ones, smoothed towards the purity of
-its host (and that towards the purity of all urls) by PSEUDO urls: at REJECT or more it is rejected and its urls blocked.
+Each template is judged by its purity, the share of blocked urls among its labelled ones, smoothed by PSEUDO urls towards the
+purity of its host, and that by as many towards "allow": at REJECT or more it is rejected and its urls blocked. So labels of one
+host say nothing about another, and a host without labelled urls is allowed.
 
 Scale. Each level is one aggregation by (host, template, segment) with partial sums, and two joins with the surviving
 literals and the nodes that go on; those are staged, so Spark broadcasts or splits the joins by their real size. A level
@@ -110,9 +111,7 @@ def tree(rows: DataFrame) -> DataFrame:
     merged = staged(pooled.select("host", "template", merged.alias("merged"), "labelled", "blocked"), "merged")
     by = merged.groupBy("host", "merged").agg(F.sum("labelled").alias("m_labelled"), F.sum("blocked").alias("m_blocked"))
     hosts = merged.groupBy("host").agg(F.sum("labelled").alias("h_labelled"), F.sum("blocked").alias("h_blocked"))
-    total = merged.agg(F.sum("labelled"), F.sum("blocked")).first()
-    overall = ((total[1] or 0) + 1) / ((total[0] or 0) + 2)
-    of_host = (F.col("h_blocked") + PSEUDO * overall) / (F.col("h_labelled") + PSEUDO)
+    of_host = F.col("h_blocked") / (F.col("h_labelled") + PSEUDO)
     purity = (F.col("m_blocked") + PSEUDO * of_host) / (F.col("m_labelled") + PSEUDO)
     by = by.join(hosts, "host").select("host", "merged", purity.alias("purity"))
     return merged.join(by, ["host", "merged"]).withColumn("rejected", F.col("purity") >= REJECT)

@@ -61,3 +61,13 @@ def test_odd_urls(spark):
     twice = rows.unionByName(rows)
     assert U.judged(twice).count() == 2 * len(odd)
     assert U.judged(rows.where("false")).collect() == []
+
+
+def test_labels_of_a_host_say_nothing_about_others(spark):
+    rows = [(i, f"https://shop.com/de/page-{i}") for i in range(10)] + [(20, "https://news.net/story/1"), (21, None), (22, "no scheme"), (None, "https://shop.com/de/x")]
+    found = {r.page_id: r for r in U.judged(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert all(found[i].verdict == "allow" and found[i].purity == 0 for i in (20, 21, 22))
+    assert all(found[i].verdict == "block" and found[i].rule == "com/de/" for i in (*range(10), None))
+    many = spark.createDataFrame([(i, f"https://shop.com/de/page-{i}") for i in range(40)] + [(100, "https://shop.com/about")], "page_id long, url string")
+    assert U.judged(many.unionByName(many)).groupBy("page_id").count().where("count <> 2").count() == 0  # repeated rows are judged each
+    assert U.judged(many.where("false")).collect() == []
