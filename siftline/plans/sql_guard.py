@@ -59,6 +59,9 @@ class Guard:
             raise Rejected(f"not an allowed table function: {sorted(found.generators)[0]}")
         allowed = {t.lower() for t in self.tables}
         shadowing = {a for a in found.aliases - allowed if self.spark.catalog.tableExists(a)}  # a CTE must not hide a closed table
+        strange = sorted(k for k in found.kinds if k not in PLANS) + sorted(found.strange)
+        if strange:
+            raise Rejected(f"not an allowed part of a statement: {', '.join(strange)}")
         bad = sorted((found.relations - found.aliases - allowed) | shadowing)
         if bad:
             raise Rejected(f"not an allowed table: {', '.join(bad)}")
@@ -66,6 +69,26 @@ class Guard:
         if unknown:
             raise Rejected(f"not an allowed function: {', '.join(unknown)}")
 
+    def check_read(self, df: DataFrame) -> None:
+        """Raises Rejected unless all that the analysed statement reads is an allowed table, a value or a range of numbers."""
+        allowed = {t.lower() for t in self.tables}
+        names = _Names(self.spark)
+        todo = [df._jdf.queryExecution().analyzed()]
+        while todo:
+            node = todo.pop()
+            kind = node.getClass().getSimpleName()
+            if kind == "View":
+                if (name := node.desc().identifier().table().lower()) not in allowed:
+                    raise Rejected(f"not an allowed table: {name}")
+                continue
+            if kind == "LogicalRelation" and node.catalogTable().isDefined() and node.catalogTable().get().identifier().table().lower() in allowed:
+                continue
+            under = names.all(node.children()) + names.plans_in(node)
+            under += names.all(node.innerChildren()) if kind == "WithCTE" else []
+            if not under and kind not in VALUES:
+                raise Rejected(f"reads something other than an allowed table: {kind}")
+            todo += under
+
     def query(self, sql: str, args: dict[str, Any] | list[Any] | None = None, role: str = "analyst", user: str = "", limit: int | None = None) -> Result:
         """Rows of an allowed statement, at most the cap, and whether there were more; run once, within the deadline."""
         entry = {"sql": sql, "params": str(args or {}), "user_id": user, "ok": False, "error": None, "created_at": time.time()}
@@ -75,7 +98,9 @@ class Guard:
                 raise Rejected(f"role {role} may not run SQL")
             self.check(sql)
             cap = min(self.row_cap, limit) if limit is not None else self.row_cap
-            found = coerced((self.spark.sql(sql, args=args) if args else self.spark.sql(sql)).limit(cap + 1))
+            found = self.spark.sql(sql, args=args) if args else self.spark.sql(sql)
+            self.check_read(found)
+            found = coerced(found.limit(cap + 1))
             rows = self.with_deadline(self.timeout_s, found.collect)  # the cap and one more
             entry["ok"] = True
             return Result(self.spark.createDataFrame(rows[:cap], found.schema), len(rows) > cap, cap)
@@ -116,6 +141,19 @@ class Guard:
 
 
 COMMANDS = re.compile(r"Command|Create|Drop|Insert|Delete|Update|Merge|Alter|Truncate|Catalog|Describe|Show|Explain|Cache|AddJar|Analyze|SetVariable|Execute|Call|Overwrite|AppendData|Script")
+#: Nodes of a parsed statement that only read, join, filter, group, order and cut; whatever else comes is rejected.
+PLANS = frozenset(
+    "Project Filter Aggregate UnresolvedHaving Join LateralJoin Sort GlobalLimit LocalLimit Offset Distinct Union Intersect Except SubqueryAlias "
+    "UnresolvedRelation UnresolvedWith UnresolvedSubqueryColumnAliases UnresolvedInlineTable LocalRelation OneRowRelation WithWindowDefinition Window Generate Pivot Unpivot "
+    "UnresolvedTVFAliases UnresolvedTableValuedFunction".split()
+)
+#: Expressions that are open until the statement is analysed, and may be: columns, functions, parameters in the place of a value.
+OPEN = frozenset(
+    "UnresolvedAttribute UnresolvedFunction UnresolvedStar UnresolvedStarExceptOrReplace UnresolvedAlias UnresolvedExtractValue UnresolvedNamedLambdaVariable UnresolvedWindowExpression "
+    "UnresolvedGenerator UnresolvedOrdinal UnresolvedRegex UnresolvedInlineTable NamedParameter PosParameter".split()
+)
+#: Leaves of an analysed statement that read nothing.
+VALUES = frozenset("OneRowRelation LocalRelation Range CTERelationRef ResolvedInlineTable".split())
 #: Groups of Spark's own functions that only compute. What calls into the JVM or tells about the session is in none of them.
 FUNCTION_GROUPS = frozenset(
     f"{g}_funcs" for g in ("agg", "array", "bitwise", "collection", "conditional", "conversion", "csv", "date", "datetime", "generator", "hash", "json", "lambda", "map", "math", "predicate", "string", "struct", "url", "variant", "window")
@@ -133,15 +171,25 @@ class _Names:
     """What a parsed statement names: relations, common table expressions, functions, table functions, kinds of nodes."""
 
     def __init__(self, spark: SparkSession):
-        self.relations, self.aliases, self.functions, self.generators, self.kinds = set(), set(), set(), set(), set()
+        self.relations, self.aliases, self.functions, self.generators, self.kinds, self.strange = set(), set(), set(), set(), set(), set()
         load = spark.sparkContext._jvm.java.lang.Class.forName
         self.plans = load("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan")
         self.holders = load("org.apache.spark.sql.catalyst.expressions.PlanExpression")
 
     @staticmethod
-    def _all(seq) -> list:
+    def all(seq) -> list:
         return [seq.apply(i) for i in range(seq.size())]
 
+    def plans_in(self, node) -> list:
+        """Subqueries in a node's expressions."""
+        found, todo = [], self.all(node.expressions())
+        while todo:
+            e = todo.pop()
+            if self.holders.isInstance(e):
+                found.append(e.plan())
+            todo += self.all(e.children())
+        return found
+
     def walk(self, root) -> None:
         todo = [root]
         while todo:
@@ -149,20 +197,24 @@ class _Names:
             kind = node.getClass().getSimpleName()
             if self.plans.isInstance(node):
                 self.kinds.add(kind)
-                todo += self._all(node.expressions())
+                todo += self.all(node.expressions())
+            elif re.search("Unresolved|Parameter|Identifier", kind) and kind not in OPEN:
+                self.strange.add(kind)
             if kind == "UnresolvedRelation":
-                self.relations.add(".".join(self._all(node.multipartIdentifier())).lower())
+                self.relations.add(".".join(self.all(node.multipartIdentifier())).lower())
             elif kind == "UnresolvedWith":
-                for pair in self._all(node.cteRelations()):
+                for pair in self.all(node.cteRelations()):
                     self.aliases.add(pair._1().lower())
                     todo.append(pair._2())
             elif kind == "UnresolvedFunction":
-                self.functions.add(".".join(self._all(node.nameParts())).lower())
+                self.functions.add(".".join(self.all(node.nameParts())).lower())
+            elif kind == "UnresolvedGenerator":
+                self.functions.add(node.name().unquotedString().lower())
             elif "TableValuedFunction" in kind or kind == "UnresolvedTVFAliases":
                 self.generators.add(kind)
             if self.holders.isInstance(node):
                 todo.append(node.plan())
-            todo += self._all(node.children())
+            todo += self.all(node.children())
 
 
 def coerced(df: DataFrame) -> DataFrame:

@@ -152,6 +152,28 @@ def test_sql_guard_reads_the_tree_and_not_its_text(spark, tmp_path):
     assert spark.read.parquet(f"file://{tmp_path}/audit").count() == 13 and guard.trail == []
 
 
+def test_sql_guard_lets_no_name_be_computed(spark, tmp_path):
+    spark.range(3).createOrReplaceTempView("open_table")
+    spark.range(3).createOrReplaceTempView("secret")
+    spark.range(3).write.parquet(f"file://{tmp_path}/file")
+    spark.sql("CREATE OR REPLACE TEMP VIEW looks_open AS SELECT * FROM secret")
+    guard = Guard(spark, ("open_table",))
+    for bad in ("SELECT * FROM IDENTIFIER('secret')", f"SELECT * FROM IDENTIFIER('parquet.`{tmp_path}/file`')", "SELECT IDENTIFIER('java_method')('java.lang.System','getProperty','user.home')",
+                "SELECT IDENTIFIER('id') FROM open_table", "SELECT * FROM open_table WHERE id IN (SELECT id FROM IDENTIFIER('se' || 'cret'))", "WITH x AS (SELECT * FROM IDENTIFIER('secret')) SELECT * FROM x",
+                "SELECT * FROM open_table TABLESAMPLE (10 PERCENT)", "TABLE secret", "FROM secret SELECT *", "SELECT TRANSFORM(id) USING 'cat' FROM open_table", "FROM open_table |> SELECT id |> UNION ALL (TABLE secret)",
+                "BEGIN SELECT 1; END", "EXECUTE IMMEDIATE 'SELECT 1'", "VALUES ((SELECT max(id) FROM secret))", "SELECT * FROM looks_open", "SELECT * FROM open_table LATERAL VIEW java_method('java.lang.System', 'exit', '0') AS e"):
+        with pytest.raises(Rejected):
+            guard.query(bad)
+    with pytest.raises(Rejected):
+        guard.query("SELECT * FROM IDENTIFIER(:t)", {"t": "secret"})
+    with pytest.raises(Rejected):
+        guard.check_read(spark.sql("SELECT * FROM open_table WHERE id IN (SELECT id FROM secret)"))
+    for fine in ("SELECT id FROM open_table WHERE id IN (1, 2) UNION SELECT 7 ORDER BY 1 LIMIT 2 OFFSET 1", "SELECT * FROM VALUES (1, 'a'), (2, 'b') AS t(x, y)", "SELECT transform(array(id), x -> x + 1) AS a FROM open_table", "SELECT id, e FROM open_table LATERAL VIEW explode(array(1, 2)) AS e",
+                 "SELECT a.id, b.n FROM open_table a LEFT JOIN (SELECT id, count(*) AS n FROM open_table GROUP BY id HAVING count(*) > 0) b USING (id)",
+                 "SELECT sum(id) OVER w AS s FROM open_table WINDOW w AS (ORDER BY id)", "WITH a AS (SELECT id FROM open_table), b AS (SELECT * FROM a) SELECT * FROM b JOIN a USING (id)"):
+        assert guard.query(fine).rows.count() > 0
+
+
 def test_sql_guard_has_a_deadline(spark):
     spark.range(40_000_000_000).createOrReplaceTempView("long_table")
     with pytest.raises(TimeoutError):
