@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.plans import content, relational, retrieval, streams, upkeep
+from siftline.plans import connectors, content, relational, retrieval, streams, upkeep
 
 FLAGSHIP = "hybrid_search"
-_PARTS = (retrieval.query, relational.query, content.query, streams.query, upkeep.query)
+_PARTS = (retrieval.query, relational.query, content.query, streams.query, upkeep.query, connectors.query)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

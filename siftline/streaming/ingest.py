@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.sources import readers
+from siftline.sources.connectors import FolderConnector, Work, attempted
 
 STATES = ("queued", "processing", "extracting", "embedding", "indexed", "ready", "failed")
 
@@ -109,8 +109,37 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
     return grouped.select("user_id", F.col("session_window.start").alias("start_at"), "n")
 
 
-def incremental_sync(spark: SparkSession, folder: str, checkpoint: str, index: Callable[[DataFrame], None]) -> None:
-    """Files that came since the last pass, as (path, content), handed to ``index`` batch by batch."""
-    like = readers.files(spark, folder)
-    stream = spark.readStream.format("binaryFile").schema(like.schema).option("recursiveFileLookup", "true").load(folder)
-    run_available(stream, checkpoint, lambda batch, _: index(batch))
+def sync(connector: FolderConnector, target: str, work: Work, schema: str) -> dict[str, int]:
+    """One pass over what came since the last: ``work`` on each item, its results and failures written with the position.
+
+    An item's failure is a row of the table of dead letters and holds up nothing else. If the pass itself fails, the checkpoint
+    stays where it was and the next pass repeats it; a repeated batch writes itself again. Returns what the pass saw.
+    """
+    seen: list[int] = []
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        attempted(batch, work, schema).write.mode("overwrite").parquet(f"{target}/items/batch={batch_id}")
+        seen.append(batch_id)
+
+    run_available(connector.stream(), f"{target}/checkpoint", handle)
+    if not seen:
+        return {"discovered": 0, "failed": 0}
+    rows = connector.spark.read.parquet(f"{target}/items").where(F.col("batch").isin(seen))
+    row = rows.agg(F.count("*").alias("n"), F.count("error").alias("failed")).first()
+    return {"discovered": row.n, "failed": row.failed}
+
+
+def _last_attempts(spark: SparkSession, target: str) -> DataFrame:
+    """The last attempt at each path: a file that was written again is taken again."""
+    rows = spark.read.parquet(f"{target}/items")
+    return rows.groupBy("path").agg(F.max_by(F.struct(*rows.columns), F.struct("cursor", "batch")).alias("_last")).select("_last.*")
+
+
+def synced(spark: SparkSession, target: str) -> DataFrame:
+    """What ``sync`` has, by its last attempt at each item."""
+    return _last_attempts(spark, target).where("error IS NULL").drop("error", "batch")
+
+
+def dead_letters(spark: SparkSession, target: str) -> DataFrame:
+    """(path, cursor, error) of the items whose last attempt failed."""
+    return _last_attempts(spark, target).where("error IS NOT NULL").select("path", "cursor", "error")
