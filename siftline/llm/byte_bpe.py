@@ -32,9 +32,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftline.llm.common import arrow_batches, staged, table
-from siftline.llm.memory import give_back
+from siftline.llm.memory import begin, give_back, keeps
 
-CHUNK, OVERLAP, CACHE = 32_768, 1_024, 150_000
+CHUNK, OVERLAP, CACHE, SHORT = 32_768, 1_024, 150_000, 1_024
 #: Beyond these characters, \w, \d and \s of re and the classes of the pattern may differ.
 _NOT_PLAIN = re.compile("[^\t\n\r -~\xa1\xa7\xab\xb0\xb4\xb7\xbb\xbf-\u02af\u2013\u2014\u2018-\u201e\u2026]")
 
@@ -135,6 +135,7 @@ class Codec:
 def codec(path: str, pattern: str) -> Codec:
     with open(path, "rb") as lines:  # an installed package's file, present on every worker
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    keeps(__name__, codec.cache_clear)
     return Codec(ranks, pattern)
 
 
@@ -220,6 +221,7 @@ def digests(docs: DataFrame, vocabulary: tuple[str, str] | None = None, id_col:
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin(__name__)
         c = codec(*vocabulary)
         for batch in batches:
             n, ids, data = zip(*[_digest(c.encode(t), c) for t in batch.text]) if len(batch) else ((), (), ())
@@ -233,7 +235,8 @@ def digests(docs: DataFrame, vocabulary: tuple[str, str] | None = None, id_col:
         give_back()
         return pd.DataFrame({"key": [pieces.key.iloc[0]], "n_tokens": [n], "ids_sha256": [a], "decoded_sha256": [b]})
 
-    short = rows.where(F.length("text") <= CHUNK).mapInPandas(whole, f"id {kind}, {DIGEST}")
+    with arrow_batches(docs.sparkSession, SHORT):
+        short = staged(rows.where(F.length("text") <= CHUNK).mapInPandas(whole, f"id {kind}, {DIGEST}"), "short-digests")
     long = rows.where(F.length("text") > CHUNK).withColumn("key", F.sha2("text", 256))
     chunks = staged(_long_chunks(long), "chunks")
     pieces = _pieces_encoded(chunks, staged(_stitches(chunks, vocabulary), "stitches"), vocabulary)

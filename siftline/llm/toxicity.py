@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm.common import arrow_batches, packed, staged, table
 from siftline.llm.labelled import fold, labelled_sample
-from siftline.llm.memory import give_back
+from siftline.llm.memory import begin, give_back
 
 PER_CLASS, VOTERS, TERMS, MIN_TEXTS, ANCHOR, THRESHOLD = 8_000, 256, 4_096, 3, 20.0, 0.3
 #: A sign's lift is over these bounds with confidence (1.64 standard errors) if it may vote (and over the odds against
@@ -117,6 +117,7 @@ def sign_counts(rows: DataFrame) -> DataFrame:
     """(term, level, toxic, clean): labelled texts of either kind in which a term reaches a level."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        begin(__name__)
         read = TermReader()
         for batch in (b[at : at + PART] for b in batches for at in range(0, len(b), PART)):  # counts of few texts at a time
             by = (Counter(), Counter())
@@ -274,6 +275,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", column: str =
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        begin(__name__)
         read = TermReader(model.terms)
         for batch in batches:
             yield pd.Series(model.scores(batch.tolist(), read), dtype="float64")
