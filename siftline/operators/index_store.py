@@ -29,7 +29,6 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,6 +36,7 @@ from pyspark.sql import functions as F
 from siftline.functions import text as T
 from siftline.operators.lexical import K1, B, postings
 from siftline.operators.store import index_version
+from siftline.sources import folders
 
 POSTINGS, BUCKETS, SAMPLE, ASKED_AT_ONCE = 250_000, 32, 16, 256
 #: Of the text analysis; another number makes another index.
@@ -64,6 +64,7 @@ class SegmentStore:
     root: str
     signature: dict[str, Any]
     key: str = "doc_id"
+    options: dict[str, dict[str, str]] = field(default_factory=dict)  # of the writers of its tables
 
     def __post_init__(self) -> None:
         self.version = index_version(self.signature)
@@ -102,7 +103,7 @@ class SegmentStore:
         generation = base.version + 1
         folder = f"{self.path}/segments/g{generation:09d}-{uuid.uuid4().hex[:8]}"
         for name, df in tables.items():
-            df.write.parquet(f"{folder}/{name}")
+            df.write.options(**self.options.get(name, {})).parquet(f"{folder}/{name}")
         segments = {} if replace else dict(base.segments)
         if tables:
             segments[f"{generation}:{folder.rpartition('/')[2]}"] = sorted(tables)
@@ -257,7 +258,9 @@ class TextIndex:
     signature: dict[str, Any] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.store = SegmentStore(self.spark, self.root, {"analyser": ANALYSER, "buckets": BUCKETS, **self.signature})
+        # row groups of a few ranges, so that tasks can share a file
+        small = {"parquet.block.size": str(4 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "4"}
+        self.store = SegmentStore(self.spark, self.root, {"analyser": ANALYSER, "buckets": BUCKETS, **self.signature}, options={"ranges": small})
 
     def write(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None) -> Manifest:
         """Puts documents in, in place of those of the same ids; a null id is no document."""
@@ -441,13 +444,16 @@ class TextIndex:
         return run(ranges, floors)
 
 
-def stored(docs: DataFrame, folder: str, identity: str, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None) -> TextIndex:
-    """The index of a table that ``identity`` names, built by the first who asks; another who builds it meanwhile yields."""
-    index = TextIndex(docs.sparkSession, f"{folder}/text-index", {"table": identity})
-    if not index.store.manifest().segments:
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None) -> TextIndex:
+    """The index of a table of files, known by the files with their sizes and times, so a changed table gets a new one.
+
+    It is built by the first who asks; one who builds it at the same moment yields to whoever was first.
+    """
+    index = TextIndex(docs.sparkSession, f"{folders.shared(docs.sparkSession)}/text-index", {"table": folders.identity(docs), "columns": [id_col, text_col, title_col]})
+    if not index.store.manifest().version:
         try:
             index.write(docs, id_col, text_col, title_col)
-        except (ConcurrentCommit, PySparkException):
-            if not index.store.manifest().segments:
-                raise
+        except ConcurrentCommit:
+            pass
     return index
+

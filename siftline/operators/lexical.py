@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftline.functions import text as T
-from siftline.sources import folders
 
 K1, B = 1.5, 0.75
 BODY, TITLE = 1, 2  # what a token counts
@@ -55,22 +53,6 @@ class LexicalIndex:
         corpus = corpus.select("n", F.greatest(F.try_divide(F.col("tokens"), F.col("n")), F.lit(1.0)).alias("avg_len"))
         return cls(tf.join(lengths, "doc_id"), df, corpus)
 
-    @classmethod
-    def stored(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None) -> LexicalIndex:
-        """The index of a table of files, made at the first call and read from the store afterwards, also by other queries.
-
-        It is known by the table's files with their sizes and times, so a changed table gets a new one. The corpus
-        totals are written last: an index without them was not finished and is made again.
-        """
-        path = f"{folders.shared(docs.sparkSession)}/lexical-{folders.identity(docs, id_col, text_col, title_col or '')}"
-        try:
-            return cls.read(docs.sparkSession, path)
-        except AnalysisException:
-            index = cls.build(docs, id_col, text_col, title_col)
-            index.write(path)
-            docs.sparkSession.catalog.clearCache()
-            return cls.read(docs.sparkSession, path)
-
     def write(self, path: str, buckets: int = BUCKETS) -> None:
         """Postings by hash of the term, so that a query reads the files of its terms alone."""
         postings = self.postings.withColumn("bucket", bucket_of(F.col("term"), buckets))
@@ -92,6 +74,7 @@ class LexicalIndex:
         on = ["term"]
         if self.buckets:  # stored postings: only the buckets of the terms asked for are read
             terms, on = terms.withColumn("bucket", bucket_of(F.col("term"), self.buckets)), ["bucket", "term"]
+            hits = hits.where(F.col("bucket").isin([r.bucket for r in terms.select("bucket").distinct().collect()]))
         scored = hits.join(terms, on)
         return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(bm25()), 6).alias("score"))
 

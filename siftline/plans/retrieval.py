@@ -10,7 +10,7 @@ from siftline.functions import embed as E
 from siftline.functions import identifiers as I
 from siftline.functions import text as T
 from siftline.operators import ranking as R
-from siftline.operators import rerank, resolve, vectors
+from siftline.operators import index_store, rerank, resolve, vectors
 from siftline.operators.lexical import LexicalIndex, postings, ranked
 from siftline.plans.base import Registry, table
 
@@ -101,12 +101,13 @@ def term_frequency(spark, sf_dir):
 
 @query(f"WITH {_INDEX} SELECT term, df FROM df")
 def document_frequency(spark, sf_dir):
-    return LexicalIndex.stored(_docs(spark, sf_dir)).df
+    return index_store.stored(_docs(spark, sf_dir)).df()
 
 
 @query(f"WITH {_INDEX} SELECT n, round(avg_len, 6) AS avg_len FROM corpus")
 def corpus_stats(spark, sf_dir):
-    return LexicalIndex.stored(_docs(spark, sf_dir)).corpus.select("n", F.round("avg_len", 6).alias("avg_len"))
+    n, avg_len = index_store.stored(_docs(spark, sf_dir)).totals()
+    return spark.createDataFrame([(n, round(avg_len, 6))], "n long, avg_len double")
 
 
 @query(f"""SELECT p_partkey AS doc_id, term, CAST(sum(w) AS BIGINT) AS tf FROM (
@@ -118,12 +119,12 @@ def title_weighted_tf(spark, sf_dir):
 
 @query(f"WITH {_bm25_sql(_ONE)} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM lex) WHERE rank <= 10")
 def bm25_topk(spark, sf_dir):
-    return ranked(LexicalIndex.stored(_docs(spark, sf_dir)).scores(_literal_queries(spark)), 10)
+    return index_store.stored(_docs(spark, sf_dir)).search(_literal_queries(spark), 10)
 
 
 @query(f"WITH {_bm25_sql(_ASKED)} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM lex) WHERE rank <= 20")
 def bm25_batch(spark, sf_dir):
-    return ranked(LexicalIndex.stored(_docs(spark, sf_dir)).scores(_asked(spark, sf_dir)), 20)
+    return index_store.stored(_docs(spark, sf_dir)).search(_asked(spark, sf_dir), 20)
 
 
 _SOME = "lang IN ('en', 'de') AND source <> 'src0'"
@@ -133,7 +134,7 @@ _SOME = "lang IN ('en', 'de') AND source <> 'src0'"
 def bm25_filtered(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     allowed = docs.where(F.expr(_SOME)).select("doc_id")
-    return ranked(LexicalIndex.build(docs).scores(_asked(spark, sf_dir), allowed), 10)
+    return index_store.stored(docs).search(_asked(spark, sf_dir), 10, allowed)
 
 
 # ---- vectors -------------------------------------------------------------------------------------------------------
@@ -196,7 +197,7 @@ def dense_text_search(spark, sf_dir):
 
 def _two_rankings(spark, sf_dir) -> DataFrame:
     """Candidates of a lexical and a dense retriever for the benchmark questions; a question's vector has its id."""
-    lexical = ranked(LexicalIndex.stored(_docs(spark, sf_dir)).scores(_asked(spark, sf_dir)), 60)
+    lexical = index_store.stored(_docs(spark, sf_dir)).search(_asked(spark, sf_dir), 60)
     lexical = lexical.select("query_id", F.lit("lexical").alias("retriever"), F.col("doc_id").alias("chunk_id"), "rank", "score")
     emb = table(spark, sf_dir, "embeddings")
     asked = emb.join(F.broadcast(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))), "vec_id", "left_semi")
@@ -430,6 +431,6 @@ def stage_stats(spark, sf_dir):
 def extractive_topk(spark, sf_dir):
     """The five sentences that fit each question best, out of its ten best documents."""
     asked = _asked(spark, sf_dir)
-    hits = ranked(LexicalIndex.stored(_docs(spark, sf_dir)).scores(asked), 10)
+    hits = index_store.stored(_docs(spark, sf_dir)).search(asked, 10)
     docs = hits.join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id").select("query_id", F.col("doc_id").alias("chunk_id"), "text")
     return rerank.extractive(asked, docs)

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import fields
 from siftline.functions import text as T
-from siftline.operators import chunking, marking, mentions, resolve, store
-from siftline.operators.lexical import LexicalIndex, ranked
+from siftline.operators import chunking, index_store, marking, mentions, resolve, store
+from siftline.operators.lexical import ranked
 from siftline.plans.base import Registry, table
-from siftline.plans.retrieval import _ASKED, _INDEX, _asked, _bm25_sql, _docs, sql_stem, sql_terms
-from siftline.sources import readers
+from siftline.plans.retrieval import _ASKED, _BM25, _INDEX, _asked, _bm25_sql, _docs, sql_stem, sql_terms
+from siftline.sources import folders, readers
 
 query = Registry()
 
@@ -23,17 +24,39 @@ query = Registry()
 _GONE = "source = 'src3'"
 
 
+def _without_a_source(spark, sf_dir) -> index_store.TextIndex:
+    """An index of its own of the documents, from which one source was then taken out."""
+    docs = _docs(spark, sf_dir)
+    index = index_store.TextIndex(spark, f"{folders.shared(spark)}/upkeep-{uuid.uuid4().hex}")
+    index.write(docs)
+    index.delete(docs.where(_GONE).select("doc_id"))
+    return index
+
+
 @query(f"WITH {_INDEX} SELECT term, count(*) AS df FROM tf WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE {_GONE}) GROUP BY ALL")
 def lexical_retract(spark, sf_dir):
     """One source leaves the index: frequencies are lowered by what its documents held."""
-    index = LexicalIndex.stored(_docs(spark, sf_dir))
-    return store.retracted(index.postings, index.df, _docs(spark, sf_dir).where(_GONE))[1]
+    return _without_a_source(spark, sf_dir).df()
 
 
 @query(f"WITH {_INDEX} SELECT doc_id, count(*) AS postings FROM tf WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE {_GONE}) GROUP BY ALL")
 def lexical_delete(spark, sf_dir):
-    index = LexicalIndex.stored(_docs(spark, sf_dir))
-    return store.retracted(index.postings, index.df, _docs(spark, sf_dir).where(_GONE))[0].groupBy("doc_id").agg(F.count("*").alias("postings"))
+    return _without_a_source(spark, sf_dir).postings().groupBy("doc_id").agg(F.count("*").alias("postings"))
+
+
+_NEXT = "CASE WHEN source = 'src1' THEN text || ' upkeep ' || lang ELSE text END"
+
+
+@query(f"""WITH changed AS (SELECT doc_id, {_NEXT} AS text FROM documents WHERE NOT {_GONE}), {_INDEX.replace("FROM documents", "FROM changed")},
+q AS (SELECT DISTINCT query_id, term FROM ({sql_terms("(SELECT item_id AS query_id, text FROM benchmark)", "query_id", "text")})),
+lex AS (SELECT query_id, doc_id, round(sum({_BM25}), 6) AS score FROM q JOIN df USING (term) JOIN tf USING (term) JOIN len USING (doc_id) CROSS JOIN corpus GROUP BY ALL)
+SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM lex) WHERE rank <= 10""")
+def index_upkeep(spark, sf_dir):
+    """Changed documents written over, a source taken out, segments merged: what is found is what an index built anew finds."""
+    docs, index = _docs(spark, sf_dir), _without_a_source(spark, sf_dir)
+    index.write(docs.where(f"source = 'src1' AND NOT {_GONE}").select("doc_id", F.expr(_NEXT).alias("text")))
+    index.merge()
+    return index.search(_asked(spark, sf_dir), 10)
 
 
 @query("SELECT label, count(*) AS vectors FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src3') GROUP BY ALL")
@@ -333,7 +356,7 @@ def query_terms(spark, sf_dir):
 
 def _results(spark, sf_dir) -> DataFrame:
     """(query_id, doc_id, text): the three best documents of each benchmark question."""
-    best = ranked(LexicalIndex.stored(_docs(spark, sf_dir)).scores(_asked(spark, sf_dir)), 3)
+    best = index_store.stored(_docs(spark, sf_dir)).search(_asked(spark, sf_dir), 3)
     return best.select("query_id", "doc_id").join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
 
 
