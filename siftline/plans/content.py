@@ -10,7 +10,7 @@ from siftline.functions import embed as E
 from siftline.functions import fields
 from siftline.functions import identifiers as I
 from siftline.functions import text as T
-from siftline.operators import chunking, graph, resolve
+from siftline.operators import cascade, chunking, graph, resolve
 from siftline.plans.base import Registry, table
 from siftline.sources import readers
 
@@ -275,6 +275,37 @@ def cascade_exact_normalised(spark, sf_dir):
     return resolve.resolved(rows.withColumn("key", key), _entities(spark, sf_dir))
 
 
+_W = "substr(sha256('{}' || c_custkey), 1, 8)"
+_NAMED = f"SELECT c_custkey, 'C' || lpad(c_custkey::VARCHAR, 4, '0') AS id, {_W.format('a')} AS w1, {_W.format('b')} AS w2 FROM customer"
+
+
+@query(f"""WITH e AS (SELECT *, count(*) OVER (PARTITION BY c_custkey // 2) AS pair FROM ({_NAMED})),
+m AS (SELECT o_orderkey AS mention_id, o_orderkey % 7 AS form, e.*, 'ent_' || substr(sha256('customer' || chr(31) || 'DB' || o_orderkey), 1, 12) AS made FROM orders JOIN e ON c_custkey = o_custkey)
+SELECT mention_id,
+  CASE WHEN form <= 3 OR form = 6 AND pair = 1 THEN 'e-' || c_custkey WHEN form = 4 THEN made END AS entity_id,
+  CASE form WHEN 0 THEN 'exact' WHEN 1 THEN 'normalised' WHEN 2 THEN 'fuzzy' WHEN 3 THEN 'semantic' WHEN 4 THEN 'database' WHEN 5 THEN 'none' ELSE 'exact' END AS method,
+  CASE form WHEN 0 THEN 1.0 WHEN 1 THEN 0.95 WHEN 2 THEN round(32 / 33.0, 4) WHEN 4 THEN 0.97 WHEN 5 THEN 0.0 WHEN 6 THEN 1.0 END::DOUBLE AS confidence,
+  form = 6 AND pair > 1 AS needs_verification, CASE WHEN form IN (4, 5) THEN 0 WHEN form = 6 THEN pair ELSE 1 END AS candidates FROM m""")
+def resolution_cascade(spark, sf_dir):
+    """Mentions of customers in seven forms, of which each step of the cascade decides one: the id, the name as a key, the name
+    without its first letter, its words turned round, a row of the system of record, a stranger, and a key that two share."""
+    word = lambda salt: F.left(F.sha2(F.concat(F.lit(salt), F.col("c_custkey").cast("string")), 256), F.lit(8))
+    named = table(spark, sf_dir, "customer").select("c_custkey", word("a").alias("w1"), word("b").alias("w2"))
+    name, own = F.concat_ws(" ", "w1", "w2"), F.concat(F.lit("C"), F.lpad(F.col("c_custkey").cast("string"), F.greatest(F.lit(4), F.length(F.col("c_custkey").cast("string"))), F.lit("0")))
+    shared = F.concat(F.lit("PAIR"), F.floor(F.col("c_custkey") / 2).cast("string"))
+    entities = named.select(F.concat(F.lit("e-"), F.col("c_custkey").cast("string")).alias("entity_id"), F.lit("customer").alias("entity_type"), name.alias("canonical_name"), F.array(name).alias("aliases"), F.array(own, I.text_key(name), shared).alias("normalized_keys"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")).join(named, "c_custkey")
+    number, form = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 7
+    odd = F.concat(F.lit("!"), number, F.lit("!"))
+    surface = F.when(form == 0, own).when(form == 1, F.upper(name)).when(form == 2, F.substring(name, F.lit(2), F.length(name))).when(form == 3, F.concat_ws("-", "w2", "w1")).otherwise(odd)
+    none = F.concat(F.lit("NONE"), number)
+    keys = F.when(form == 0, F.array(own)).when(form == 1, F.array(none, I.text_key(name))).when(form == 4, F.array(F.concat(F.lit("DB"), number))).when(form == 6, F.array(shared)).otherwise(F.array(none))
+    mentions = rows.select(F.col("o_orderkey").alias("mention_id"), surface.alias("surface"), F.lit("customer").alias("entity_type"), keys.alias("keys"))
+    record = rows.where(form == 4).select(F.lit("customer").alias("entity_type"), F.concat(F.lit("DB"), number).alias("key"))
+    found = cascade.resolved(mentions, entities, record)
+    return found.select("mention_id", "entity_id", "method", F.when(F.col("method") != "semantic", F.col("confidence")).alias("confidence"), "needs_verification", F.size("candidates").alias("candidates"))
+
+
 @query("SELECT user_id AS entity_id, list_distinct_ordered AS aliases, mentions, first_seen, last_seen, confidence FROM (SELECT user_id, count(*) AS mentions, min(event_id) AS first_seen, max(event_id) AS last_seen, max(value) AS confidence FROM events GROUP BY ALL) JOIN (SELECT user_id, list(event_type ORDER BY f) AS list_distinct_ordered FROM (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY ALL) GROUP BY ALL) USING (user_id)")
 def entity_merge(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("entity_id"), F.col("event_id").alias("seen_at"), F.col("event_type").alias("alias"), F.lit("events").alias("source_id"), F.col("value").alias("confidence"))
