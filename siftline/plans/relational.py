@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftline.operators import chunking
+from siftline.operators import chunking, order_stats
 from siftline.operators import filters as P
 from siftline.plans.base import Registry, table
 from siftline.plans.sql_guard import Guard
@@ -205,6 +205,19 @@ def median_agg(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.median("l_extendedprice"), 6).alias("middle"), F.round(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_quantity)"), 6).alias("lower"))
 
 
+_SORTED = "SELECT {k} AS l_returnflag, count(*) AS n, list_sort(list({v})) AS l FROM lineitem GROUP BY 1"
+
+
+@query("SELECT l_returnflag, what, n, l[(n + 1) // 2]::DOUBLE AS lower, l[n // 2 + 1]::DOUBLE AS upper, (l[(n + 1) // 2] + l[n // 2 + 1])::DOUBLE / 2 AS middle FROM (SELECT *, 'price' AS what FROM ("
+       + _SORTED.format(k="l_returnflag", v="l_extendedprice::DOUBLE") + ") UNION ALL SELECT *, 'all' FROM (" + _SORTED.format(k="'*'", v="l_quantity::DOUBLE") + "))")
+def exact_medians(spark, sf_dir):
+    """The middle, lower and upper medians of prices by flag, and of all quantities as one group."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("price"), F.col("l_quantity").cast("double").alias("quantity"))
+    out = order_stats.medians(rows, ["l_returnflag"], "price").withColumn("what", F.lit("price"))
+    every = order_stats.medians(rows.withColumn("l_returnflag", F.lit("*")), ["l_returnflag"], "quantity").withColumn("what", F.lit("all"))
+    return out.unionByName(every).select("l_returnflag", "what", "n", "lower", "upper", "middle")
+
+
 @query("SELECT user_id, max(value) AS best, arg_max(event_type, (value, event_id)) AS kind FROM events GROUP BY ALL")
 def max_per_key(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("value").alias("best"), F.max_by("event_type", F.struct("value", "event_id")).alias("kind"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftline.plans.base import Registry, table
 from siftline.sources import folders
-from siftline.streaming import ingest
+from siftline.streaming import ingest, jobs
 
 query = Registry()
 
@@ -43,6 +43,30 @@ def stream_job_state(spark, sf_dir):
     return ingest.latest(spark, f"{folder}/states")
 
 
+_STATUS = {"view": "queued", "click": "processing", "signup": "embedding", "purchase": "indexed", "error": "failed"}
+_RANKED = "CASE " + " ".join(f"WHEN status = '{s}' THEN {r}" for s, r in jobs.RANK.items()) + " ELSE -1 END"
+
+
+@query(f"""WITH e AS (SELECT user_id, event_id, ts, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STATUS.items())} ELSE event_type END AS status FROM events),
+r AS (SELECT *, {_RANKED} AS rank FROM e),
+t AS (SELECT *, max(rank) OVER w AS top, arg_max(status, (rank, -epoch_us(ts), -event_id)) OVER w AS was FROM r WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT user_id::VARCHAR AS job_id, event_id, CASE WHEN top >= 0 THEN was END AS from_status, status, rank >= 0 AND rank > coalesce(top, -1) AS accepted,
+  CASE WHEN rank < 0 THEN 'unknown status' WHEN rank > coalesce(top, -1) THEN NULL WHEN top = 5 THEN 'finished' WHEN status = was THEN 'repeated' ELSE 'backwards' END AS reason FROM t""")
+def stream_job_machine(spark, sf_dir):
+    """Events of a user as changes of a job: what the status machine accepts, and why it refuses the rest."""
+    folder = _folder(spark)
+    events = _stream(spark, sf_dir, "events")
+    status = F.coalesce(F.create_map(*[F.lit(x) for p in _STATUS.items() for x in p])[F.col("event_type")], F.col("event_type"))
+    changes = events.select(F.col("user_id").alias("job_id"), "event_id", F.col("ts").alias("updated_at"), status.alias("status"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    jobs.use_rocksdb(spark)
+    try:
+        ingest.run_once(jobs.changes_of(changes), f"{folder}/checkpoint", lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/changes/batch={n}"))
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before) if before else spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return spark.read.parquet(f"{folder}/changes").select("job_id", "event_id", "from_status", "status", "accepted", "reason")
+
+
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL")
 def stream_upsert(spark, sf_dir):
     """The last event of each user, kept in versions of a table."""

@@ -65,6 +65,12 @@ def run_available(stream: DataFrame, checkpoint: str, handle: Callable[[DataFram
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def run_once(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None]) -> None:
+    """What there is now as one batch. For streams with timers by the clock: of these there is always one more batch to run, so
+    "all that is available" never ends."""
+    stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(once=True).start().awaitTermination()
+
+
 def upsert_parquet(target: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
     """A handler that keeps the last row of each key in a folder of versions, one for each batch.
 
