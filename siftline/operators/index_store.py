@@ -23,7 +23,7 @@ import io
 import json
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
@@ -97,13 +97,22 @@ class SegmentStore:
         out.write(bytearray(json.dumps(asdict(manifest)).encode()))
         out.close()
 
-    def commit(self, tables: dict[str, DataFrame], gone: DataFrame | None = None, totals: dict[str, int] | None = None, base: Manifest | None = None, replace: bool = False) -> Manifest:
-        """Adds a segment and hides ``gone`` (the key column) in the segments before it; ``replace`` leaves it as the only one."""
+    def commit(self, tables: dict[str, DataFrame], gone: DataFrame | None = None, totals: dict[str, int] | None = None, base: Manifest | None = None, replace: bool = False, failed: Callable[[str, Exception], None] | None = None) -> Manifest:
+        """Adds a segment and hides ``gone`` (the key column) in the segments before it; ``replace`` leaves it as the only one.
+
+        If ``failed`` is given, a table that can't be written is reported to it and left out of the segment.
+        """
         base = self.manifest() if base is None else base
         generation = base.version + 1
         folder = f"{self.path}/segments/g{generation:09d}-{uuid.uuid4().hex[:8]}"
-        for name, df in tables.items():
-            df.write.options(**self.options.get(name, {})).parquet(f"{folder}/{name}")
+        for name, df in list(tables.items()):
+            try:
+                df.write.options(**self.options.get(name, {})).parquet(f"{folder}/{name}")
+            except Exception as e:
+                if failed is None:
+                    raise
+                failed(name, e)
+                tables = {k: v for k, v in tables.items() if k != name}
         segments = {} if replace else dict(base.segments)
         if tables:
             segments[f"{generation}:{folder.rpartition('/')[2]}"] = sorted(tables)

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from siftline.functions import fields
 from siftline.functions import text as T
-from siftline.operators import chunking, index_store, marking, mentions, resolve, store
+from siftline.operators import chunking, index_store, marking, mentions, resolve, sink, store
 from siftline.operators.lexical import ranked
 from siftline.plans.base import Registry, table
+from siftline.plans.content import _SENTENCES
 from siftline.plans.retrieval import _ASKED, _BM25, _INDEX, _asked, _bm25_sql, _docs, sql_stem, sql_terms
 from siftline.sources import folders, readers
 
@@ -59,6 +60,27 @@ def index_upkeep(spark, sf_dir):
     return index.search(_asked(spark, sf_dir), 10)
 
 
+_AFTER = "CASE WHEN source = 'src2' THEN [c[1]] ELSE c END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, source, {_SENTENCES} AS c FROM documents), n AS (SELECT doc_id, source, unnest({_AFTER}) AS text, generate_subscripts({_AFTER}, 1) AS i FROM d WHERE source <> 'src3' AND len(c) > 0)
+SELECT source, count(*) AS chunks, count(*) AS vectors, count(*) FILTER (i = 1) AS links, sum(length(text))::BIGINT AS chars FROM n GROUP BY ALL""")
+def sink_replace(spark, sf_dir):
+    """Documents written as assets of sentences; one source is written again with first sentences alone, another with none.
+    The counts are those of chunks, of their vectors and of their links, which must be in step."""
+    docs = _docs(spark, sf_dir)
+    cut = docs.select(F.col("doc_id").alias("asset_id"), "source", F.posexplode(T.sentences(F.col("text"))).alias("ordinal", "text"))
+    chunks = cut.select("asset_id", (F.col("asset_id") * 1_000_000 + F.col("ordinal")).alias("chunk_id"), "ordinal", F.lit("document").alias("modality"), "text", "source")
+    links = lambda some: some.where("ordinal = 0").select("asset_id", "chunk_id", F.concat(F.lit("source:"), "source").alias("entity_id"), F.lit(1.0).alias("score"))
+    held = sink.Sink(spark, f"{folders.shared(spark)}/sink-{uuid.uuid4().hex}")
+    held.write(docs.select(F.col("doc_id").alias("asset_id")), chunks, links=links(chunks))
+    again = chunks.where("source = 'src2' AND ordinal = 0")
+    held.write(docs.where("source IN ('src2', 'src3')").select(F.col("doc_id").alias("asset_id")), again, links=links(again))
+    have = lambda t, name: held.read(t).select("chunk_id", F.lit(1).alias(name))
+    rows = held.read("chunks").join(have("text_vectors", "v"), "chunk_id", "left").join(have("links", "l"), "chunk_id", "left")
+    return rows.groupBy("source").agg(F.count("*").alias("chunks"), F.count("v").alias("vectors"), F.count("l").alias("links"), F.sum(F.length("text")).alias("chars"))
+
+
 @query("SELECT label, count(*) AS vectors FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src3') GROUP BY ALL")
 def vector_delete(spark, sf_dir):
     gone = _docs(spark, sf_dir).where(_GONE).select(F.col("doc_id").alias("vec_id"))
