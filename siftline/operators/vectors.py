@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import functools
 import itertools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftline.sources import folders
+
 EPSILON = 1e-12
 MAX_QUERIES, SLICE = 20_000, 512  # in one block, whose matrix goes to every task; at a time in a task
 
@@ -50,10 +52,20 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = No
     over the vectors. Each task multiplies blocks of vectors with the query matrix and hands on its best k a query;
     scores are rounded to 6 places before ranking and ties go to the smaller id.
     """
-    parts = [_nearest(vectors, batch, k, least) for batch in _query_blocks(queries)]
-    best = functools.reduce(DataFrame.unionByName, parts)
+    blocks = _query_blocks(queries)
+    first = next(blocks, pd.DataFrame({"query_id": [], "embedding": []}))
+    second = next(blocks, None)
+    if second is None:
+        return _best(_nearest(vectors, first, k, least), k)
+    folder = f"{folders.shared(vectors.sparkSession)}/knn-{uuid.uuid4().hex}"
+    for n, batch in enumerate(itertools.chain([first, second], blocks)):  # each is written and let go before the next is read
+        _best(_nearest(vectors, batch, k, least), k).write.parquet(f"{folder}/block={n}")
+    return vectors.sparkSession.read.parquet(folder).drop("block")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
 def _nearest(vectors: DataFrame, batch: pd.DataFrame, k: int, least: float | None) -> DataFrame:

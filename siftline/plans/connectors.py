@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from siftline.plans.base import Registry, table
-from siftline.sources import folders
+from siftline.sources import assets, folders, office
 from siftline.sources.connectors import FolderConnector, write_files
 from siftline.streaming import ingest
 
@@ -68,3 +69,39 @@ def incremental_sync(spark, sf_dir):
     good = good.select(_id(), F.lit(True).alias("indexed"), "n_chars", "lang")
     none = lambda kind: F.lit(None).cast(kind)
     return good.unionByName(bad.select(_id(), F.lit(False).alias("indexed"), none("long").alias("n_chars"), none("string").alias("lang")))
+
+
+# ---- assets to blocks ------------------------------------------------------------------------------------------------
+
+_FIELDS = "'| field | value |' || chr(10) || '| --- | --- |' || chr(10) || '| key | ' || c_custkey || ' |' || chr(10) || '| nation | ' || c_nationkey || ' |'"
+
+
+@query(f"""SELECT c_custkey, ordinal, kind, section, locator, text FROM (
+  SELECT c_custkey, 0 AS ordinal, 'heading' AS kind, c_name AS section, NULL AS locator, c_name AS text FROM customer WHERE c_custkey % 3 = 0 UNION ALL
+  SELECT c_custkey, 1, 'paragraph', c_name, NULL, 'of the nation ' || c_nationkey FROM customer WHERE c_custkey % 3 = 0 UNION ALL
+  SELECT c_custkey, 2, 'table', c_name, NULL, {_FIELDS} FROM customer WHERE c_custkey % 3 = 0 UNION ALL
+  SELECT c_custkey, 0, 'heading', c_name, 'slide=1', c_name FROM customer WHERE c_custkey % 3 = 1 UNION ALL
+  SELECT c_custkey, 1, 'paragraph', c_name, 'slide=1', 'of the nation ' || c_nationkey FROM customer WHERE c_custkey % 3 = 1 UNION ALL
+  SELECT c_custkey, 2, 'caption', c_name, 'slide=1', 'key ' || c_custkey FROM customer WHERE c_custkey % 3 = 1 UNION ALL
+  SELECT c_custkey, 0, 'table', 'customer', 'sheet=customer;rows=2-3', {_FIELDS} FROM customer WHERE c_custkey % 3 = 2)""")
+def office_blocks(spark, sf_dir):
+    """A document, a presentation or a workbook for each customer, read back as blocks by the table function."""
+
+    @F.pandas_udf("binary")
+    def made(key: pd.Series, name: pd.Series, nation: pd.Series) -> pd.Series:
+        out = []
+        for k, who, n in zip(key, name, nation):
+            cells = [["field", "value"], ["key", str(k)], ["nation", str(n)]]
+            of = (lambda: office.write_docx(who, [f"of the nation {n}"], cells), lambda: office.write_pptx([(who, [f"of the nation {n}"], f"key {k}")]), lambda: office.write_xlsx({"customer": cells}))
+            out.append(of[k % 3]())
+        return pd.Series(out)
+
+    files = table(spark, sf_dir, "customer").select("c_custkey", F.lit("file.bin").alias("name"), made("c_custkey", "c_name", "c_nationkey").alias("content"))
+    return assets.extracted(files, "c_custkey").where("error IS NULL").drop("error")
+
+
+@query()
+def page_chunks(spark, sf_dir):
+    """Web pages through the table function: blocks with their section, kind and place."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.lit("page.html").alias("name"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("content"))
+    return assets.extracted(pages, "page_id")

@@ -10,7 +10,7 @@ from siftline.functions import embed as E
 from siftline.functions import identifiers as I
 from siftline.functions import text as T
 from siftline.operators import ranking as R
-from siftline.operators import index_store, rerank, resolve, vectors
+from siftline.operators import index_store, ivf, rerank, resolve, vectors
 from siftline.operators.lexical import LexicalIndex, postings, ranked
 from siftline.plans.base import Registry, table
 
@@ -165,6 +165,13 @@ def knn_topk(spark, sf_dir):
     return vectors.knn(table(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir), 10)
 
 
+@query(_knn_sql(15))
+def knn_inverted_file(spark, sf_dir):
+    """The inverted file searched in all its cells: what the exact way finds."""
+    index = ivf.InvertedFile.build(table(spark, sf_dir, "embeddings"))
+    return index.search(_vector_queries(spark, sf_dir), 15).select("query_id", "vec_id", "score", "rank")
+
+
 @query(_knn_sql(10, "v.label IN (0, 1, 2)"))
 def knn_filtered(spark, sf_dir):
     return vectors.knn(table(spark, sf_dir, "embeddings").where("label IN (0, 1, 2)"), _vector_queries(spark, sf_dir), 10)
