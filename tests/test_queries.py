@@ -65,7 +65,8 @@ def test_rest_passes_without_the_corpus_operators(tmp_path):
     (tmp_path / "run.py").write_text(code)
     done = subprocess.run([sys.executable, "run.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr[-800:]
-    done = subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "-x", "-p", "no:cacheprovider"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=1800)
+    some = "not against_sql or contains_search or hybrid_search or folder_scan or resolution_cascade"  # the rest of the SQL is compared in the outer run
+    done = subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "-x", "-p", "no:cacheprovider", "-k", some], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=1800)
     assert done.returncode == 0, done.stdout[-800:]
 
 
