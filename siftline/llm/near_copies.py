@@ -15,7 +15,8 @@ bitmap of their hashes, bounded and broadcast, lets all other rows stay where th
 
 Links. Keys are worked through in rounds: each key pairs one hub with its other nodes, first its centre (the node that
 shares most keys with most others: the text that a large group was copied from), then one picked by hash for each key;
-most of a large group of copies is then one component. Last, for keys whose nodes still are in several components, the
+most of a large group of copies is then one component. A round's links join the components of the rounds before, each named
+once; links inside one are not looked at again. Last, for keys whose nodes still are in several components, the
 nodes outside the key's largest meet all of it in blocks of BLOCK by BLOCK, where whole sets are compared and a node
 hands on one link to each component it is similar to. Components come from ``simhash.labelled``. What remains quadratic is a family of texts that share bands and yet are not similar.
 
@@ -163,7 +164,7 @@ class _Join:
             self.prints = staged(_sketched(rows, size, similar), "prints")
         first = F.min(F.struct("id", "hash", "fp", "n", "bands", "sketch")).alias("f")
         self.nodes = staged(self.prints.groupBy("node").agg(first).select("node", "f.*"), "nodes")
-        self.found, self.labels = None, None
+        self.labels = None
 
     def fingerprint_pairs(self) -> DataFrame:
         """Nodes of one fingerprint, and of fingerprints that the pigeonhole links."""
@@ -229,7 +230,7 @@ class _Join:
         return dealt.groupBy("g", "i", "j").applyInPandas(compare, "a long, b long")
 
     def add(self, pairs: DataFrame) -> None:
-        """Verifies candidates, keeps the links, and names the components anew."""
+        """Verifies candidates and lets the links among them join components."""
         self.link(self.verified(pairs))
 
     def verified(self, pairs: DataFrame) -> DataFrame:
@@ -249,9 +250,19 @@ class _Join:
         return met.where("exact").select("a", "b").unionByName(self.compared(met.where("not exact").select("a", "b")))
 
     def link(self, links: DataFrame) -> None:
-        """Keeps links and names the components anew."""
-        self.found = staged(links if self.found is None else links.unionByName(self.found), "links")
-        self.labels = simhash.labelled(simhash.ends(self.found), self.found).select(F.col("fp").alias("node"), "label")
+        """Names the components that links make of those that there are. Links inside one of them change nothing."""
+        if self.labels is None:
+            links = staged(links, "links")
+            self.labels = simhash.labelled(simhash.ends(links), links).select(F.col("fp").alias("node"), "label")
+            return
+        of = lambda c, n: self.labels.select(F.col("node").alias(c), F.col("label").alias(n))
+        links = links.join(of("a", "x"), "a", "left").join(of("b", "y"), "b", "left")
+        links = links.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+        links = staged(links.where("a <> b").distinct(), "links")
+        names = simhash.labelled(simhash.ends(links), links)
+        new = names.select(F.col("fp").alias("node"), "label").join(self.labels.select("node"), "node", "left_anti")
+        known = self.labels.join(names.select(F.col("fp").alias("label"), F.col("label").alias("name")), "label", "left")
+        self.labels = staged(known.select("node", F.coalesce("name", "label").alias("label")).unionByName(new), "named")
 
     def sets_of(self, nodes: DataFrame) -> DataFrame:
         """(node, set): whole sets, made again from the texts."""

@@ -84,3 +84,15 @@ def test_bands_and_sketches_miss_nothing_at_the_bound():
         assert (N.band_keys(a, bands) == N.band_keys(b, bands)).any()
         least = sorted(set(a[: N.SKETCH].tolist()) | set(b[: N.SKETCH].tolist()))[: N.SKETCH]
         assert len(set(least) & set(a.tolist()) & set(b.tolist())) >= N.least_common(N.SKETCH, 0.8)
+
+
+def test_links_are_named_once(spark, monkeypatch):
+    """Rounds after the first hand on links between components alone."""
+    spread = [(1, 2), (2, 3), (10, 11), (20, 21)], [(1, 3), (3, 10), (2, 11), (30, 31), (31, 21)], [(10, 1)], [(30, 40), (20, 11)]
+    join, seen, named = N._Join.__new__(N._Join), [], N.simhash.labelled
+    join.labels = None
+    monkeypatch.setattr(N.simhash, "labelled", lambda nodes, edges: seen.append(edges.count()) or named(nodes, edges))
+    for links in spread:
+        join.link(spark.createDataFrame(links, "a long, b long"))
+    assert {r.node: r.label for r in join.labels.collect()} == dict.fromkeys((1, 2, 3, 10, 11, 20, 21, 30, 31, 40), 1)
+    assert seen == [4, 3, 0, 2]
