@@ -123,3 +123,12 @@ def test_labels_of_random_links_and_of_nodes_without_any(spark):
     for edges in (pairs, []):
         found = S.labelled(nodes, spark.createDataFrame(edges, "a long, b long")).collect()
         assert {r.fp: r.label for r in found} == (dict(enumerate(label)) if edges else {i: i for i in range(160)}) and len(found) == 160
+
+
+def test_a_print_near_to_many_that_are_apart_joins_them_all(spark):
+    centre = (1 << 62) - 1
+    sets = [[20 + a, 25 + b, 30 + (a + b) % 5, 35 + (a + 2 * b) % 5] for a in range(5) for b in range(5)]  # two share a bit at most
+    prints = [centre, *(centre ^ sum(1 << b for b in s) for s in sets)]
+    frame = spark.createDataFrame([(p,) for p in prints], "fp long")
+    found = S.links(frame, [(list(range(0, 20)), 1), (list(range(20, 40)), 0), (list(range(40, 64)), 1)])
+    assert len({r.label for r in S.labelled(frame, found).collect()}) == 1 and found.count() == len(sets) > S.HUBS + 1
