@@ -373,19 +373,20 @@ class TextIndex:
     def search(self, questions: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
         """(query_id, doc_id, score, rank): the best k documents of each question. questions: (query_id, text).
 
-        Questions go in blocks of ASKED_AT_ONCE, each a pass over the ranges. allowed: (doc_id) of those that may be found.
+        Questions with the same terms of the index are searched once. Those that differ go in blocks of ASKED_AT_ONCE, each a
+        pass over the ranges.
         """
         return self.counted(questions, k, allowed)[0]
 
     def counted(self, questions: DataFrame, k: int, allowed: DataFrame | None = None) -> tuple[DataFrame, int]:
-        """The same, and how many pairs of question and document were scored to the end."""
+        """The same, and how many pairs of a set of terms and a document were scored to the end. allowed: (doc_id) of those
+        that may be found."""
         manifest = self.store.manifest()
         ranges = self.store.read("ranges", manifest)
         kind = dict(questions.dtypes)["query_id"]
-        schema = f"query_id {kind}, doc_id long, score double, rank long"
-        out, pairs = self.spark.createDataFrame([], schema), 0
+        none, pairs = self.spark.createDataFrame([], f"query_id {kind}, doc_id long, score double, rank long"), 0
         if ranges is None:
-            return out, 0
+            return none, 0
         masks = self._masks(manifest, allowed)
         if masks is not None:
             ranges = ranges.join(masks, ["generation", "range"], "left" if allowed is None else "inner")
@@ -393,27 +394,33 @@ class TextIndex:
         folder = f"{self.store.path}/work/{uuid.uuid4().hex}"
         words = questions.select("query_id", F.explode(F.array_distinct(T.analysed(F.col("text")))).alias("term"))
         idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        words = words.join(self.df(), "term").select("query_id", "term", idf.alias("idf"), F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"))
-        ids = words.select("query_id").distinct()
-        blocks = max(1, -(-ids.count() // ASKED_AT_ONCE))
-        words = words.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        words.write.partitionBy("block").parquet(f"{folder}/words")
-        words = self.spark.read.parquet(f"{folder}/words")
+        words = words.join(self.df(), "term").select("query_id", F.struct("term", idf.alias("idf"), F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")).alias("word"))
+        sets = words.groupBy("query_id").agg(F.array_sort(F.collect_set("word")).alias("words"))
+        sets.withColumn("terms", F.array_join(F.col("words.term"), " ")).write.parquet(f"{folder}/asked")
+        asked_by = self.spark.read.parquet(f"{folder}/asked")
+        sets = asked_by.groupBy("terms").agg(F.min("words").alias("words"))
+        blocks = max(1, -(-sets.count() // ASKED_AT_ONCE))
+        sets.select("terms", F.inline("words")).withColumn("block", F.pmod(F.xxhash64("terms"), F.lit(blocks))).write.partitionBy("block").parquet(f"{folder}/words")
+        words, best = self.spark.read.schema("terms string, term string, idf double, bucket int, block long").parquet(f"{folder}/words"), 0
         for block in range(blocks):
-            asked = words.where(F.col("block") == block).toPandas()  # the terms of ASKED_AT_ONCE questions or so
+            asked = words.where(F.col("block") == block).toPandas()  # the terms of ASKED_AT_ONCE sets or so
             if not len(asked):
                 continue
-            codes, names = pd.factorize(asked.query_id)
+            codes, names = pd.factorize(asked.terms)
             asked = asked.assign(question=codes)
             found = self._block(ranges, asked, len(names), avg, k, masks is not None, allowed is not None)
             found.write.parquet(f"{folder}/found-{block}")
             found = self.spark.read.parquet(f"{folder}/found-{block}")
             pairs += found.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
-            of = self.spark.createDataFrame(pd.DataFrame({"question": np.arange(len(names)), "query_id": names}), f"question long, query_id {kind}")
+            of = self.spark.createDataFrame(pd.DataFrame({"question": np.arange(len(names)), "terms": names}), "question long, terms string")
             rank = F.row_number().over(W.partitionBy("question").orderBy(F.desc("score"), "doc_id")).cast("long")
             top = found.withColumn("rank", rank).where(F.col("rank") <= k).join(F.broadcast(of), "question")
-            out = out.unionByName(top.select("query_id", "doc_id", "score", "rank"))
-        return out, pairs
+            top.select("terms", "doc_id", "score", "rank").write.parquet(f"{folder}/best/block={block}")
+            best += 1
+        if not best:
+            return none, 0
+        top = self.spark.read.parquet(f"{folder}/best").join(asked_by.select("query_id", "terms"), "terms")
+        return top.select("query_id", "doc_id", "score", "rank"), pairs
 
     def _masks(self, manifest: Manifest, allowed: DataFrame | None) -> DataFrame | None:
         """(generation, range, ords): of each range the documents that may be found, if not all; bounded by the range."""
@@ -453,12 +460,13 @@ class TextIndex:
         return run(ranges, floors)
 
 
-def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None) -> TextIndex:
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_col: str | None = None, *made_by: str) -> TextIndex:
     """The index of a table of files, known by the files with their sizes and times, so a changed table gets a new one.
+    made_by: how columns of ``docs`` are made of the table, if they are.
 
     It is built by the first who asks; one who builds it at the same moment yields to whoever was first.
     """
-    index = TextIndex(docs.sparkSession, f"{folders.shared(docs.sparkSession)}/text-index", {"table": folders.identity(docs), "columns": [id_col, text_col, title_col]})
+    index = TextIndex(docs.sparkSession, f"{folders.shared(docs.sparkSession)}/text-index", {"table": folders.identity(docs), "columns": [id_col, text_col, title_col, *made_by]})
     if not index.store.manifest().version:
         try:
             index.write(docs, id_col, text_col, title_col)

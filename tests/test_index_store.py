@@ -103,3 +103,13 @@ def test_bounds_spare_most_pairs(spark, sf, tmp_path, monkeypatch):
     close = lambda rows: [(q, d, round(s, 5), r) for q, d, s, r in rows]
     assert close(as_rows(found)) == close(as_rows(ranked(scores, 10).select("query_id", "doc_id", "score", "rank")))
     assert pairs * 10 < scores.count()
+
+
+def test_questions_of_the_same_terms_are_searched_once(spark, tmp_path):
+    index = S.TextIndex(spark, f"file://{tmp_path}/same")
+    index.write(spark.createDataFrame([(i, f"order {i} of priority {i % 3}") for i in range(60)], "doc_id long, text string"))
+    ask = lambda n: spark.createDataFrame([(q, f"why did {q + 900} of priority 2 fail") for q in range(n)], "query_id long, text string")
+    found, pairs = index.counted(ask(300), 5)
+    rows = found.collect()
+    assert pairs == index.counted(ask(1), 5)[1] and len(rows) == 1500 and {r.query_id for r in rows} == set(range(300))
+    assert {(r.rank, r.doc_id) for r in rows} == {(r.rank, r.doc_id) for r in index.search(ask(1), 5).collect()}
