@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import json
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import text as T
 
 BLOCKS = "ordinal long, kind string, section string, text string"
-ROWS_A_BLOCK, LEAVES_A_BLOCK, MAX_DEPTH, MAX_LEAVES, MAX_VALUE = 25, 40, 12, 20_000, 2_000
+ROWS_A_BLOCK, BLOCKS_AT_ONCE, LEAVES_A_BLOCK, MAX_DEPTH, MAX_LEAVES, MAX_VALUE = 25, 64, 40, 12, 20_000, 2_000
 
 
 def files(spark: SparkSession, path: str, glob: str = "*", modified_after: str | None = None) -> DataFrame:
@@ -100,27 +102,50 @@ def outside(words: DataFrame, tables: DataFrame, page: str, slack: float) -> Dat
     return w.join(t, (F.col(f"w.{page}") == F.col("_page")) & inside, "left_anti")
 
 
-def csv_cells(text: str | None) -> list[list[str]]:
-    """Rows of cells of a CSV text; the separator is guessed from the beginning."""
+def csv_rows(text: str | None) -> Iterator[list[str]]:
+    """Rows of cells of a CSV text, one by one; the separator is guessed from the beginning."""
     try:
         dialect = csv.Sniffer().sniff((text or "")[:4096], delimiters=",;\t|")
     except csv.Error:
         dialect = csv.excel
-    return list(csv.reader(io.StringIO(text or "", newline=""), dialect))
+    return csv.reader(io.StringIO(text or "", newline=""), dialect)
+
+
+def csv_cells(text: str | None) -> list[list[str]]:
+    """All rows of cells of a CSV text."""
+    return list(csv_rows(text))
+
+
+def csv_parts(text: str | None, rows_a_block: int) -> Iterator[list[list[str]]]:
+    """The rows of a CSV text that are not blank, ``rows_a_block`` at a time, each time after the first row of all."""
+    rows = (r for r in csv_rows(text) if any(c.strip(" \t\n\x0b\f\r") for c in r))
+    if (header := next(rows, None)) is None:
+        return
+    part = list(itertools.islice(rows, rows_a_block))
+    while True:
+        yield [header, *part]
+        if not (part := list(itertools.islice(rows, rows_a_block))):
+            return
 
 
 def csv_tables(files: DataFrame, id_col: str, text_col: str, rows_a_block: int = ROWS_A_BLOCK) -> DataFrame:
-    """(id, block, text): CSV texts as Markdown tables of ``rows_a_block`` rows under their header; blank rows go."""
+    """(id, block, text): CSV texts as Markdown tables of ``rows_a_block`` rows under their header; blank rows go.
 
-    @F.pandas_udf("array<array<string>>")
-    def cells(texts: pd.Series) -> pd.Series:
-        return texts.map(csv_cells)
+    A task hands on BLOCKS_AT_ONCE tables at a time, however long a text is.
+    """
+    kind = files.schema[id_col].dataType.simpleString()
+    cells = pa.list_(pa.list_(pa.string()))
 
-    rows = files.select(id_col, F.filter(cells(F.col(text_col)), not_blank).alias("rows")).where(F.size("rows") > 0)
-    blocks = F.greatest(F.ceil((F.size("rows") - 1) / rows_a_block), F.lit(1))
-    out = rows.select(id_col, "rows", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"))
-    part = F.slice("rows", F.col("block").cast("int") * rows_a_block + 2, rows_a_block)
-    return out.select(id_col, "block", markdown_table(F.concat(F.slice("rows", 1, 1), part)).alias("text"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                parts = enumerate(csv_parts(batch.column(1)[i].as_py(), rows_a_block))
+                while some := list(itertools.islice(parts, BLOCKS_AT_ONCE)):
+                    ids = batch.column(0).take(pa.array([i] * len(some)))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([n for n, _ in some], pa.int64()), pa.array([rows for _, rows in some], cells)], names=["id", "block", "rows"])
+
+    out = files.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, f"id {kind}, block long, rows array<array<string>>")
+    return out.select(F.col("id").alias(id_col), "block", markdown_table(F.col("rows")).alias("text"))
 
 
 def json_leaves(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 import duckdb
 
 import __spark_entry__ as entry
+from siftline.sources import readers
 
 
 def compared(spark, folder, name):
@@ -31,3 +32,14 @@ def test_a_zero_of_a_unit_vector_keeps_its_sign(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     ours, wanted = compared(spark, tmp_path, "l2_normalise")
     assert ours == wanted and "-0.0" in ours[0]
+
+
+def test_a_long_csv_text_is_cut_without_repeating_it(spark):
+    text = "a,b\n" + "".join(f"\n ,\n{i},x{i}\n" for i in range(5_001))
+    frame = spark.createDataFrame([(None, ""), (2**60 + 1, text), (3, "a,b\n"), (None, "c,d\n1,2\n")], "id long, text string")
+    tables = readers.csv_tables(frame, "id", "text")
+    got = tables.collect()
+    long = {r.block: r.text.split("\n") for r in got if r.id == 2**60 + 1}
+    assert sorted(long) == list(range(201)) and {len(v) for b, v in long.items() if b < 200} == {27} and long[200][2:] == ["| 5000 | x5000 |"]
+    assert sorted((r.id or 0, r.block, r.text.count("\n")) for r in got if r.id != 2**60 + 1) == [(0, 0, 2), (3, 0, 2)]
+    assert "explode" not in tables._jdf.queryExecution().toString()  # which made a copy of all rows for each table
