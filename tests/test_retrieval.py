@@ -104,6 +104,14 @@ def test_more_queries_than_a_block_holds(spark, monkeypatch):
     assert found() == want and len(want) == 23 * 4
 
 
+def test_blocks_of_queries_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 10 * 8 * 4)
+    rows = spark.createDataFrame([(i, [1.0, float(i), 2.0, 0.5]) for i in range(100)], "query_id long, embedding array<double>")
+    blocks = list(vectors._query_blocks(rows))
+    assert len(blocks) > 5 and max(m.nbytes for _, m in blocks) < 30 * 8 * 4
+    assert sorted((int(i), v) for ids, m in blocks for i, v in zip(ids, m[:, 1])) == [(i, float(i)) for i in range(100)]
+
+
 def test_dense_text_search_against_brute_force(spark, sf):
     import numpy as np
 
