@@ -236,3 +236,25 @@ def test_a_restarted_stream_goes_on_where_it_was(spark, tmp_path):
     run()
     rows = spark.read.parquet(target).collect()
     assert sorted(r.text or "" for r in rows) == ["", "a", "b", "c"] and {r.batch for r in rows} == {0, 1}
+
+
+def test_embedding_hashes_a_word_once_and_is_what_it_was(monkeypatch):
+    import hashlib
+    import math
+
+    def plain(text):
+        out = [0.0] * embed.DIMENSION
+        for feature, weight in embed.weights(text).items():
+            h = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big")
+            out[h % embed.DIMENSION] += weight if h >> 63 else -weight
+        size = math.sqrt(sum(x * x for x in out))
+        return out if size < 1e-12 else [x / size for x in out]
+
+    texts = ["Payment payment failed, payment again: TX82931!", "", None, "?!", "a b a b a", "the longest words of all " * 50]
+    assert [embed.embed(t) for t in texts] == [plain(t) for t in texts]
+    made, real = [], hashlib.blake2b
+    monkeypatch.setattr(embed.hashlib, "blake2b", lambda *a, **b: made.append(a) or real(*a, **b))
+    embed.embed("unheard words")
+    first = len(made)
+    embed.embed("unheard words")
+    assert first and len(made) == first
