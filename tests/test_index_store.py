@@ -113,3 +113,17 @@ def test_questions_of_the_same_terms_are_searched_once(spark, tmp_path):
     rows = found.collect()
     assert pairs == index.counted(ask(1), 5)[1] and len(rows) == 1500 and {r.query_id for r in rows} == set(range(300))
     assert {(r.rank, r.doc_id) for r in rows} == {(r.rank, r.doc_id) for r in index.search(ask(1), 5).collect()}
+
+
+def test_what_no_manifest_names_goes(spark, tmp_path):
+    docs = lambda *rows: spark.createDataFrame(list(rows), "doc_id long, text string")
+    index = S.TextIndex(spark, f"file://{tmp_path}/kept")
+    index.write(docs((1, "one order"), (2, "two orders"), (3, "three")))
+    index.delete(docs((3, "")).select("doc_id"))
+    index.merge()
+    index.store.expire()
+    found = index.search(spark.createDataFrame([(7, "order three")], "query_id long, text string"), 5)
+    assert [(r.doc_id, r["rank"]) for r in found.orderBy("rank").collect()] == [(1, 1), (2, 2)]
+    at = tmp_path / "kept" / index.store.version
+    assert len(list((at / "segments").iterdir())) == 1 and not list((at / "tombstones").iterdir())
+    assert not list(at.glob("work/*/tf")) and not list(at.glob("work/*/found-*")) and not list(at.glob("work/*/words"))
